@@ -41,14 +41,16 @@ EXPIRY_DAYS = {"critical": 30, "high": 14, "medium": 7, "low": 3}
 BASE_THRESHOLD = 3
 
 
+def _lookup(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def severity(error_type: Column) -> Column:
     """The listed severity, else that of the first known type contained in the name, else medium."""
-    out = F
-    for name, level in SEVERITY.items():
-        out = out.when(error_type == name, level)
-    for name, level in SEVERITY.items():
-        out = out.when(error_type.contains(name), level)
-    return out.otherwise("medium")
+    names = F.array(*[F.lit(name) for name in SEVERITY])
+    part = F.get(F.filter(names, lambda name: error_type.contains(name)), F.lit(0))
+    known = _lookup(SEVERITY)
+    return F.coalesce(known[error_type], known[part], F.lit("medium"))
 
 
 def thresholds(base: int = BASE_THRESHOLD) -> dict[str, int]:
@@ -56,15 +58,12 @@ def thresholds(base: int = BASE_THRESHOLD) -> dict[str, int]:
     return {"critical": max(1, base // 3), "high": max(1, base // 2), "medium": base, "low": 2 * base}
 
 
-def _by_severity(level: Column, values: dict[str, int]) -> Column:
-    out = F
-    for name, value in values.items():
-        out = out.when(level == name, value)
-    return out
+def threshold(error_type: Column, base: int = BASE_THRESHOLD) -> Column:
+    return _lookup(thresholds(base))[severity(error_type)]
 
 
-def threshold(error_type: Column, base: int = BASE_THRESHOLD) -> Column:
-    return _by_severity(severity(error_type), thresholds(base))
+def expiry_days(error_type: Column) -> Column:
+    return _lookup(EXPIRY_DAYS)[severity(error_type)]
 
 
 def clean_events(events: DataFrame) -> DataFrame:
@@ -109,7 +108,7 @@ def error_counts(events: DataFrame) -> DataFrame:
 
 def expire(errors: DataFrame, blacklisted: DataFrame, asof: Column) -> tuple[DataFrame, DataFrame]:
     """Drop errors past their severity's horizon and release URLs with no error left."""
-    days = _by_severity(severity(F.col("error_type")), EXPIRY_DAYS)
+    days = expiry_days(F.col("error_type"))
     age = F.unix_micros(asof) - F.unix_micros("last_ts")
     live = errors.filter(F.coalesce(age <= days * F.lit(86400 * 10**6).cast("bigint"), F.lit(False)))
     return live, blacklisted.join(live.select("url"), "url", "left_semi")

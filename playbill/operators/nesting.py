@@ -118,12 +118,13 @@ def keyed_by_title(df: DataFrame, pos: str, title: str = "title_en", parts: bool
     return rows.select(F.col(title).alias("key"), F.struct(*[c for c in df.columns if c != pos]).alias("value"))
 
 
-def title_map(entries: DataFrame, max_entries: int = 10_000) -> DataFrame:
-    """Entries as maps of about ``max_entries`` titles each: ``(bucket, entries)``."""
+def title_map(entries: DataFrame, max_entries: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """Entries as maps of about ``max_entries`` titles each: ``(bucket, entries)``. Columns in
+    ``by`` keep entries apart that may share a title, such as the parts of a divided show."""
     buckets = entries.agg(F.ceil(F.count("*") / max_entries).cast("int")).scalar()
     rows = entries.withColumn("bucket", F.pmod(F.xxhash64("key"), F.greatest(buckets, F.lit(1))).cast("int"))
-    pairs = F.sort_array(F.collect_list(F.struct("key", "value")))
-    return rows.groupBy("bucket").agg(F.map_from_entries(pairs).alias("entries"))
+    pairs = F.collect_list(F.struct("key", "value"))
+    return rows.groupBy("bucket", *by).agg(F.map_from_entries(pairs).alias("entries"))
 
 
 def episode_urls(seasons: Column) -> Column:

@@ -38,12 +38,11 @@ def export_catalogue(
 
 def export_frontend(movies: DataFrame, nested_shows: DataFrame, episodes: DataFrame, path: str, pos: str) -> None:
     """The title-keyed layout as JSON lines of maps, each holding a bounded share of the titles.
-    Parts of a divided show stay side by side."""
-    shows = frontend_episodes(nested_shows)
+    The later parts of a divided show stand in maps of their own."""
     title_map(keyed_by_title(movies, pos)).write.json(f"{path}/movies")
-    entries = keyed_by_title(shows, pos, parts=True)
-    merged = entries.withColumn("key", F.concat("key", F.when(F.col("value.part") > 0, F.col("value.part")).otherwise("")))
-    title_map(merged).write.json(f"{path}/tv_shows")
+    shows = keyed_by_title(frontend_episodes(nested_shows), pos, parts=True)
+    shows = shows.withColumn("part", F.col("value.part"))
+    title_map(shows, by=("part",)).write.json(f"{path}/tv_shows")
     episodes.write.json(f"{path}/episodes")
 
 
