@@ -81,7 +81,7 @@ def start_urls(
     rows = distinct_in_order(valid, ["category", "url"])
     rows = exclude(rows, processed.withColumnRenamed("content_type", "category"), ["category", "url"])
     rows = exclude(rows, blacklist, ["url"])
-    return cap_per_category(rows, cap) if cap else rows
+    return cap_per_category(rows, cap, order=("pos", "url")) if cap else rows
 
 
 def modified_union(tables: dict[str, DataFrame], since: Column) -> DataFrame:

@@ -55,9 +55,9 @@ def first_n_per_group(
     return df.withColumnRenamed("_n", rank) if rank else df.drop("_n")
 
 
-def cap_per_category(df: DataFrame, n: int, category: str = "category", pos: str = "pos") -> DataFrame:
+def cap_per_category(df: DataFrame, n: int, category: str = "category", order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """At most ``n`` rows per category, in input order."""
-    return first_n_per_group(df, [category], [pos], n)
+    return first_n_per_group(df, [category], list(order), n)
 
 
 def newest_snapshots(df: DataFrame, snapshot: str, k: int = 5) -> DataFrame:

@@ -131,3 +131,11 @@ def episode_urls(seasons: Column) -> Column:
     """Distinct episode URLs of a seasons array, sorted."""
     found = F.flatten(F.transform(seasons, lambda s: F.transform(s["episodes"], lambda e: e["url"])))
     return F.array_sort(F.array_distinct(F.array_compact(found)))
+
+
+def numbered(df: DataFrame, labels: str) -> DataFrame:
+    """One row per label with its place and number: the digits in it, else its position."""
+    rest = [c for c in df.columns if c != labels]
+    rows = df.select(*rest, F.posexplode(labels).alias("pos", "label"))
+    found = F.nullif(F.regexp_extract("label", r"(\d+)", 1), F.lit("")).try_cast("int")
+    return rows.withColumn("number", F.coalesce(found, F.col("pos") + 1))

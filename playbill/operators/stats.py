@@ -21,7 +21,7 @@ def category_stats(parsed: DataFrame, samples: int = 3) -> DataFrame:
     counts = parsed.groupBy("category").agg(
         F.count("*").alias("total"), F.count_if(F.col("is_modified")).alias("modified")
     )
-    first = cap_per_category(parsed.select("category", "url", "pos"), samples)
+    first = cap_per_category(parsed.select("category", "url", "pos"), samples, order=("pos", "url"))
     first = first.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("pos", "url"))).alias("s"))
     rows = counts.join(first, "category", "left").select(
         "category", "total", "modified", F.transform("s", lambda x: x["url"]).alias("sample_urls")
