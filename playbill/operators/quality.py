@@ -194,4 +194,4 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 
 def clean_names(names: Column) -> Column:
     """Trimmed, non-empty, distinct names in order."""
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != ""))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""))

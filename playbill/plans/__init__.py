@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with its SQL oracle."""
 
-from playbill.plans import catalogue, cleaning, failures  # noqa: F401
+from playbill.plans import catalogue, cleaning, crawled, documents, failures  # noqa: F401
 from playbill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
