@@ -102,22 +102,42 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
 
 
-def absolute_url(url: Column, base: Column) -> Column:
-    """Join a possibly relative reference to the page it was found on."""
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: inside the lambda of an array function
+    nothing else keeps an expression from being computed at every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def base_parts(base: Column) -> Column:
+    """What joining needs of the page URL, as a struct to keep in a column."""
     folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//", 1)
+    return F.struct(
+        base.alias("page"),
+        F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//", 1).alias("scheme"),
+        url_origin(base).alias("origin"),
+        url_path(base).alias("path"),
+        F.when(folder == "", F.lit("/")).otherwise(folder).alias("folder"),
+    )
+
+
+def joined_url(url: Column, base: Column) -> Column:
+    """Join a possibly relative reference to a page given by its ``base_parts``."""
     return (
         F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
-        .when(url.startswith("//"), F.concat(scheme, url))
-        .when(url == "", base)
-        .when(url.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), url))
-        .when(url.startswith("?"), F.concat(url_origin(base), url_path(base), url))
-        .when(url.startswith("/"), F.concat(url_origin(base), _without_dots(url_path(url)), url_tail(url)))
-        .otherwise(F.concat(url_origin(base), _without_dots(F.concat(folder, url_path(url))), url_tail(url)))
+        .when(url.startswith("//"), F.concat(base["scheme"], url))
+        .when(url == "", base["page"])
+        .when(url.startswith("#"), F.concat(F.regexp_replace(base["page"], r"#.*$", ""), url))
+        .when(url.startswith("?"), F.concat(base["origin"], base["path"], url))
+        .when(url.startswith("/"), F.concat(base["origin"], _without_dots(url_path(url)), url_tail(url)))
+        .otherwise(F.concat(base["origin"], _without_dots(F.concat(base["folder"], url_path(url))), url_tail(url)))
     )
 
 
+def absolute_url(url: Column, base: Column) -> Column:
+    """Join a possibly relative reference to the page it was found on."""
+    return joined_url(url, base_parts(base))
+
+
 def strip_slash(url: Column) -> Column:
     """The light variant: outer trailing slashes only."""
     return F.rtrim(F.coalesce(url, F.lit("")), F.lit("/"))

@@ -18,18 +18,21 @@ def _truthy(c: Column) -> Column:
     return F.coalesce(~F.trim(c).isin("", "0", "0.0", "false", "null", "[]", "{}"), F.lit(False))
 
 
-class _Custom:
-    """The custom fields of a post: an object, or an empty list when there are none."""
+def _fields(acf: Column) -> Column:
+    """Custom fields as texts: an object, or an empty list when there are none."""
+    return F.from_json(acf, "map<string,string>")
+
 
-    def __init__(self, acf: Column):
-        self.fields = F.from_json(acf, "map<string,string>")
-        self.names = F.when(F.trim(acf).startswith("{"), F.json_object_keys(acf))
+class _Custom:
+    """Access to custom fields parsed into columns ``_fields`` and ``_names``."""
 
-    def has(self, name: str) -> Column:
-        return F.coalesce(F.array_contains(self.names, name), F.lit(False))
+    @staticmethod
+    def has(name: str) -> Column:
+        return F.coalesce(F.array_contains("_names", name), F.lit(False))
 
-    def text(self, name: str) -> Column:
-        return F.try_element_at(self.fields, F.lit(name))
+    @staticmethod
+    def text(name: str) -> Column:
+        return F.try_element_at("_fields", F.lit(name))
 
     def number(self, name: str, kind: str, default) -> Column:
         """Null when the field is absent, the default when it is no number."""
@@ -44,8 +47,8 @@ def is_complete(kind: str) -> Column:
     and one of the basic custom fields."""
     ok = F.col("id").isNotNull() & F.col("link").isNotNull()
     if kind == "shows":
-        acf = _Custom(F.col("acf"))
-        basic = [_truthy(acf.text(n)) for n in ("title_fa", "season_count", "episode_count")]
+        fields = _fields(F.col("acf"))
+        basic = [_truthy(F.try_element_at(fields, F.lit(n))) for n in ("title_fa", "season_count", "episode_count")]
         ok = ok & (F.coalesce(F.col("title.rendered"), F.lit("")) != "") & (basic[0] | basic[1] | basic[2])
     return ok
 
@@ -65,10 +68,13 @@ def map_posts(posts: DataFrame, kind: str, since: Column | None = None) -> DataF
     rows = posts.filter(is_complete(kind))
     if since is not None:
         rows = rows.filter(modified_after(iso_timestamp(F.col("modified_gmt")), since, on_unparsed=True))
-    acf = _Custom(F.col("acf"))
+    # Parsed once, as columns of their own: every field below reads them.
+    names = F.when(F.trim("acf").startswith("{"), F.json_object_keys("acf"))
+    rows = rows.withColumns({"_fields": _fields(F.col("acf")), "_names": names, "_terms": terms(F.col("_embedded"))})
+    acf = _Custom()
     title = F.coalesce(F.col("title.rendered"), F.lit(""))
     media = F.try_element_at(F.col("_embedded")["wp:featuredmedia"], F.lit(1))["source_url"]
-    every = terms(F.col("_embedded"))
+    every = F.col("_terms")
     out = {
         "api_id": F.col("id"),
         "api_source": F.lit(API_SOURCE),
