@@ -50,7 +50,7 @@ def save_parsed_urls(parsed: DataFrame, previous: DataFrame | None, path: str, r
     """Parsed URLs partitioned for pruning, and one metadata row: totals, counts per category,
     and the time of the last full scan, which moves only when nothing was modified."""
     parsed.write.partitionBy("category", "is_modified").parquet(f"{path}/urls")
-    saved = parsed.sparkSession.read.parquet(f"{path}/urls")
+    saved = parsed.sparkSession.read.schema(parsed.schema).parquet(f"{path}/urls")
     total = saved.filter("not is_modified").agg(F.count("*")).scalar()
     modified = saved.filter("is_modified").agg(F.count("*")).scalar()
     last = F.lit(None).cast("string") if previous is None else previous.agg(F.max("last_full_scan")).scalar()
