@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from playbill.functions.text import PERSIAN_DIGITS, normalize_digits
 from playbill.functions.text import nfkc as nfkc_text
-from playbill.functions.text import normalize_digits
 
 # Path segments that lead to a content page, by content type, in match order.
 CONTENT_SEGMENTS = {
@@ -159,21 +159,28 @@ def normalize_url(
     it again. Trailing slashes of the path always go; query and fragment stay.
     """
     url = F.coalesce(url, F.lit(""))
+    marks = [r"/(?:[?#]|$)"]
     if base is not None:
         url = F.when((url == "") | url.rlike("^https?://"), url).otherwise(absolute_url(url, F.lit(base)))
     path = url_path(url)
     if decode:
         path = percent_decode(path)
+        marks.append("%")
     if nfkc:
         path = nfkc_text(path)
     if digits:
         path = normalize_digits(path)
+        marks.append(f"[{PERSIAN_DIGITS}]")
     if lower:
         path = F.lower(path)
     path = F.rtrim(path, F.lit("/"))
     if requote:
         path = percent_encode(path)
-    return F.concat(url_origin(url), path, url_tail(url))
+    clean = F.concat(url_origin(url), path, url_tail(url))
+    if nfkc or lower or requote:
+        return clean
+    # Most URLs bear no mark of anything to change and pass with one look.
+    return F.when(url.rlike("|".join(marks)), clean).otherwise(url)
 
 
 def slug_of(url: Column) -> Column:
@@ -201,15 +208,26 @@ def _page_of(url: Column, kind: str) -> Column:
 def content_type(url: Column) -> Column:
     """``movies``, ``shows``, ``episodes`` or null for a normalised URL."""
     parts = F.split(F.lower(url_path(url)), "/")
-    out = F
+    by_rule = F
     for kind in CONTENT_SEGMENTS:
-        out = out.when(_page_of(url, kind), kind)
-    return (
-        out.when(F.array_contains(parts, "movies"), "movies")
+        by_rule = by_rule.when(_page_of(url, kind), kind)
+    by_rule = (
+        by_rule.when(F.array_contains(parts, "movies"), "movies")
         .when(F.array_contains(parts, "tvshows") | F.array_contains(parts, "series"), "shows")
         .when(F.array_contains(parts, "episodes"), "episodes")
     )
 
+    # Plain pages are told by the segment before the slug; only other URLs need the full rules.
+    def by_segment(segment: Column) -> Column:
+        out = F
+        for kind, names in CONTENT_SEGMENTS.items():
+            out = out.when(segment.rlike("^(?:" + "|".join(names) + ")$"), kind)
+        return out.otherwise(None)
+
+    segment = F.regexp_extract(url, r"^https?://[^/]+/([^/]+)/[^/]+/?$", 1)
+    plain = F.when(~url.contains("?post_type="), once(segment, by_segment))
+    return F.coalesce(plain, by_rule)
+
 
 def start_url_type(url: Column) -> Column:
     """The stricter variant used for start URLs: one pattern per type, then substrings."""

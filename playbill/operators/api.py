@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions.dates import iso_timestamp, modified_after
 from playbill.schemas import SEASON, VIDEO_FILE
+from playbill.session import computed
 
 # Fixed value: the label of records that come from the API.
 API_SOURCE = "wp-json/v2"
@@ -42,12 +43,12 @@ class _Custom:
         return F.when(self.has(name), F.from_json(self.text(name), f"array<{kind}>"))
 
 
-def is_complete(kind: str) -> Column:
+def is_complete(kind: str, fields: Column | None = None) -> Column:
     """Whether a post holds enough to replace the page: an id and a link; for shows also a title
-    and one of the basic custom fields."""
+    and one of the basic custom fields. ``fields`` are the parsed custom fields, if at hand."""
     ok = F.col("id").isNotNull() & F.col("link").isNotNull()
     if kind == "shows":
-        fields = _fields(F.col("acf"))
+        fields = _fields(F.col("acf")) if fields is None else fields
         basic = [_truthy(F.try_element_at(fields, F.lit(n))) for n in ("title_fa", "season_count", "episode_count")]
         ok = ok & (F.coalesce(F.col("title.rendered"), F.lit("")) != "") & (basic[0] | basic[1] | basic[2])
     return ok
@@ -65,12 +66,12 @@ def term_names(all_terms: Column, taxonomy: str) -> Column:
 def map_posts(posts: DataFrame, kind: str, since: Column | None = None) -> DataFrame:
     """API posts as records of type ``kind``; incomplete posts and, with ``since``, posts not
     changed later are left out. Unparsable change times count as changed."""
-    rows = posts.filter(is_complete(kind))
+    # Parsed once, as columns of their own: the filter and every field below read them.
+    names = F.when(F.trim("acf").startswith("{"), F.json_object_keys("acf"))
+    rows = computed(posts, {"_fields": _fields(F.col("acf")), "_names": names, "_terms": terms(F.col("_embedded"))})
+    rows = rows.filter(is_complete(kind, F.col("_fields")))
     if since is not None:
         rows = rows.filter(modified_after(iso_timestamp(F.col("modified_gmt")), since, on_unparsed=True))
-    # Parsed once, as columns of their own: every field below reads them.
-    names = F.when(F.trim("acf").startswith("{"), F.json_object_keys("acf"))
-    rows = rows.withColumns({"_fields": _fields(F.col("acf")), "_names": names, "_terms": terms(F.col("_embedded"))})
     acf = _Custom()
     title = F.coalesce(F.col("title.rendered"), F.lit(""))
     media = F.try_element_at(F.col("_embedded")["wp:featuredmedia"], F.lit(1))["source_url"]

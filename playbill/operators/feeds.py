@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions import urls
 from playbill.functions.dates import iso_timestamp
+from playbill.session import computed
 
 
 def since_marker(items: DataFrame, state: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def next_markers(new_items: DataFrame, state: DataFrame) -> DataFrame:
 
 def with_item_ids(items: DataFrame, failed_ids: DataFrame) -> DataFrame:
     """Items with their post id; items without one and known failing ids go."""
-    rows = items.withColumn("id", urls.feed_item_id(F.col("guid"), F.col("link")))
+    rows = computed(items, {"id": urls.feed_item_id(F.col("guid"), F.col("link"))})
     return rows.filter(F.col("id").isNotNull()).join(failed_ids.select("id"), "id", "left_anti")
 
 

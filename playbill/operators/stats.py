@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions import urls
 from playbill.operators.grouping import cap_per_category
+from playbill.session import computed
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -85,7 +86,8 @@ def feed_totals(feeds: DataFrame) -> DataFrame:
 def id_lists(parsed: DataFrame) -> DataFrame:
     """``(id_list, category, api_id)``: all ids and the modified ones per category, one row per
     id. An id missing from the entry is read from its URL."""
-    ids = parsed.withColumn("api_id", F.coalesce("api_id", urls.post_id(F.col("url"), "sitemap")))
+    found = F.coalesce("api_id", urls.post_id(F.col("url"), "sitemap"))
+    ids = computed(parsed.select("category", "is_modified", "url", "api_id"), {"api_id": found})
     ids = ids.filter(F.col("api_id").isNotNull())
     lists = F.when(F.col("is_modified"), F.array(F.lit("all"), F.lit("modified"))).otherwise(F.array(F.lit("all")))
     return ids.select(F.explode(lists).alias("id_list"), "category", "api_id")

@@ -16,6 +16,7 @@ from playbill.plans.roles import (
     episodes,
     movies,
     shows,
+    source,
     text,
     video_files,
 )
@@ -258,7 +259,7 @@ def _post(number, link, modified, title, acf, terms, media):
 
 
 def movie_posts(spark, sf):
-    p = table(spark, sf, "part")
+    p = source(spark, sf, "part")
     words = F.split("p_name", " ")
     key, size = F.col("p_partkey"), F.col("p_size")
     fields = F.to_json(
@@ -313,7 +314,7 @@ def taxonomy_split(spark, sf):
   o_custkey::INT AS season_count, CASE WHEN o_orderstatus = 'P' THEN 0 END AS episode_count, strftime(o_orderdate, '%Y-%m-%d') AS first_air_date FROM orders
 WHERE o_orderpriority <> '1-URGENT' AND (o_custkey <> 0 OR o_orderstatus = 'P')""")
 def api_mapping_shows(spark, sf):
-    o = table(spark, sf, "orders")
+    o = source(spark, sf, "orders")
     key, partial = F.col("o_orderkey"), F.col("o_orderstatus") == "P"
     fields = F.to_json(
         F.struct(
@@ -335,7 +336,7 @@ def api_mapping_shows(spark, sf):
   'https://img.example/' || CASE WHEN l_returnflag = 'A' THEN 'acf' ELSE 'media' END AS thumbnail,
   l_orderkey AS show_id, '{SITE}/tvshows/' || l_orderkey AS show_url FROM lineitem""")
 def api_mapping_episodes(spark, sf):
-    item = table(spark, sf, "lineitem")
+    item = source(spark, sf, "lineitem")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     flag, line = F.col("l_returnflag"), F.col("l_linenumber")
     fields = F.to_json(

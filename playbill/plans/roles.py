@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions import urls
 from playbill.functions.text import LATIN_DIGITS, PERSIAN_DIGITS
-from playbill.session import table
+from playbill.session import spread, table
 
 SITE = "https://site.example"
 
@@ -21,13 +21,18 @@ def text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A driver table whose rows are rendered into documents, spread over all cores first."""
+    return spread(table(spark, sf, name))
+
+
 def day(c: str | Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """``page_id, url, html, lang`` with content-type paths."""
-    df = table(spark, sf, "pages")
+    df = source(spark, sf, "pages")
     url = F.col("url")
     for lang, segment in LANG_SEGMENT.items():
         url = F.replace(url, F.lit(f"/{lang}/"), F.lit(f"/{segment}/"))

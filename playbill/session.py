@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings the operators rely on; all can be changed on a live session.
 OPTIONS = {
@@ -47,6 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns, each computed once per row. They are generator output, so a later
+    filter reads their value; on a projected column the optimizer would move the filter below
+    the projection and compute the expression again at every mention."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a table that arrives in fewer partitions than there are cores,
     before costly work on each row. Such a table is small; any other passes unchanged."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from playbill.functions import urls
 from playbill.functions.dates import iso_timestamp, modified_after, rfc822_timestamp
 from playbill.schemas import FEED_ITEM, SITEMAP_ENTRY
+from playbill.session import computed
 
 _RSS = f"channel struct<lastBuildDate string, item array<struct<{FEED_ITEM}>>>"
 
@@ -96,8 +97,8 @@ def feed_items(documents: DataFrame, xml: str = "xml") -> DataFrame:
 def feed_build_dates(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """The build time of each feed, null when absent or unreadable."""
     parsed = F.from_xml(F.col(xml), "channel struct<lastBuildDate string>")
-    kept = [c for c in documents.columns if c != xml]
-    return documents.select(*kept, rfc822_timestamp(parsed["channel"]["lastBuildDate"]).alias("built"))
+    dated = computed(documents, {"_written": parsed["channel"]["lastBuildDate"]})
+    return dated.withColumn("built", rfc822_timestamp(F.col("_written"))).drop(xml, "_written")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

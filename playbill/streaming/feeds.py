@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill.functions import urls
+from playbill.session import computed
 from playbill.sources.xml import feed_items
 
 
@@ -22,7 +23,7 @@ def landed_feeds(spark: SparkSession, path: str, files_per_trigger: int = 1000)
         .load(path)
     )
     items = feed_items(docs.select("feed", F.col("value").alias("xml")))
-    items = items.withColumn("id", urls.feed_item_id(F.col("guid"), F.col("link")))
+    items = computed(items, {"id": urls.feed_item_id(F.col("guid"), F.col("link"))})
     return items.filter(F.col("id").isNotNull())
 
 
