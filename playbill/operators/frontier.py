@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions import urls
+from playbill.functions.dates import modified_after
 from playbill.operators.grouping import cap_per_category, distinct_in_order
 from playbill.session import computed, spread
 
@@ -88,7 +89,7 @@ def start_urls(
 def modified_union(tables: dict[str, DataFrame], since: Column) -> DataFrame:
     """Posts of several types changed after ``since``, with their type; unparsable times stay."""
     parts = [
-        df.filter(F.coalesce(F.col("modified") > since, F.lit(True))).withColumn("content_type", F.lit(kind))
+        df.filter(modified_after(F.col("modified"), since, on_unparsed=True)).withColumn("content_type", F.lit(kind))
         for kind, df in tables.items()
     ]
     out = parts[0]
