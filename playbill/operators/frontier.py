@@ -70,12 +70,14 @@ def start_urls(
 
     A category with modified entries uses only those when incremental, else its full list.
     URLs are normalised, then processed, blacklisted and non-content ones go; input order and
-    the cap per category hold. One row per category decides the list, found by aggregation.
+    the cap per category hold.
     """
     parsed = parsed.withColumn("category", urls.canonical_type(F.col("category")))
+    parsed = parsed.filter(F.col("category").isin(list(urls.CONTENT_SEGMENTS)))
     if incremental:
+        # One row for each of the known content types at most.
         has = parsed.groupBy("category").agg(F.bool_or("is_modified").alias("_has"))
-        parsed = parsed.join(has, "category").filter(F.col("is_modified") == F.col("_has")).drop("_has")
+        parsed = parsed.join(F.broadcast(has), "category").filter(F.col("is_modified") == F.col("_has")).drop("_has")
     else:
         parsed = parsed.filter(~F.col("is_modified"))
     clean = computed(spread(parsed.select("category", "url", "pos")), {"url": urls.normalize_url(F.col("url"))})

@@ -10,14 +10,20 @@ from playbill.functions import urls
 
 def shows_with_episodes(shows: DataFrame, episodes: DataFrame) -> DataFrame:
     """Every show with its episodes, matched without trailing slashes. Episode columns that
-    share a name with a show column get an ``episode_`` prefix."""
+    share a name with a show column get an ``episode_`` prefix.
+
+    The left join is written as an inner join plus the shows without episodes: an inner join can
+    be split at a show that holds many of the episodes, and can broadcast a small show table.
+    """
     same = set(shows.columns)
+    shows = shows.withColumn("_key", urls.strip_slash(F.col("url")))
     eps = episodes.select(
-        urls.strip_slash(F.col("show_url")).alias("_show"),
+        urls.strip_slash(F.col("show_url")).alias("_key"),
         *[F.col(c).alias(f"episode_{c}" if c in same else c) for c in episodes.columns],
     )
-    key = urls.strip_slash(F.col("url"))
-    return shows.withColumn("_key", key).join(eps, F.col("_key") == F.col("_show"), "left").drop("_key", "_show")
+    matched = shows.join(eps, "_key")
+    lonely = shows.join(eps.select("_key").distinct(), "_key", "left_anti")
+    return matched.unionByName(lonely, allowMissingColumns=True).drop("_key")
 
 
 def prefix_lookup(probe: DataFrame, keyed: DataFrame, key: str, ignore_case: bool = False) -> DataFrame:

@@ -15,6 +15,8 @@ OPTIONS = {
     # Split a hot key's partition in every shuffled join, even where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Batches handed to Python hold whole pages: bound them by size, not only by row count.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 

@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-_STATE = "content_type string, url string, batch bigint"
+from playbill.streaming.feeds import unseen_items
 
+_KEYS = ["content_type", "url"]
 
-def announce_new(content: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write unannounced ``(content_type, url, ...)`` rows to ``path/content`` and their counts
-    to ``path/summary``.
 
-    The announced keys of each batch stand in ``path/processed/batch=<id>``. A batch reads only
-    those of earlier batches and replaces its own output, so a rerun gives the same files.
+def announce_new(content: DataFrame, path: str, checkpoint: str, processed: DataFrame | None = None) -> StreamingQuery:
+    """Write unannounced ``(content_type, url, ...)`` rows to ``path/content``, their counts to
+    ``path/summary`` and their keys, for marking them as handled, to ``path/processed``.
+
+    Keys seen by the stream are streaming state, so a batch costs what it holds, not what was
+    announced before; ``processed`` are keys handled before the stream began. Every batch
+    replaces its own folders: run again from the same checkpoint it leaves the same files.
     """
-    spark: SparkSession = content.sparkSession
-    seen_path = f"{path}/processed"
-    spark.createDataFrame([], "content_type string, url string").write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
+    new = content.filter(F.coalesce(F.col("url"), F.lit("")) != "")
+    if processed is not None:
+        new = new.join(processed.select(*_KEYS), _KEYS, "left_anti")
+    new = unseen_items(new, _KEYS)
 
     def one_batch(df: DataFrame, batch_id: int) -> None:
-        seen = df.sparkSession.read.schema(_STATE).parquet(seen_path).filter(F.col("batch") < batch_id)
-        new = df.filter(F.coalesce(F.col("url"), F.lit("")) != "").dropDuplicates(["content_type", "url"])
-        new = new.join(seen, ["content_type", "url"], "left_anti")
         out = f"{path}/content/batch={batch_id}"
-        new.write.mode("overwrite").parquet(out)
-        written = df.sparkSession.read.schema(new.schema).parquet(out)
-        counts = written.groupBy("content_type").agg(F.count("*").alias("n"))
+        df.write.mode("overwrite").parquet(out)
+        told = df.sparkSession.read.schema(df.schema).parquet(out)
+        counts = told.groupBy("content_type").agg(F.count("*").alias("n"))
         counts.write.mode("overwrite").parquet(f"{path}/summary/batch={batch_id}")
-        # Last, so that a batch cut short before this point announces its content again.
-        written.select("content_type", "url").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        told.select(*_KEYS).write.mode("overwrite").parquet(f"{path}/processed/batch={batch_id}")
 
     return (
-        content.writeStream.foreachBatch(one_batch)
+        new.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
