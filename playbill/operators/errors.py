@@ -158,3 +158,21 @@ def error_rollup(events: DataFrame) -> DataFrame:
 def failing_urls(errors: DataFrame, least: int) -> DataFrame:
     """URLs with at least ``least`` save failures, to be skipped."""
     return errors.groupBy("url").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("url")
+
+
+def error_report(errors: DataFrame, blacklisted: DataFrame, urls_shown: int = 10, listed_shown: int = 5) -> DataFrame:
+    """The report as lines ``(section, place, line)``: error types by number of URLs, the worst
+    URLs, and the first blacklisted ones. Types are a small code list, so all are shown."""
+    types = errors.groupBy("error_type").agg(F.count("*").alias("n"))
+    by_count = W.orderBy(F.desc("n"), "error_type")
+    type_line = F.concat("error_type", F.lit(": "), F.col("n").cast("string"), F.lit(" ("), severity(F.col("error_type")), F.lit(" severity)"))
+    worst = top_problems(errors, urls_shown)
+    by_errors = W.orderBy(F.desc("error_count"), "url")
+    url_line = F.concat("url", F.lit(": "), F.col("error_count").cast("string"), F.lit(" errors ("), "main_type", F.lit(", "), "severity", F.lit(" severity)"))
+    listed = blacklist_sample(blacklisted, listed_shown)
+    parts = [
+        types.select(F.lit("types").alias("section"), F.row_number().over(by_count).alias("place"), type_line.alias("line")),
+        worst.select(F.lit("urls").alias("section"), F.row_number().over(by_errors).alias("place"), url_line.alias("line")),
+        listed.select(F.lit("blacklist").alias("section"), F.row_number().over(W.orderBy("url")).alias("place"), F.col("url").alias("line")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

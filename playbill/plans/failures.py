@@ -135,3 +135,14 @@ def failing_ids_excluded(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.col("user_id").alias("id"), "event_type")
     fails = events.filter(F.col("event_type") == "error").groupBy("id").agg(F.count("*").alias("n"))
     return frontier.exclude(events.drop("event_type"), fails.filter("n > 12"), ["id"])
+
+
+@query(f"""WITH {TRACKED_SQL}, t AS (SELECT error_type, count(*) AS n FROM tracked GROUP BY 1),
+u AS (SELECT url, sum(n)::BIGINT AS n, arg_min(error_type, (-n, error_type)) AS k FROM tracked GROUP BY 1 HAVING sum(n) >= 2 ORDER BY 2 DESC, 1 LIMIT 10),
+b AS (SELECT url FROM hits ORDER BY url LIMIT 5)
+SELECT 'types' AS section, (row_number() OVER (ORDER BY n DESC, error_type))::INT AS place, error_type || ': ' || n || ' (' || {SEVERITY_SQL.format(t='error_type')} || ' severity)' AS line FROM t
+UNION ALL SELECT 'urls', (row_number() OVER (ORDER BY n DESC, url))::INT, url || ': ' || n || ' errors (' || k || ', ' || {SEVERITY_SQL.format(t='k')} || ' severity)' FROM u
+UNION ALL SELECT 'blacklist', (row_number() OVER (ORDER BY url))::INT, url FROM b""")
+def error_report(spark, sf):
+    counted = errors.counted_events(failures(spark, sf))
+    return errors.error_report(errors.tracked(counted), errors.blacklist(counted))
