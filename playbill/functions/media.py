@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from playbill.functions.urls import once
+
 # Where a resolution may stand in a media URL, most specific first.
 QUALITY_PATTERNS = [
     r"[/-](\d{3,4})[pP][/-]",
@@ -62,7 +64,7 @@ def quality_from_url(url: Column, cdn_hosts: tuple[str, ...] = ()) -> Column:
     files come in two qualities only."""
     low = F.lower(url)
     numbers = [
-        _standard(F.nullif(F.regexp_extract(url, p, 1), F.lit("")).cast("int")) for p in QUALITY_PATTERNS
+        once(F.nullif(F.regexp_extract(url, p, 1), F.lit("")).cast("int"), _standard) for p in QUALITY_PATTERNS
     ]
     phrases = F
     for phrase in sorted(QUALITY_PHRASES, key=len, reverse=True):

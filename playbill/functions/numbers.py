@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from playbill.functions.urls import once
+
 
 def _found(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
@@ -46,9 +48,7 @@ def episode_numbering(label: Column, crumbs: Column, url: Column, title: Column)
     1, the season comes from the breadcrumb texts and the episode from the URL or the title.
     """
     parts = F.split(F.trim(label), "-")
-    season, episode = [
-        F.trim(F.get(parts, F.lit(i))).try_cast("int") for i in (0, 1)
-    ]
+    season, episode = [F.trim(F.get(parts, F.lit(i))).try_cast("int") for i in (0, 1)]
     # Both halves count or none does, except that the season half is read first.
     two = F.size(parts) == 2
     s = F.coalesce(F.when(two, season), F.lit(1))
@@ -56,9 +56,10 @@ def episode_numbering(label: Column, crumbs: Column, url: Column, title: Column)
     crumb_numbers = F.array_compact(
         F.transform(crumbs, lambda t: _int(_found(F.lower(t), r"season\s*(\d+)")))
     )
-    s = F.when(s == 1, F.coalesce(F.try_element_at(crumb_numbers, F.lit(-1)), s)).otherwise(s)
-    e = F.when(e == 1, F.coalesce(_int(_found(F.lower(url), r"ep(?:isode)?[_-]?(\d+)")), e)).otherwise(e)
-    e = F.when(e == 1, F.coalesce(_int(_found(F.lower(title), r"episode\s*(\d+)")), e)).otherwise(e)
+    s = once(s, lambda n: F.when(n == 1, F.coalesce(F.try_element_at(crumb_numbers, F.lit(-1)), n)).otherwise(n))
+    for text, pattern in ((url, r"ep(?:isode)?[_-]?(\d+)"), (title, r"episode\s*(\d+)")):
+        found = _int(_found(F.lower(text), pattern))
+        e = once(e, lambda n, found=found: F.when(n == 1, F.coalesce(found, n)).otherwise(n))
     return s, e
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from playbill.functions import urls
 from playbill.functions.dates import modified_after
 from playbill.operators.grouping import cap_per_category, distinct_in_order
-from playbill.session import computed, spread
+from playbill.session import computed
 
 
 def exclude(df: DataFrame, blocked: DataFrame, on: list[str]) -> DataFrame:
@@ -80,7 +80,7 @@ def start_urls(
         parsed = parsed.join(F.broadcast(has), "category").filter(F.col("is_modified") == F.col("_has")).drop("_has")
     else:
         parsed = parsed.filter(~F.col("is_modified"))
-    clean = computed(spread(parsed.select("category", "url", "pos")), {"url": urls.normalize_url(F.col("url"))})
+    clean = computed(parsed.select("category", "url", "pos"), {"url": urls.normalize_url(F.col("url"))})
     valid = clean.filter(urls.is_content_url(F.col("url"), F.col("category")))
     rows = distinct_in_order(valid, ["category", "url"])
     rows = exclude(rows, processed.withColumnRenamed("content_type", "category"), ["category", "url"])

@@ -81,11 +81,9 @@ def in_parts(df: DataFrame, keys: list[str], spread: list[str], max_rows: int) -
     return df.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
 
 
-def collect_in_parts(
-    df: DataFrame, keys: list[str], value: Column, spread: list[str], max_rows: int, name: str
-) -> DataFrame:
+def collect_in_parts(df: DataFrame, keys: list[str], value: Column, max_rows: int, name: str) -> DataFrame:
     """Sorted distinct values per key as arrays of bounded size: ``(keys, part, parts, name)``."""
-    rows = df.select(*keys, *spread, value.alias("_value")).dropDuplicates([*keys, "_value"])
+    rows = df.select(*keys, value.alias("_value")).dropDuplicates()
     return (
         in_parts(rows, keys, ["_value"], max_rows)
         .groupBy(*keys, "part", "parts")

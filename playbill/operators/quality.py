@@ -66,10 +66,9 @@ def normalize_videos(videos: Column, cdn_hosts: tuple[str, ...] = ()) -> Column:
     """Video entries with every field set: a missing or unknown quality is read from the URL."""
 
     def entry(v: Column) -> Column:
-        quality = F.coalesce(F.nullif(v["quality"], F.lit("")), quick_quality(v["url"], cdn_hosts))
-        known = F.when((quality == "unknown") & (v["url"] != ""), quick_quality(v["url"], cdn_hosts))
+        known = ~F.coalesce(v["quality"], F.lit("")).isin("", "unknown")
         return F.struct(
-            F.coalesce(known, quality).alias("quality"),
+            F.when(known, v["quality"]).otherwise(quick_quality(v["url"], cdn_hosts)).alias("quality"),
             F.coalesce(v["size"], F.lit("")).alias("size"),
             F.coalesce(v["url"], F.lit("")).alias("url"),
             v["mirror_url"].alias("mirror_url"),

@@ -19,6 +19,7 @@ from playbill.plans.roles import (
     pages,
     parsed_urls,
     shows,
+    source,
     text,
 )
 from playbill.session import table
@@ -401,7 +402,7 @@ def new_content_summary(spark, sf):
 FROM episodes GROUP BY 1""")
 def episode_urls(spark, sf):
     eps = episodes(spark, sf).withColumn("show_url", urls.strip_slash(F.col("show_url")))
-    rows = grouping.collect_in_parts(eps, ["show_url"], F.col("url"), [], 20_000, "episode_urls")
+    rows = grouping.collect_in_parts(eps, ["show_url"], F.col("url"), 20_000, "episode_urls")
     return rows.withColumn("episode_urls", F.array_join("episode_urls", " "))
 
 
@@ -464,7 +465,7 @@ def spider_frontier(spark, sf):
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     done = item.select(F.lit("episodes").alias("content_type"), text(f"{SITE}/episodes/", key).alias("url"))
     listed = table(spark, sf, "part").filter("p_size = 1").select(text(f"{SITE}/movies/film-", F.col("p_partkey")).alias("url"))
-    parsed = parsed_urls(spark, sf).withColumn("category", F.when(F.col("category") == "shows", "series").otherwise(F.col("category")))
+    parsed = parsed_urls(spark, sf, source).withColumn("category", F.when(F.col("category") == "shows", "series").otherwise(F.col("category")))
     return frontier.start_urls(parsed, done, listed, cap=5000)
 
 

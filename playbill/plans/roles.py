@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions import urls
 from playbill.functions.text import LATIN_DIGITS, PERSIAN_DIGITS
-from playbill.session import spread, table
+from playbill.session import table
 
 SITE = "https://site.example"
 
@@ -22,8 +22,11 @@ def text(*parts) -> Column:
 
 
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table whose rows are rendered into documents, spread over all cores first."""
-    return spread(table(spark, sf, name))
+    """A driver table whose rows are rendered into documents. One that arrives in fewer
+    partitions than there are cores is small and is spread over all of them first; any other
+    passes unchanged. The partitions of a plain scan are known without running anything."""
+    scan, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def day(c: str | Column) -> Column:
@@ -212,10 +215,10 @@ def stamp_sql(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
-def parsed_urls(spark: SparkSession, sf: str) -> DataFrame:
+def parsed_urls(spark: SparkSession, sf: str, read=table) -> DataFrame:
     """All three catalogues as one parsed-URL table; late dates count as modified."""
     cutoff = F.lit("1999-01-01").cast("timestamp_ntz")
-    o, i, p = (table(spark, sf, t) for t in ("orders", "lineitem", "part"))
+    o, i, p = (read(spark, sf, t) for t in ("orders", "lineitem", "part"))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return (
         o.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +27,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="playbill-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        path = tempfile.mkdtemp(prefix="playbill-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local_dir()
     return path.rstrip("/")
 
 
@@ -58,12 +63,5 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that arrives in fewer partitions than there are cores,
-    before costly work on each row. Such a table is small; any other passes unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -47,7 +47,7 @@ def test_keep_latest(spark):
 def test_collect_in_parts_is_whole(spark):
     data = skewed(900)
     df = spark.createDataFrame([(k, f"u{p}") for k, p in data] * 2, "key string, url string")
-    parts = grouping.collect_in_parts(df, ["key"], F.col("url"), [], 40, "urls").collect()
+    parts = grouping.collect_in_parts(df, ["key"], F.col("url"), 40, "urls").collect()
     want = defaultdict(set)
     for k, p in data:
         want[k].add(f"u{p}")

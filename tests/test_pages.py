@@ -42,11 +42,11 @@ def test_empty_pages():
 
 
 def test_show_page_fallbacks(spark):
-    rich = """<div class=data><h1> A ۱ </h1><h2>ف</h2></div><div class=poster><img data-src="/p.jpg"></div>
+    rich = """<div class=data><h1> A ۱ </h1><h2>ﻓ ۲</h2></div><div class=poster><img data-src="/p.jpg"></div>
       <meta name=description content=" m "><div class=sgeneros><a> x</a><a>x</a><a> </a></div>
       <span class=date> d1 </span><div class=imdb><span>IMDb ۷.۵</span><span class=votes>1,234 v</span></div>"""
     a, b = html.extract(pages(spark, rich, "<p>nothing"), "shows").collect()
-    assert (a.title_en, a.title_fa, a.poster, a.description) == ("A 1", "ف", "https://h.example/p.jpg", "m")
+    assert (a.title_en, a.title_fa, a.poster, a.description) == ("A 1", "ف 2", "https://h.example/p.jpg", "m")
     assert (a.genres, a.first_air_date, a.rating, a.rating_count) == (["x"], "d1", 7.5, 1234)
     assert (b.title_en, b.poster, b.genres, b.seasons, b.season_count, b.episode_count, b.episode_urls) == ("My Show", None, [], [], 0, 0, [])
 

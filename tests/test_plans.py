@@ -63,12 +63,10 @@ def test_pages_are_parsed_once(spark):
     assert query_plan(spark, "html_lists").count("MapInArrow (") == 1
 
 
-def test_large_inputs_are_not_spread(spark):
-    from playbill.session import spread
-
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide
-    assert spread(wide.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_only_small_scans_are_spread(spark):
+    assert "REPARTITION_BY_NUM" in plan(roles.source(spark, SF, "orders"))
+    text = query_plan(spark, "modified_window")
+    assert "Exchange" not in text
 
 
 def test_shared_folder_comes_from_the_session(spark):
