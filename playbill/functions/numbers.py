@@ -41,6 +41,15 @@ def whole_number(c: Column) -> Column:
     return _int(F.trim(c))
 
 
+def _unless_known(found: Column):
+    """A number of 1 may be a mere default: another number found for it counts instead."""
+
+    def use(n: Column) -> Column:
+        return F.when(n == 1, F.coalesce(found, n)).otherwise(n)
+
+    return use
+
+
 def episode_numbering(label: Column, crumbs: Column, url: Column, title: Column) -> tuple[Column, Column]:
     """Season and episode of an episode page.
 
@@ -56,10 +65,9 @@ def episode_numbering(label: Column, crumbs: Column, url: Column, title: Column)
     crumb_numbers = F.array_compact(
         F.transform(crumbs, lambda t: _int(_found(F.lower(t), r"season\s*(\d+)")))
     )
-    s = once(s, lambda n: F.when(n == 1, F.coalesce(F.try_element_at(crumb_numbers, F.lit(-1)), n)).otherwise(n))
+    s = once(s, _unless_known(F.try_element_at(crumb_numbers, F.lit(-1))))
     for text, pattern in ((url, r"ep(?:isode)?[_-]?(\d+)"), (title, r"episode\s*(\d+)")):
-        found = _int(_found(F.lower(text), pattern))
-        e = once(e, lambda n, found=found: F.when(n == 1, F.coalesce(found, n)).otherwise(n))
+        e = once(e, _unless_known(_int(_found(F.lower(text), pattern))))
     return s, e
 
 
