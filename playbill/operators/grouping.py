@@ -73,19 +73,25 @@ def hot_groups(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
     return n.select(*keys, F.ceil(F.col("_n") / max_rows).cast("int").alias("parts"))
 
 
-def in_parts(df: DataFrame, keys: list[str], spread: list[str], max_rows: int) -> DataFrame:
+def part_of(value: Column, parts: Column) -> Column:
+    """The part a row belongs to by its text value; only rows of divided groups are hashed."""
+    number = F.conv(F.substring(F.md5(F.encode(value, "UTF-8")), 1, 8), 16, 10).cast("bigint")
+    return F.when(parts > 1, F.pmod(number, parts)).otherwise(0).cast("int")
+
+
+def in_parts(df: DataFrame, keys: list[str], value: str, max_rows: int) -> DataFrame:
     """Add ``part`` and ``parts``: groups up to ``max_rows`` stay whole, larger ones are divided
-    by a hash of ``spread``. Collect by ``keys + [part]`` to keep memory bounded."""
+    by a hash of ``value``. Collect by ``keys + [part]`` to keep memory bounded."""
     df = df.join(hot_groups(df, keys, max_rows), keys, "left")
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    return df.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+    df = df.withColumn("parts", F.coalesce(F.col("parts"), F.lit(1)))
+    return df.withColumn("part", part_of(F.col(value).cast("string"), F.col("parts")))
 
 
 def collect_in_parts(df: DataFrame, keys: list[str], value: Column, max_rows: int, name: str) -> DataFrame:
     """Sorted distinct values per key as arrays of bounded size: ``(keys, part, parts, name)``."""
     rows = df.select(*keys, value.alias("_value")).dropDuplicates()
     return (
-        in_parts(rows, keys, ["_value"], max_rows)
+        in_parts(rows, keys, "_value", max_rows)
         .groupBy(*keys, "part", "parts")
         .agg(F.array_sort(F.collect_list("_value")).alias(name))
     )

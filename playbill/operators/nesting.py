@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions import urls
-from playbill.operators.grouping import keep_last
+from playbill.operators.grouping import keep_last, part_of
 
 MAX_EPISODES = 20_000
 
@@ -44,7 +44,7 @@ def nest_seasons(shows: DataFrame, episodes: DataFrame, max_episodes: int = MAX_
     totals = per_season.join(hot.select("_key"), "_key", "left_semi")
 
     eps = eps.join(hot, "_key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    eps = eps.withColumn("part", F.pmod(F.xxhash64("url"), F.col("parts")).cast("int"))
+    eps = eps.withColumn("part", part_of(F.col("url"), F.col("parts")))
     row = F.struct(
         F.coalesce("episode_number", F.lit(0)).alias("_order"),
         F.col("url").alias("_url"),

@@ -11,6 +11,7 @@ from playbill.plans.roles import (
     EPISODES_SQL,
     PAGES_SQL,
     PARSED_SQL,
+    PARTS_SQL,
     SHOWS_SQL,
     SITE,
     day,
@@ -398,8 +399,9 @@ def new_content_summary(spark, sf):
     return stats.content_summary(_content(spark, sf).filter("url is not null"))
 
 
-@query(f"""WITH {EPISODES_SQL} SELECT rtrim(show_url, '/') AS show_url, 0 AS part, 1 AS parts, string_agg(DISTINCT url, ' ' ORDER BY url) AS episode_urls
-FROM episodes GROUP BY 1""")
+@query(f"""WITH {PARTS_SQL}, u AS (SELECT DISTINCT k, url FROM whole), n AS (SELECT k, greatest(ceil(count(*) / 20000), 1)::INT AS parts FROM u GROUP BY k),
+p AS (SELECT k, url, n.parts, CASE WHEN n.parts > 1 THEN ('0x' || substr(md5(url), 1, 8))::BIGINT % n.parts ELSE 0 END::INT AS part FROM u JOIN n USING (k))
+SELECT k AS show_url, part, parts, string_agg(url, ' ' ORDER BY url) AS episode_urls FROM p GROUP BY k, part, parts""")
 def episode_urls(spark, sf):
     eps = episodes(spark, sf).withColumn("show_url", urls.strip_slash(F.col("show_url")))
     rows = grouping.collect_in_parts(eps, ["show_url"], F.col("url"), 20_000, "episode_urls")

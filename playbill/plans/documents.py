@@ -10,6 +10,7 @@ from playbill.operators import api, nesting, quality, upsert
 from playbill.plans.registry import query
 from playbill.plans.roles import (
     EPISODES_SQL,
+    PARTS_SQL,
     SHOWS_SQL,
     SITE,
     day,
@@ -45,12 +46,12 @@ def _spelled(seasons):
     return F.array_join(F.transform(seasons, season), ";")
 
 
-@query(f"""WITH {SHOWS_SQL}, {EPISODES_SQL}, e AS (SELECT rtrim(show_url, '/') AS k, coalesce(season_number, 0) AS s, *,
-    replace(url, '{SITE}/episodes/', 'https://cdn.example/') AS url2 FROM episodes),
-s AS (SELECT k, s, 'Season ' || s AS t, count(*) AS n, string_agg(episode_number || ':' || title || ':' || air_date || ':' || url
-    || ':' || url2 || '.mp4', ',' ORDER BY episode_number, url) AS eps FROM e GROUP BY k, s),
-d AS (SELECT k, string_agg(s || ':' || t || ':' || n || '=' || eps, ';' ORDER BY s) AS seasons, sum(n)::INT AS n FROM s GROUP BY k)
-SELECT url, title_en, 0 AS part, 1 AS parts, coalesce(seasons, '9:Season 9:0=') AS seasons, coalesce(n, 0) AS full_count
+@query(f"""WITH {SHOWS_SQL}, {PARTS_SQL}, n AS (SELECT k, s, count(*) AS n FROM e GROUP BY k, s),
+s AS (SELECT k, part, parts, s, count(*) AS here, string_agg(episode_number || ':' || title || ':' || air_date || ':' || url || ':'
+    || replace(url, '{SITE}/episodes/', 'https://cdn.example/') || '.mp4', ',' ORDER BY episode_number, url, air_date) AS eps FROM e GROUP BY k, part, parts, s),
+d AS (SELECT k, part, parts, string_agg(s || ':Season ' || s || ':' || n || '=' || eps, ';' ORDER BY s) AS seasons, sum(here)::INT AS n
+  FROM s JOIN n USING (k, s) GROUP BY k, part, parts)
+SELECT url, title_en, coalesce(part, 0) AS part, coalesce(parts, 1) AS parts, coalesce(seasons, '9:Season 9:0=') AS seasons, coalesce(n, 0) AS full_count
 FROM shows LEFT JOIN d ON rtrim(url, '/') = k""")
 def nest_seasons(spark, sf):
     return _nested(spark, sf).select(
@@ -71,9 +72,9 @@ def flatten_seasons(spark, sf):
     return rows.select("show", "season_number", "episode_number", "title", "date", "url", "lastmod")
 
 
-@query(f"""WITH {SHOWS_SQL}, {EPISODES_SQL} SELECT s.url, coalesce(string_agg(coalesce(season_number, 0) || '/' || episode_number || '/' || e.url, ' '
-  ORDER BY coalesce(season_number, 0), episode_number, e.url), '') AS episodes
-FROM shows s LEFT JOIN episodes e ON rtrim(s.url, '/') = rtrim(e.show_url, '/') GROUP BY s.url""")
+@query(f"""WITH {SHOWS_SQL}, {PARTS_SQL}, d AS (SELECT k, part, string_agg(s || '/' || episode_number || '/' || url, ' ' ORDER BY s, episode_number, url) AS episodes
+  FROM e GROUP BY k, part)
+SELECT url, coalesce(episodes, '') AS episodes FROM shows LEFT JOIN d ON rtrim(url, '/') = k""")
 def frontend_episodes(spark, sf):
     rows = nesting.frontend_episodes(_nested(spark, sf))
     spelled = F.transform(

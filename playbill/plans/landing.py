@@ -216,7 +216,8 @@ def export_roundtrip(spark, sf):
     meta = spark.read.schema("exported_at string, movies_count bigint, shows_count bigint, episodes_count bigint").json(f"{path}/metadata")
     total = F.col("movies_count") + F.col("shows_count") + F.col("episodes_count")
     return (
-        nested.select(F.lit("show").alias("kind"), "url", F.size(listed).cast("bigint").alias("n"))
+        # A divided show has a document per part.
+        nested.groupBy(F.lit("show").alias("kind"), "url").agg(F.sum(F.size(listed)).alias("n"))
         .unionByName(films.select(F.lit("movie").alias("kind"), "url", F.size("genres").cast("bigint").alias("n")))
         .unionByName(meta.select(F.lit("counts").alias("kind"), F.col("exported_at").alias("url"), total.alias("n")))
     )
@@ -238,7 +239,8 @@ def frontend_sink(spark, sf):
 
     def entries(df, kind, field):
         rows = df.select(F.explode("entries").alias("title", "v"))
-        return rows.select(F.lit(kind).alias("kind"), "title", "v.url", F.size(f"v.{field}").cast("bigint").alias("n"))
+        rows = rows.select("title", "v.url", F.size(f"v.{field}").alias("n"))
+        return rows.groupBy(F.lit(kind).alias("kind"), "title", "url").agg(F.sum("n").alias("n"))
 
     return entries(series, "show", "episodes").unionByName(entries(films, "movie", "genres"))
 
