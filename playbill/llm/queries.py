@@ -35,5 +35,6 @@ def op3_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substrings.cut_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    columns = {"n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "kept_sha256": digest}
+    return substrings.cut_repeats(table(spark, sf_dir, "documents"), columns=columns)

@@ -7,7 +7,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playbill.llm.arrays import Runs, Words, long, mix, words
@@ -161,18 +161,19 @@ def _cut(window: int) -> Callable:
                 out.append((n, n - len(kept), b" ".join(kept).decode()))
             n_words, removed, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch(
-                [batch.column("text_key"), batch.column("check"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["text_key", "check", "n_words", "n_removed", "kept"],
+                [batch.column("text_key"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                names=["text_key", "n_words", "n_removed", "kept"],
             )
 
     return run
 
 
-def cut_repeats(documents: DataFrame, window: int = 35, gram: int = 16) -> DataFrame:
+def cut_repeats(documents: DataFrame, window: int = 35, gram: int = 16, columns: dict[str, Column] | None = None) -> DataFrame:
     """Cut every word that lies in a ``window`` of words which starts at more than one place.
 
     ``documents`` has ``doc_id`` and ``text``; its rows come back with ``n_words``, ``n_removed`` and
-    ``kept`` (the words left, one space between) in place of ``text``. Further columns are not read.
+    ``kept`` (the words left, one space between) in place of ``text``, or with ``columns``, made of these.
+    Further columns are not read.
 
     A count-min sketch goes before the exact count. Counting each window would be as much work as the
     exact count itself, so the sketch counts *anchors*: the least gram of a window occurs at least as often
@@ -183,12 +184,14 @@ def cut_repeats(documents: DataFrame, window: int = 35, gram: int = 16) -> DataF
 
     Defined results: a null or empty text has no words; a text shorter than the window keeps all of
     them; documents with the same text, under whatever id, are copies and lose every window; an empty table
-    gives an empty table. Texts are told apart by 128 bits of hash, their places by 64.
+    gives an empty table. Texts too are told apart by 64 bits of hash.
     """
-    named = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    named = named.withColumns({"text_key": F.xxhash64("text"), "check": F.xxhash64(F.lit(1), "text")})
-    texts = named.groupBy("text_key", "check").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    named = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    texts = named.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     estimated = _repeated(texts.mapInArrow(_cells(window, gram), _ROWS))
     windows = texts.join(estimated, "text_key", "left").mapInArrow(_windows(window, gram), _ROWS)
-    cut = texts.join(_repeated(windows), "text_key", "left").mapInArrow(_cut(window), "text_key long, check long, n_words long, n_removed long, kept string")
-    return named.select("doc_id", "text_key", "check").join(cut, ["text_key", "check"]).select("doc_id", "n_words", "n_removed", "kept")
+    cut = texts.join(_repeated(windows), "text_key", "left").mapInArrow(_cut(window), "text_key long, n_words long, n_removed long, kept string")
+    # What is asked for is made once a text, before it is handed to the documents.
+    wanted = columns or {c: F.col(c) for c in ("n_words", "n_removed", "kept")}
+    made = cut.select("text_key", *[c.alias(name) for name, c in wanted.items()])
+    return named.select("doc_id", "text_key").join(made, "text_key").drop("text_key")
