@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import near_documents, near_vectors, substrings
+from playbill.llm import bpe, near_documents, near_vectors, substrings, token_blocks
 from playbill.session import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +39,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.col("kept").cast("binary"), 256)
     columns = {"n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "kept_sha256": digest}
     return substrings.cut_repeats(table(spark, sf_dir, "documents"), columns=columns)
+
+
+@query
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_blocks.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_blocks.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
