@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import bpe, near_documents, near_vectors, substrings, token_blocks
+from playbill.llm import bpe, languages, near_documents, near_vectors, separators, substrings, token_blocks
 from playbill.session import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def op3_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents.groups(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
 
 
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = languages.fit(documents, ~languages.held_out())
+    named = documents.select("doc_id", "text", languages.held_out().alias("held_out"))
+    return languages.identify(named, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.col("kept").cast("binary"), 256)
@@ -41,6 +49,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_repeats(table(spark, sf_dir, "documents"), columns=columns)
 
 
+@query
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    contents = separators.write(table(spark, sf_dir, "documents"), path, pattern, end=50256)
+    return separators.counts(contents, end=50256)
+
+
 @query
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_blocks.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
