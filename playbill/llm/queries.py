@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import bpe, languages, leaks, near_documents, near_vectors, separators, substrings, token_blocks
+from playbill.llm import bpe, languages, leaks, near_documents, near_vectors, personal, separators, substrings, token_blocks
 from playbill.session import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,18 @@ def op3_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents.groups(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
 
 
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[personal.count(spans, kind).alias(f"n_{kind}") for kind in personal.BASE],
+        F.sha2(personal.listed(spans, personal.BASE), 256).alias("base_sha256"),
+        personal.listed(spans).alias("spans"),
+    )
+
+
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
