@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playbill.session import written
+from playbill.llm.store import written
+
+
+#: Rows of two longs that are sent to every executor at most.
+BROADCAST = 2_000_000
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -62,8 +66,10 @@ def link(
     holds several components, and only there, members of different components are compared too. So a group
     of copies takes one comparison a member, and no link that could join two components is left out.
     """
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
+    hubs = written(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
+    # Two longs a row: small enough to send to every executor up to the bound, and joined by a shuffle beyond it.
+    near = F.broadcast(hubs) if hubs.count() <= BROADCAST else hubs
+    shared = written(members.join(near, "bucket"), "buckets")
     found = written(texts(shared.select("id").distinct()), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from playbill.llm.arrays import Runs, Words, long, mix, words
 from playbill.llm.components import link
-from playbill.session import written
+from playbill.llm.store import written
 
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 

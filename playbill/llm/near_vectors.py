@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playbill.llm.components import components
-from playbill.session import written
+from playbill.llm.store import written
 
 #: Dimensions of a block; its first two also say in which cell of the block's grid a vector lies.
 BLOCK = 8

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import bpe, languages, leaks, near_documents, near_vectors, personal, separators, substrings, token_blocks
+from playbill.llm import bpe, languages, leaks, lines, near_documents, near_vectors, personal, separators, substrings, token_blocks
 from playbill.session import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,21 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.links(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    marked = lines.marks(documents)
+    text = F.coalesce("text", F.lit(""))
+    every = documents.select("doc_id", F.xxhash64(text).alias("text_key"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    same = F.expr("doc_id <=> d and text_key = k")
+    return every.join(marked.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "removed"), same, "left").select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"),
+    )
+
+
 @query
 def op3_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents.groups(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")

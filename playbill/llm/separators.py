@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playbill.llm import files
-from playbill.session import fresh_path, written
+from playbill.llm.store import written
+from playbill.session import fresh_path
 
 #: Bytes of a file that a task searches at once.
 BLOCK = 1 << 22

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playbill.llm import files
-from playbill.session import fresh_path, written
+from playbill.llm.store import written
+from playbill.session import fresh_path
 
 #: Ids of a block, and the share of them that its width covers at least.
 BLOCK, COVERED = 128, 0.9
