@@ -211,7 +211,7 @@ def write(documents: DataFrame, path: str, end: int) -> DataFrame:
     Null and empty texts have the id ``end`` alone; rows may repeat; an empty table has no files. A
     file is one range of ids, written frame by frame."""
     folder = fresh_path(documents.sparkSession, "tokens")
-    ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(_write(folder, path, end), "part int, path string, n_docs long, n_tokens long"), "files")
 
 
