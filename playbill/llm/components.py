@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from playbill.llm.store import written
 
 
-#: Rows of two longs that are sent to every executor at most.
-BROADCAST = 2_000_000
+#: Buckets whose hubs are sent to every executor at most (a few longs each), and hubs of a bucket.
+BROADCAST, HUBS = 1_000_000, 3
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -58,34 +58,42 @@ def link(
 ) -> DataFrame:
     """``id`` and ``component`` of the texts that share a bucket and are similar to another one.
 
-    ``members`` has ``bucket``, ``id`` and ``size`` (a row for each bucket of an id). ``texts`` gives ``id``
+    ``members`` has ``bucket``, ``id`` and ``sign`` (a row for each bucket of an id). ``texts`` gives ``id``
     and ``text`` of a table of ids; ``similar`` keeps, of pairs ``a``, ``b`` with the texts ``text_a`` and
-    ``text_b``, the true links; ``can(x, y)`` is a SQL condition on two sizes that every true link meets.
+    ``text_b``, the true links; ``can(x, y)`` is a SQL condition on two signs that true links meet.
 
-    First each member is compared with the smallest id of its bucket. Where a bucket then still
-    holds several components, and only there, members of different components are compared too. So a group
-    of copies takes one comparison a member, and no link that could join two components is left out.
+    First each member is compared with a few hubs of its bucket: the smallest id, and the first ids in other orders.
+    Where a bucket then still holds several components, and only there, members of different components
+    are compared too. So a group of copies takes a few comparisons a member, and no link that could
+    join two components is left out.
     """
-    hubs = written(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
-    # Two longs a row: small enough to send to every executor up to the bound, and joined by a shuffle beyond it.
+    orders = [F.col("id"), *[F.xxhash64(F.lit(j), "id") for j in range(1, HUBS)]]
+    picked = [F.min_by("id", order).alias(f"hub_{j}") for j, order in enumerate(orders)]
+    hubs = members.groupBy("bucket").agg(*picked, F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = written(hubs, "hubs")
+    # Small enough to send to every executor up to the bound, and joined by a shuffle beyond it.
     near = F.broadcast(hubs) if hubs.count() <= BROADCAST else hubs
     shared = written(members.join(near, "bucket"), "buckets")
-    found = written(texts(shared.select("id").distinct()), "texts")
+    signs = written(shared.groupBy("id").agg(F.first("sign").alias("sign")), "signs")
+    found = written(texts(signs.select("id")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return written(similar(with_a.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")), "links")
 
-    sizes = shared.where("id = hub").select("bucket", F.col("size").alias("hub_size"))
-    first = verified(
-        shared.where("id <> hub").join(sizes, "bucket").where(can("size", "hub_size")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    hub = F.explode(F.array_distinct(F.array(*[f"hub_{j}" for j in range(HUBS)]))).alias("hub")
+    star = shared.select("id", hub).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    signed = star.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sign_a")), "a").join(
+        signs.select(F.col("id").alias("b"), F.col("sign").alias("sign_b")), "b"
     )
+    first = verified(signed.where(can("sign_a", "sign_b")).select("a", "b"))
     placed = shared.join(components(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    one = written(placed.join(mixed, "bucket").select("bucket", "id", "size", "hub", "component"), "mixed")
+    one = written(placed.join(mixed, "bucket"), "mixed")
     if one.isEmpty():
         return components(first)
-    two = one.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("id", "size", "component")])
-    rest = one.join(two, "bucket").where("component < component_2 and id <> hub and id_2 <> hub").where(can("size", "size_2"))
+    two = one.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("id", "sign", "component")])
+    new = " and ".join(f"{i} <> hub_{j}" for i in ("id", "id_2") for j in range(HUBS))
+    rest = one.join(two, "bucket").where(f"component < component_2 and {new}").where(can("sign", "sign_2"))
     pairs = rest.select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct()
     return components(first.unionAll(verified(pairs)))

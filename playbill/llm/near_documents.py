@@ -153,7 +153,7 @@ def groups(documents: DataFrame, k: int = 5, threshold: float = 0.8, bands: int
         same = named.join(wanted, F.expr("text_key = t and check = c and doc_id <=> d"))
         return same.dropDuplicates(["id"]).select("id", "text")
 
-    members = texts.where("size > 0").select("id", "size", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    members = texts.where("size > 0").select("id", F.col("size").alias("sign"), F.explode(F.array_distinct("buckets")).alias("bucket"))
     linked = link(
         members,
         fetch,
