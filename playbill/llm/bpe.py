@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # How text is cut before the merges, as the vocabulary file's byte-level scheme defines it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def _letters() -> dict[int, str]:
@@ -105,7 +105,7 @@ def load(path: str) -> Bpe:
 def _added(path: str, source: str, target: str, kind: pa.DataType, of: Callable[[Bpe], Callable]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = of(load(path))
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             column = batch.column(source)
             done = pa.array((None if x is None else step(x) for x in column.to_pylist()), kind)
             yield pa.record_batch([*batch.columns, done], names=[*batch.schema.names, target])
