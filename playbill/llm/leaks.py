@@ -118,8 +118,8 @@ class _Item:
 def _lengths(n: int) -> int:
     """The length of window that an item of ``n`` words is searched with: a step of a geometric scale, so few lengths serve all items."""
     length = LEAST
-    while int(length * 1.2) + 1 <= n:
-        length = int(length * 1.2) + 1
+    while int(length * 1.35) + 1 <= n:
+        length = int(length * 1.35) + 1
     return length
 
 
@@ -177,7 +177,7 @@ def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, wh
                 place = np.arange(len(left)) - np.repeat(w.at[:-1], counts)
                 owner = w.owner()
                 for length, own in items.items():
-                    step = max(1, length // 6)
+                    step = max(1, length // 5)
                     at = np.flatnonzero((left >= length) & ((place % step == 0) | (left == length)))
                     window = (sums[at + length] - sums[at]).astype(np.float32)
                     window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
@@ -206,7 +206,7 @@ def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.7, whole:
     """Benchmark items (``item_id``, ``text``) that documents (``doc_id``, ``text``) hold: ``doc_id``, ``text_key`` (xxhash64 of the
     text), ``item_id``, ``lcs`` (words of the item found in order), ``n_words`` (of the item) and ``cosine`` (of the best window).
 
-    Windows of about an item's length slide over every document, in steps of a sixth of it; those whose latent
+    Windows of about an item's length slide over every document, in steps of a fifth of it; those whose latent
     vector has ``cosine`` or more with the item's are candidates. A candidate is a leak if the item and the
     words around the window have a common subsequence of ``whole`` of the item, or of ``part`` of it and its
     last ``answer`` words too, all of them: a paraphrase that keeps the answer. Words are
