@@ -202,7 +202,7 @@ def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, wh
     return run
 
 
-def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.7, whole: float = 0.8, part: float = 0.6, answer: int = 5) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.6, whole: float = 0.8, part: float = 0.6, answer: int = 5) -> DataFrame:
     """Benchmark items (``item_id``, ``text``) that documents (``doc_id``, ``text``) hold: ``doc_id``, ``text_key`` (xxhash64 of the
     text), ``item_id``, ``lcs`` (words of the item found in order), ``n_words`` (of the item) and ``cosine`` (of the best window).
 
