@@ -48,7 +48,7 @@ def _placed(threshold: float) -> Callable:
                 own = np.flatnonzero(sizes == dim)
                 rows = vectors.take(pa.array(own))
                 x = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(own), dim)
-                x /= np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
                 turned = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ _rotation(int(dim))
                 packed = pa.array([r.tobytes() for r in turned], pa.binary())
                 for b, (cut, budget) in enumerate(zip(_blocks(dim), _budgets(dim, threshold), strict=True)):
