@@ -24,9 +24,10 @@ def since_marker(items: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def next_markers(new_items: DataFrame, state: DataFrame) -> DataFrame:
-    """State after a poll: the first new item's guid, else the old marker."""
+    """State after a poll: the first new item's guid, else the old marker. A feed that the state
+    does not know yet gets its first marker."""
     first = new_items.groupBy("feed").agg(F.min_by("guid", "pos").alias("_guid"))
-    rows = state.join(first, "feed", "left")
+    rows = state.join(first, "feed", "full_outer")
     return rows.withColumn("last_guid", F.coalesce("_guid", "last_guid")).drop("_guid")
 
 

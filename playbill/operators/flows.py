@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playbill.functions import urls
+from playbill.functions.dates import iso_timestamp, modified_after
 from playbill.operators import api, feeds, frontier, joins, quality, upsert
-from playbill.operators.grouping import keep_latest
+from playbill.operators.grouping import keep_latest, latest_per_key
 from playbill.schemas import conform, schema_of
 from playbill.sources import xml
 
@@ -45,12 +47,33 @@ def build_catalogue(
 ) -> DataFrame:
     """The next version of a catalogue table: complete API posts before page records, coerced,
     without records that lack a URL, upserted with change tracking. ``pages`` are extracted
-    records, and ``lastmod`` is the post's change time where the page has none."""
-    from_api = api.map_posts(posts, kind, since).withColumn("source", F.lit("api"))
-    from_api = from_api.withColumn("lastmod", F.col("modified_gmt"))
-    merged = joins.merge_sources(from_api, pages)
-    records = quality.require_fields(conform(quality.coerce_records(merged), schema_of(kind)), kind)
-    batch = records.drop("missing").withColumn("pos", F.lit(0))
+    records, one per URL, and ``lastmod`` is the post's change time where the page has none.
+
+    Both sides spell URLs alike. API pages overlap, so of the posts of a URL the last changed counts,
+    then the greatest id. With ``since`` the records of stored URLs whose post has not changed are left out.
+    Stored columns that neither side delivers keep their values."""
+    spelled = urls.normalize_url(F.col("url"), nfkc=True)
+    mapped = api.map_posts(posts, kind).withColumn("url", spelled)
+    newest = [F.coalesce("modified_gmt", F.lit("")), F.coalesce("api_id", F.lit(0))]
+    mapped = latest_per_key(mapped, ["url"], newest)
+    pages = pages.withColumn("url", spelled)
+    if "lastmod" not in pages.columns:
+        pages = pages.withColumn("lastmod", F.lit(None).cast("string"))
+    times = mapped.select("url", F.col("modified_gmt").alias("_changed"))
+    pages = pages.join(times, "url", "left").withColumn("lastmod", F.coalesce("lastmod", "_changed")).drop("_changed")
+    fresh = mapped
+    if since is not None:
+        changed = modified_after(iso_timestamp(F.col("modified_gmt")), since, on_unparsed=True)
+        stored = existing.select(urls.strip_slash(F.col("url")).alias("url"))
+        pages = pages.join(mapped.filter(~changed).select("url").join(stored, "url", "left_semi"), "url", "left_anti")
+        fresh = mapped.filter(changed)
+    from_api = fresh.withColumn("source", F.lit("api"))
+    merged = joins.merge_sources(from_api.drop("lastmod"), pages)
+    merged = merged.withColumn("lastmod", F.coalesce("lastmod", "modified_gmt"))
+    delivered = quality.coerce_records(merged)
+    known = [f.name for f in schema_of(kind).fields if f.name in delivered.columns]
+    checked = quality.require_fields(conform(delivered, schema_of(kind)), kind)
+    batch = checked.select(*known).withColumn("pos", F.lit(0))
     return upsert.upsert(existing, batch, scraped_at)
 
 

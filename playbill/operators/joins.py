@@ -85,9 +85,3 @@ def children_of(episodes: DataFrame, parents: DataFrame, number_order: bool = Tr
     keyed = parents.select(urls.strip_slash(F.col("url")).alias("_show"))
     rows = episodes.join(keyed, urls.strip_slash(F.col("show_url")) == F.col("_show"), "left_semi")
     return rows.orderBy("show_url", "season_number", "episode_number", "url") if number_order else rows
-
-
-def children_of_show(episodes: DataFrame, show_url: Column) -> DataFrame:
-    """Episodes of one show, ordered by season and number."""
-    rows = episodes.filter(urls.strip_slash(F.col("show_url")) == urls.strip_slash(show_url))
-    return rows.orderBy("season_number", "episode_number", "url")

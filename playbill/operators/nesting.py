@@ -111,8 +111,10 @@ def keyed_by_title(df: DataFrame, pos: str, title: str = "title_en", parts: bool
     record of a title wins. Divided documents pass ``parts`` to keep all parts of the winner."""
     rows = df.filter(F.coalesce(F.col(title), F.lit("")) != "")
     if parts:
-        last = rows.groupBy(title).agg(F.max(pos).alias(pos))
-        rows = rows.join(last, [title, pos], "left_semi")
+        # Of records with one title and place, the greatest URL: one winner, with all its parts.
+        last = rows.groupBy(title).agg(F.max(F.struct(pos, "url")).alias("_last"))
+        last = last.select(title, F.col(f"_last.{pos}").alias(pos), F.col("_last.url").alias("url"))
+        rows = rows.join(last, [title, pos, "url"], "left_semi").select(*df.columns)
     else:
         rows = keep_last(rows, [title], pos)
     return rows.select(F.col(title).alias("key"), F.struct(*[c for c in df.columns if c != pos]).alias("value"))

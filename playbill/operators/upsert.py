@@ -15,11 +15,15 @@ def upsert(existing: DataFrame, incoming: DataFrame, scraped_at: Column, pos: st
 
     A record is new when its URL is unseen or its lastmod differs, nulls included; otherwise the
     stored flag stays. Columns of the batch overwrite, other columns keep their stored value.
-    The last arrival of a URL wins; rows without a URL are left out.
+    The last arrival of a URL wins; rows without a URL are left out. A column that the table
+    lacks is an error, not a loss.
     """
+    if unknown := sorted(set(incoming.columns) - set(existing.columns) - {pos}):
+        raise ValueError(f"columns that the table lacks: {', '.join(unknown)}")
     batch = incoming.withColumn("url", urls.strip_slash(F.col("url"))).filter(F.col("url") != "")
     batch = keep_last(batch, ["url"], pos).drop(pos)
-    old, new = existing.withColumn("_old", F.lit(True)).alias("o"), batch.withColumn("_new", F.lit(True)).alias("n")
+    stored = existing.withColumn("url", urls.strip_slash(F.col("url")))
+    old, new = stored.withColumn("_old", F.lit(True)).alias("o"), batch.withColumn("_new", F.lit(True)).alias("n")
     both = old.join(new, "url", "full_outer")
     touched, seen = F.col("_new").isNotNull(), F.col("_old").isNotNull()
     same = F.col("o.lastmod").eqNullSafe(F.col("n.lastmod"))

@@ -85,9 +85,12 @@ def sitemap_counters(spark, sf):
     CASE WHEN p_type <> 'SMALL' THEN p_retailprice END AS rating, 'api' AS source FROM part WHERE p_size > 40 OR 1950 + p_size >= 1970),
 page AS (SELECT p_partkey AS k, 'Page of ' || p_name AS title_en, 'html_extraction' AS source FROM part),
 old AS (SELECT DISTINCT l_partkey AS k, '1960-06-01T00:00:00' AS lastmod FROM lineitem)
-SELECT '{SITE}/movies/' || page.k AS url, coalesce(api.title_en, page.title_en) AS title_en, api.lastmod, rating, coalesce(api.source, page.source) AS source,
-  CASE WHEN old.k IS NULL THEN 1 WHEN old.lastmod IS DISTINCT FROM api.lastmod THEN 1 ELSE 0 END AS is_new, '2024-01-01' AS last_scraped
-FROM page LEFT JOIN api USING (k) LEFT JOIN old USING (k)""")
+SELECT '{SITE}/movies/' || page.k AS url, coalesce(api.title_en, page.title_en) AS title_en, coalesce(api.lastmod, every.lastmod) AS lastmod, rating,
+  coalesce(api.source, page.source) AS source, CASE WHEN old.k IS NULL THEN 1 WHEN old.lastmod IS DISTINCT FROM api.lastmod THEN 1 ELSE 0 END AS is_new,
+  '2024-01-01' AS last_scraped, CASE WHEN old.k IS NOT NULL THEN 'stored' END AS sitemap_url
+FROM page LEFT JOIN api USING (k) LEFT JOIN old USING (k) LEFT JOIN (SELECT p_partkey AS k, (1950 + p_size) || '-06-01T00:00:00' AS lastmod FROM part) every USING (k)
+WHERE api.k IS NOT NULL OR old.k IS NULL
+UNION ALL SELECT '{SITE}/movies/' || k, NULL, lastmod, NULL, NULL, 0, NULL, 'stored' FROM old WHERE k NOT IN (SELECT k FROM api)""")
 def catalogue_build(spark, sf):
     key = F.col("p_partkey")
     crawled = source(spark, sf, "part").select(
@@ -95,11 +98,13 @@ def catalogue_build(spark, sf):
     )
     records = html.extract(crawled, "movies", ["title_en", "poster", "genres"]).withColumn("source", F.lit("html_extraction"))
     old = table(spark, sf, "lineitem").select(text(f"{SITE}/movies/", F.col("l_partkey")).alias("url")).distinct()
-    old = old.withColumns({"lastmod": F.lit("1960-06-01T00:00:00"), "is_new": F.lit(0)})
+    old = old.withColumns({"lastmod": F.lit("1960-06-01T00:00:00"), "is_new": F.lit(0), "sitemap_url": F.lit("stored")})
     existing = conform(old, schema_of("movies"), {})
-    posts = landed.parse_posts(movie_posts(spark, sf))
+    # Links with a slash, and every post twice, as API pages overlap.
+    posts = landed.parse_posts(movie_posts(spark, sf)).withColumn("link", F.concat("link", F.lit("/")))
+    posts = posts.unionAll(posts)
     built = flows.build_catalogue("movies", posts, records, existing, F.lit("2024-01-01"), ts("1970-01-01"))
-    return built.select("url", "title_en", "lastmod", "rating", "source", "is_new", "last_scraped")
+    return built.select("url", "title_en", "lastmod", "rating", "source", "is_new", "last_scraped", "sitemap_url")
 
 
 _ROUND_SQL = """marker AS (SELECT event_type AS feed, max(event_id) AS m FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1),

@@ -47,14 +47,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a lineage cut that
-    survives the loss of executors, for results that are read more than once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add or replace columns, each computed once per row. They are generator output, so a later
     filter reads their value; on a projected column the optimizer would move the filter below

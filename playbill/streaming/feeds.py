@@ -29,13 +29,13 @@ def landed_feeds(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 
 def unseen_items(items: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "7 days") -> DataFrame:
     """Items whose key has not been seen. With ``event_time`` keys are forgotten ``delay`` after
-    they were last seen, else never; repeats within a batch go before the shuffle."""
+    they were first seen, else never. Without it repeats within a batch go before the shuffle; with
+    it a repeat may be the one row of its key that is not late, so all rows go to the state."""
+    if event_time is not None:
+        return items.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.drop_duplicates(keys)
 
-    if event_time is None:
-        return items.mapInPandas(once, items.schema).dropDuplicates(keys)
-    early = items.mapInPandas(once, items.schema)
-    return early.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    return items.mapInPandas(once, items.schema).dropDuplicates(keys)
