@@ -119,7 +119,7 @@ def test_since_marker(spark):
     state = spark.createDataFrame([("a", "a2"), ("b", ""), ("c", "gone")], "feed string, last_guid string")
     fresh = feeds.since_marker(items, state)
     assert rows(fresh.groupBy("feed").count()) == [("a", 2), ("b", 4), ("c", 4), ("d", 4)]
-    assert rows(feeds.next_markers(fresh, state).select("feed", "last_guid")) == [("a", "a0"), ("b", "b0"), ("c", "c0")]
+    assert rows(feeds.next_markers(fresh, state).select("feed", "last_guid")) == [("a", "a0"), ("b", "b0"), ("c", "c0"), ("d", "d0")]
 
 
 def test_pending_queue(spark):
