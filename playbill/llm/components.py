@@ -12,6 +12,8 @@ from playbill.llm.store import written
 
 #: Buckets whose hubs are sent to every executor at most (a few longs each), and hubs of a bucket.
 BROADCAST, HUBS = 1_000_000, 3
+#: Rounds with further hubs where a bucket holds several components, and hubs of a round.
+ROUNDS, MORE = 2, 20
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -50,6 +52,19 @@ def components(edges: DataFrame) -> DataFrame:
     return ids.unionAll(now.select("b", "b").distinct())
 
 
+def close(x: str, y: str, longs: int, threshold: float) -> str:
+    """SQL condition that two sets of a Jaccard similarity of ``threshold`` or more meet. ``x`` and ``y`` are arrays: the set's size
+    or more, the number of bits set in its bitmap, and the bitmap (a bit for each member's hash) as ``longs`` longs.
+
+    Members of one set alone set at most a bit each, and only where the other has none: no more bits differ than
+    sets at the threshold have such members, and, in all but one of ten thousand cases, than the share of free bits lets expect.
+    """
+    alone = f"({x}[0] + {y}[0]) * {(1 - threshold) / (1 + threshold) + 1e-9}D"
+    hit = f"({alone} * (1 - least({x}[1], {y}[1]) / {64 * longs}D))"
+    differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(2, 2 + longs))
+    return f"({differ}) <= least({alone}, {hit} + 3.7D * sqrt({hit}))"
+
+
 def link(
     members: DataFrame,
     texts: Callable[[DataFrame], DataFrame],
@@ -63,9 +78,9 @@ def link(
     ``text_b``, the true links; ``can(x, y)`` is a SQL condition on two signs that true links meet.
 
     First each member is compared with a few hubs of its bucket: the smallest id, and the first ids in other orders.
-    Where a bucket then still holds several components, and only there, members of different components
-    are compared too. So a group of copies takes a few comparisons a member, and no link that could
-    join two components is left out.
+    Where a bucket then holds several components, ids outside its largest one are compared with more hubs of that, in
+    rounds. What still lies in different components of a bucket after that is compared pair by pair, a pair in one bucket only.
+    So a group of copies takes a few comparisons a member, and no link that could join two components is left out.
     """
     orders = [F.col("id"), *[F.xxhash64(F.lit(j), "id") for j in range(1, HUBS)]]
     picked = [F.min_by("id", order).alias(f"hub_{j}") for j, order in enumerate(orders)]
@@ -81,19 +96,42 @@ def link(
         with_a = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return written(similar(with_a.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")), "links")
 
+    def compared(hub_of: DataFrame) -> DataFrame:
+        """Links among ``id`` and ``hub``."""
+        star = hub_of.where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+        signed = star.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sign_a")), "a").join(
+            signs.select(F.col("id").alias("b"), F.col("sign").alias("sign_b")), "b"
+        )
+        return verified(signed.where(can("sign_a", "sign_b")).select("a", "b"))
+
     hub = F.explode(F.array_distinct(F.array(*[f"hub_{j}" for j in range(HUBS)]))).alias("hub")
-    star = shared.select("id", hub).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-    signed = star.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sign_a")), "a").join(
-        signs.select(F.col("id").alias("b"), F.col("sign").alias("sign_b")), "b"
-    )
-    first = verified(signed.where(can("sign_a", "sign_b")).select("a", "b"))
-    placed = shared.join(components(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    one = written(placed.join(mixed, "bucket"), "mixed")
-    if one.isEmpty():
-        return components(first)
-    two = one.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("id", "sign", "component")])
-    new = " and ".join(f"{i} <> hub_{j}" for i in ("id", "id_2") for j in range(HUBS))
-    rest = one.join(two, "bucket").where(f"component < component_2 and {new}").where(can("sign", "sign_2"))
-    pairs = rest.select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct()
-    return components(first.unionAll(verified(pairs)))
+    tree = components(compared(shared.select("id", hub)))
+    held, turn = shared.select("bucket", "id"), 0
+    while True:
+        placed = held.select("bucket", "id").join(tree, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = [F.min_by("id", F.xxhash64(F.lit(HUBS + turn * MORE + j), "id")) for j in range(MORE)]
+        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.array_distinct(F.array(*more)).alias("hubs"))
+        main = parts.groupBy("bucket").agg(
+            F.max_by(F.struct("component", "hubs"), F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")
+        )
+        mixed = main.where("parts > 1").select("bucket", F.col("main.component").alias("main"), "main.hubs", "n")
+        held = written(placed.join(mixed, "bucket"), "mixed")
+        if turn == ROUNDS or held.isEmpty():
+            break
+        # Each id outside meets the hubs of its fullest bucket; the rounds need not be complete.
+        outside = held.where("component <> main").groupBy("id").agg(F.max_by("hubs", F.struct("n", "bucket")).alias("hubs"))
+        new = compared(outside.select("id", F.explode("hubs").alias("hub")))
+        if new.isEmpty():
+            break
+        tree = components(tree.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(new))
+        turn += 1
+    if held.isEmpty():
+        return tree
+    every = held.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    one = held.select("bucket", "id", "component", "main").join(signs, "id").join(every, "id")
+    one = written(one, "rest")
+    two = one.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("id", "sign", "component", "buckets")])
+    once = "(component_2 = main or id < id_2) and array_min(array_intersect(buckets, buckets_2)) = bucket"
+    rest = one.where("component <> main").join(two, "bucket").where(f"component <> component_2 and {can('sign', 'sign_2')} and {once}")
+    pairs = rest.select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b"))
+    return components(tree.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(verified(pairs)))
