@@ -13,7 +13,7 @@ from playbill.llm.store import written
 #: Buckets whose hubs are sent to every executor at most (a few longs each), and hubs of a bucket.
 BROADCAST, HUBS = 1_000_000, 3
 #: Rounds with further hubs where a bucket holds several components, and hubs of a round.
-ROUNDS, MORE = 2, 20
+ROUNDS, MORE = 1, 20
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
