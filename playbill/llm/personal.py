@@ -14,12 +14,17 @@ ENOUGH = 0.5
 # What each kind looks like. Possessive quantifiers and the conditions on the place before a match change no match;
 # they keep the time in proportion to the text, and the stack flat, however long a run of its letters is.
 _LOCAL = "A-Za-z0-9._%+-"
+# What follows the first four characters of an account number, and numbers in groups of four that their country ends with a
+# whole group: a word after such a number looks like one group more.
+_REST = r"(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])"
+_GROUPS = {3: "BE", 4: "AT|BA|EE|KZ|LT|LU|MN|XK", 5: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 6: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 7: "LC"}
+_WHOLE_GROUPS = "^(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20[A-Z0-9]{{4}}){{{n}}}" for n, c in _GROUPS.items()) + ")"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?={_REST})",
     "local_phone": r"(?<![0-9+.-])0[0-9][\x20()./0-9-]{5,16}[0-9](?![0-9])",
 }
 # Prior score of a kind, what a checksum adds that holds, and what a word nearby adds.
@@ -96,6 +101,23 @@ def _holds(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _accounts(text: Column, heads: Column) -> Column:
+    """Account numbers that hold, from the places of their first four characters: the longest match, or its part of the
+    length that the country fixes if that holds; of those that overlap the leftmost."""
+    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string>>>"
+    longest = F.transform(heads, lambda h: F.struct(h["start"].alias("start"), F.regexp_extract(F.substr(text, h["start"] + 1, F.lit(44)), "^[A-Z]{2}[0-9]{2}" + _REST, 0).alias("text")))
+    both = F.transform(longest, lambda s: F.struct(s["start"].alias("start"), F.array(F.regexp_extract(s["text"], _WHOLE_GROUPS, 0), s["text"]).alias("texts")))
+    held = F.transform(both, lambda s: F.struct(s["start"].alias("start"), F.get(F.filter(s["texts"], lambda x: _holds("iban", x)), F.lit(0)).alias("text")))
+
+    def add(acc: Column, s: Column) -> Column:
+        last = s["start"] + F.length(s["text"])
+        span = F.struct(s["start"].alias("start"), last.alias("end"), s["text"].alias("text"))
+        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(last.alias("at"), F.array_append(acc["out"], span).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    return F.aggregate(F.filter(held, lambda s: s["text"].isNotNull()), begin, add, lambda acc: acc["out"])
+
+
 def _scored(kind: str, text: Column, spans: Column) -> Column:
     """Spans that hold, each with its kind and score; added kinds only from ``ENOUGH`` on."""
 
@@ -114,7 +136,8 @@ def find(documents: DataFrame) -> DataFrame:
     """Add ``spans`` to every document: ``kind``, ``start``, ``end`` (code points, end exclusive), ``score`` and ``text`` of the
     personal data in its whole ``text``, by kind and then by place.
 
-    Of each kind the leftmost matches that do not overlap are candidates; kinds may overlap each other. Addresses,
+    Of each kind the leftmost matches that do not overlap are candidates (of account numbers, those that hold); kinds may overlap
+    each other. An account number in groups ends where its country's length does, if it holds there. Addresses,
     cards (Luhn) and phones of the base kinds stay if their check holds. Account numbers (mod 97), shorter cards and phones without
     a country code are added if prior, checksum and words within ``REACH`` make a score of ``ENOUGH``.
 
@@ -136,6 +159,7 @@ def find(documents: DataFrame) -> DataFrame:
     # Most texts have no match of a kind: only the others are taken apart.
     rows = computed(rows, {f"__between_{k}": F.when(F.size(f"__{k}") > 0, F.split(text, p, -1)) for k, p in PATTERNS.items()})
     rows = computed(rows, {f"__{k}": _placed(F.col(f"__{k}"), F.col(f"__between_{k}")) for k in PATTERNS})
+    rows = computed(rows, {"__iban": F.when(F.size("__iban") > 0, _accounts(text, F.col("__iban"))).otherwise(F.col("__iban"))})
     found = [_scored(k, text, F.col("__card" if k == "short_card" else f"__{k}")) for k in BASE + ADDED]
     rows = computed(rows, {"spans": F.concat(*found)})
     return rows.drop("__t", *[f"__{k}" for k in PATTERNS], *[f"__between_{k}" for k in PATTERNS])

@@ -271,6 +271,16 @@ def test_personal(spark, docs, odd):
     assert personal.redact(added).first().text.startswith("IBAN <iban>, GB82")
 
 
+def test_account_numbers_end_with_their_last_group(spark):
+    whole = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00"]
+    after = [" BIC GKCC", " 2024", " IN", " ABCD 1234 EF", ",", "", " DE89 3704 0044 0532 0130 00 X"]
+    rows = [(w, a, f"é IBAN {w}{a}") for w in whole for a in after] + [("", "", "IBAN BE68 5390 0754 7035 2024"), ("", "", "IBAN DE89 3704 0044 0532 0130 01")]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [s.text for s in r.spans if s.kind == "iban"] for r in personal.find(df).collect()}
+    for i, (w, a, t) in enumerate(rows):
+        assert got[i] == ([w] if w else []) + (["DE89 3704 0044 0532 0130 00"] if "DE89" in a else []), t
+
+
 def test_languages(spark, docs, odd):
     known = ~languages.held_out()
     model = languages.fit(docs, known)
