@@ -32,7 +32,7 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    marked = lines.marks(documents)
+    marked = lines.marks(documents, k=lines.SHORT)
     text = F.coalesce("text", F.lit(""))
     every = documents.select("doc_id", F.xxhash64(text).alias("text_key"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
     same = F.expr("doc_id <=> d and text_key = k")

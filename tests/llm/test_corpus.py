@@ -149,6 +149,18 @@ def test_lines(docs, odd):
     assert left[1] is None and left[2] == "" and left[4] == "one two" and 7 not in left and left[9] == "ünï 漢字 😀\n"
 
 
+def test_lines_with_one_character_changed(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for i, n in enumerate(range(40, 101)):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=n - 2))
+        at = rng.randrange(8, n - 10)
+        rows += [(2 * i, f"<{line}>"), (2 * i + 1, f"<{line[:at]}#{line[at + 1:]}>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in QUERIES["op2_fuzzy_lines"](spark, str(tmp_path)).collect()}
+    assert removed == {d: d % 2 for d, _ in rows}
+
+
 def test_native_operators_run_no_python(docs):
     for df in (personal.find(docs), lines.drop_repeats(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
