@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from playbill.llm.arrays import Words, words
 
 #: Buckets of hashed words, dimensions kept of the decomposition, and those sketched.
-BITS, KEPT, SKETCHED = 14, 32, 40
+BITS, KEPT, SKETCHED = 14, 128, 144
 #: Words of a passage of the decomposition.
 PASSAGE = 64
+#: Words, or terms of passages, whose vectors are held at once.
+BLOCK = 1 << 14
 #: Items of the benchmark that one pass over the documents searches for.
 ITEMS = 10_000
 #: Words that an item has at least; shorter ones match by chance and are not searched.
@@ -65,11 +67,15 @@ def _sketch(idf: np.ndarray) -> Callable:
                 norm = np.sqrt(np.bincount(passage, weights=value * value))
                 value = (value / np.maximum(norm, 1e-12)[passage]).astype(np.float32)[:, None]
                 first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-                seen = np.add.reduceat(value * omega[bucket], first, axis=0)
-                order = np.argsort(bucket, kind="stable")
-                sorted_bucket = bucket[order]
-                start = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
-                total[sorted_bucket[start]] += np.add.reduceat(value[order] * seen[passage[order]], start, axis=0)
+                edges = np.unique(np.r_[first[np.searchsorted(first, np.arange(0, len(passage), BLOCK), side="right") - 1], len(passage)])
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    own, where = value[lo:hi], bucket[lo:hi]
+                    begin = first[(first >= lo) & (first < hi)] - lo
+                    seen = np.repeat(np.add.reduceat(own * omega[where], begin, axis=0), np.diff(np.r_[begin, hi - lo]), axis=0)
+                    order = np.argsort(where, kind="stable")
+                    sorted_bucket = where[order]
+                    start = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
+                    total[sorted_bucket[start]] += np.add.reduceat(own[order] * seen[order], start, axis=0)
         hit = np.flatnonzero(total.any(axis=1))
         columns = [pa.array(hit), *(pa.array(total[hit, c].copy()) for c in range(SKETCHED))]
         yield pa.record_batch(columns, names=["bucket", *(f"y{c}" for c in range(SKETCHED))])
@@ -111,6 +117,7 @@ def basis(documents: DataFrame) -> np.ndarray:
 class _Item:
     item_id: int
     words: list[int]
+    own: set[int]  # the different ones
     latent: np.ndarray
     offset: int  # of the part that is searched for
 
@@ -118,8 +125,8 @@ class _Item:
 def _lengths(n: int) -> int:
     """The length of window that an item of ``n`` words is searched with: a step of a geometric scale, so few lengths serve all items."""
     length = LEAST
-    while int(length * 1.35) + 1 <= n:
-        length = int(length * 1.35) + 1
+    while int(length * 1.2) + 1 <= n:
+        length = int(length * 1.2) + 1
     return length
 
 
@@ -137,7 +144,7 @@ def _prepared(benchmark: pa.Table, weights: np.ndarray) -> dict[int, list[_Item]
             offset = (len(own) - length) // 2
             latent = weights[(own[offset : offset + length] >> _SHIFT).astype(np.int64)].sum(axis=0)
             if (norm := np.linalg.norm(latent)) > 0:
-                found[length].append(_Item(ids[w.first + i], own.tolist(), latent / norm, offset))
+                found[length].append(_Item(ids[w.first + i], own.tolist(), set(own.tolist()), latent / norm, offset))
     return dict(found)
 
 
@@ -156,8 +163,8 @@ def common(item: list[int], region: list[int]) -> int:
 def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, whole: float, part: float, answer: int) -> Callable:
     def judged(item: _Item, region: list[int]) -> int | None:
         """Words of the item found in order, if that makes a leak."""
-        n, present = len(item.words), set(region)
-        if sum(x in present for x in item.words) < part * n:
+        n = len(item.words)
+        if len(item.own.intersection(region)) + n - len(item.own) < part * n:
             return None
         lcs = common(item.words, region)
         if lcs >= whole * n:
@@ -165,30 +172,43 @@ def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, wh
         tail = item.words[-answer:]
         return lcs if lcs >= part * n and common(tail, region) == len(tail) else None
 
+    longest = max(items, default=0)
+    sizes = {length: np.array([len(i.words) for i in own]) for length, own in items.items()}
+    offsets = {length: np.array([i.offset for i in own]) for length, own in items.items()}
+    searched = {length: (own, np.stack([i.latent for i in own], axis=1)) for length, own in items.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[tuple[int, int], tuple[int, float, int]] = {}
             for w in words(pc.utf8_lower(batch.column("text"))):
                 if not len(w.hashes):
                     continue
-                sums = np.zeros((len(w.hashes) + 1, weights.shape[1]))
-                np.cumsum(weights[(w.hashes >> _SHIFT).astype(np.int64)], axis=0, dtype=np.float64, out=sums[1:])
-                left, counts = w.left(), w.counts()
+                left, counts, owners = w.left(), w.counts(), w.owner()
                 place = np.arange(len(left)) - np.repeat(w.at[:-1], counts)
-                owner = w.owner()
-                for length, own in items.items():
-                    step = max(1, length // 5)
-                    at = np.flatnonzero((left >= length) & ((place % step == 0) | (left == length)))
-                    window = (sums[at + length] - sums[at]).astype(np.float32)
-                    window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
-                    near = window @ np.stack([i.latent for i in own], axis=1)
-                    for r, c in zip(*np.nonzero(near >= cosine), strict=True):
-                        item, start, row = own[c], int(at[r]), int(owner[at[r]])
-                        lo = max(w.at[row - w.first], start - item.offset - step - 2)
-                        hi = min(w.at[row - w.first + 1], start - item.offset + len(item.words) + step + 2)
-                        lcs = judged(item, w.hashes[lo:hi].tolist())
-                        if lcs is not None:
-                            best[row, item.item_id] = max(best.get((row, item.item_id), (0, 0.0, 0)), (lcs, float(near[r, c]), len(item.words)))
+                plain = w.hashes.tolist() if items else []
+                for lo in range(0, len(plain) if items else 0, BLOCK):
+                    hi = min(lo + BLOCK, len(plain))
+                    sums = np.zeros((min(hi + longest, len(plain)) - lo + 1, weights.shape[1]))
+                    np.cumsum(weights[(w.hashes[lo : lo + len(sums) - 1] >> _SHIFT).astype(np.int64)], axis=0, dtype=np.float64, out=sums[1:])
+                    rest, own_place = left[lo:hi], place[lo:hi]
+                    for length, (own, latent) in searched.items():
+                        step = max(1, length // 6)
+                        whole_window = (rest >= length) & ((own_place % step == 0) | (rest == length))
+                        at = np.flatnonzero(whole_window)
+                        window = (sums[at + length] - sums[at]).astype(np.float32)
+                        window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
+                        near = window @ latent
+                        rs, cs = np.nonzero(near >= cosine)
+                        at += lo
+                        row = owners[at[rs]]
+                        begin = at[rs] - offsets[length][cs]
+                        first = np.maximum(w.at[row - w.first], begin - step - 2).tolist()
+                        last = np.minimum(w.at[row - w.first + 1], begin + sizes[length][cs] + step + 2).tolist()
+                        for c, r, f, e, x in zip(cs.tolist(), row.tolist(), first, last, near[rs, cs].tolist(), strict=True):
+                            lcs = judged(own[c], plain[f:e])
+                            if lcs is not None:
+                                key, n = (r, own[c].item_id), len(own[c].words)
+                                best[key] = max(best.get(key, (0, 0.0, 0)), (lcs, x, n))
             rows = [r for r, _ in best]
             yield pa.record_batch(
                 [
@@ -202,12 +222,11 @@ def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, wh
     return run
 
 
-def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.6, whole: float = 0.8, part: float = 0.6, answer: int = 5) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.3, whole: float = 0.8, part: float = 0.6, answer: int = 5) -> DataFrame:
     """Benchmark items (``item_id``, ``text``) that documents (``doc_id``, ``text``) hold: ``doc_id``, ``text_key`` (xxhash64 of the
     text), ``item_id``, ``lcs`` (words of the item found in order), ``n_words`` (of the item) and ``cosine`` (of the best window).
 
-    Windows of about an item's length slide over every document, in steps of a fifth of it; those whose latent
-    vector has ``cosine`` or more with the item's are candidates. A candidate is a leak if the item and the
+    Windows of about an item's length slide over every document, in steps of a sixth of it; those whose latent vector has ``cosine`` or more with the item's are candidates. A candidate is a leak if the item and the
     words around the window have a common subsequence of ``whole`` of the item, or of ``part`` of it and its
     last ``answer`` words too, all of them: a paraphrase that keeps the answer. Words are
     lower-cased runs without white space.

@@ -216,6 +216,26 @@ def test_leaks(spark, odd):
     assert leaks.find(df.limit(0), benchmark).count() == 0
 
 
+def test_leaks_that_keep_the_answer(spark):
+    """Paraphrases at the edge of what the common subsequence accepts are found, not only whole passages."""
+    rng = random.Random(9)
+    rows = texts(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
+    benchmark = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/benchmark.parquet")
+    items = [(r.item_id, r.text.split()) for r in benchmark.collect()]
+    vocabulary = [x for _, t in rows for x in (t or "").split()]
+    planted = []
+    # Each item once, as copies would be a latent direction of their own.
+    for i, (item_id, own) in enumerate(items):
+        share, n = (0.15, 0.2, 0.3, 0.38)[i % 4], len(own)
+        for at in rng.sample(range(n if share <= 0.2 else n - 5), int(share * n)):
+            own[at] = rng.choice(vocabulary)
+        planted.append((1_000_000 + 1000 * item_id + i, " ".join(rng.choices(vocabulary, k=90) + own + rng.choices(vocabulary, k=90))))
+    df = spark.createDataFrame(rows + planted, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.find(df, benchmark).collect()}
+    found = [(d, (d - 1_000_000) // 1000) in got for d, _ in planted]
+    assert len(found) == 200 and sum(found) >= 198, [sum(found[i::4]) for i in range(4)]
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(200):
