@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.arrays import Words, words
+from playbill.llm.arrays import Runs, Words, words
 
 #: Buckets of hashed words, dimensions kept of the decomposition, and those sketched.
 BITS, KEPT, SKETCHED = 14, 128, 144
@@ -22,7 +22,7 @@ PASSAGE = 64
 BLOCK = 1 << 14
 #: Items of the benchmark that one pass over the documents searches for.
 ITEMS = 10_000
-#: Words that an item has at least; shorter ones match by chance and are not searched.
+#: Words of the shortest item that windows search for; shorter ones are found by their exact words.
 LEAST = 8
 
 _SHIFT = np.uint64(64 - BITS)
@@ -113,6 +113,18 @@ def basis(documents: DataFrame) -> np.ndarray:
     return (idf[:, None] * u[:, kept][:, :KEPT] / s[kept][:KEPT]).astype(np.float32)
 
 
+def _short(benchmark: pa.Table) -> dict[int, dict[int, list[tuple[int, np.ndarray]]]]:
+    """Items too short for windows: their id and words, by their number of words and the hash of them all."""
+    found: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = defaultdict(lambda: defaultdict(list))
+    ids = benchmark.column("item_id").to_pylist()
+    for w in words(pc.utf8_lower(benchmark.column("text").combine_chunks())):
+        for i in range(w.n):
+            own = w.hashes[w.at[i] : w.at[i + 1]]
+            if 0 < len(own) < LEAST and ids[w.first + i] is not None:
+                found[len(own)][int(Runs(own).of(len(own))[0])].append((ids[w.first + i], own))
+    return {n: dict(of) for n, of in found.items()}
+
+
 @dataclass
 class _Item:
     item_id: int
@@ -160,7 +172,7 @@ def common(item: list[int], region: list[int]) -> int:
     return len(item) - (row & full).bit_count()
 
 
-def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, whole: float, part: float, answer: int) -> Callable:
+def _found(items: dict[int, list[_Item]], short: dict[int, dict[int, list[tuple[int, np.ndarray]]]], weights: np.ndarray, cosine: float, whole: float, part: float, answer: int) -> Callable:
     def judged(item: _Item, region: list[int]) -> int | None:
         """Words of the item found in order, if that makes a leak."""
         n = len(item.words)
@@ -175,7 +187,7 @@ def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, wh
     longest = max(items, default=0)
     sizes = {length: np.array([len(i.words) for i in own]) for length, own in items.items()}
     offsets = {length: np.array([i.offset for i in own]) for length, own in items.items()}
-    searched = {length: (own, np.stack([i.latent for i in own], axis=1)) for length, own in items.items()}
+    searched = {length: (own, np.stack([i.latent for i in own], axis=1), min(whole, part) * sizes[length].min()) for length, own in items.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +196,14 @@ def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, wh
                 if not len(w.hashes):
                     continue
                 left, counts, owners = w.left(), w.counts(), w.owner()
+                if short:
+                    runs = Runs(w.hashes)
+                    for n, of in short.items():
+                        run = runs.of(n)
+                        for p in np.flatnonzero(np.isin(run, np.array(list(of), dtype=np.uint64)) & (left[: len(run)] >= n)):
+                            for item_id, own in of[int(run[p])]:
+                                if (w.hashes[p : p + n] == own).all():
+                                    best[int(owners[p]), item_id] = (n, 1.0, n)
                 place = np.arange(len(left)) - np.repeat(w.at[:-1], counts)
                 plain = w.hashes.tolist() if items else []
                 for lo in range(0, len(plain) if items else 0, BLOCK):
@@ -191,11 +211,12 @@ def _found(items: dict[int, list[_Item]], weights: np.ndarray, cosine: float, wh
                     sums = np.zeros((min(hi + longest, len(plain)) - lo + 1, weights.shape[1]))
                     np.cumsum(weights[(w.hashes[lo : lo + len(sums) - 1] >> _SHIFT).astype(np.int64)], axis=0, dtype=np.float64, out=sums[1:])
                     rest, own_place = left[lo:hi], place[lo:hi]
-                    for length, (own, latent) in searched.items():
+                    for length, (own, latent, least) in searched.items():
                         step = max(1, length // 6)
+                        # A text that is shorter has one window, of all its words.
                         whole_window = (rest >= length) & ((own_place % step == 0) | (rest == length))
-                        at = np.flatnonzero(whole_window)
-                        window = (sums[at + length] - sums[at]).astype(np.float32)
+                        at = np.flatnonzero(whole_window | ((own_place == 0) & (rest < length) & (rest >= least)))
+                        window = (sums[at + np.minimum(rest[at], length)] - sums[at]).astype(np.float32)
                         window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
                         near = window @ latent
                         rs, cs = np.nonzero(near >= cosine)
@@ -226,12 +247,15 @@ def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.3, whole:
     """Benchmark items (``item_id``, ``text``) that documents (``doc_id``, ``text``) hold: ``doc_id``, ``text_key`` (xxhash64 of the
     text), ``item_id``, ``lcs`` (words of the item found in order), ``n_words`` (of the item) and ``cosine`` (of the best window).
 
-    Windows of about an item's length slide over every document, in steps of a sixth of it; those whose latent vector has ``cosine`` or more with the item's are candidates. A candidate is a leak if the item and the
+    Windows of about an item's length slide over every document, in steps of a sixth of it, and a document with fewer words
+    is one window; those whose latent vector has ``cosine`` or more with the item's are candidates. A candidate is a leak if the item and the
     words around the window have a common subsequence of ``whole`` of the item, or of ``part`` of it and its
     last ``answer`` words too, all of them: a paraphrase that keeps the answer. Words are
     lower-cased runs without white space.
 
-    Defined results: null and empty texts, and items under eight words or with a null id, match nothing; equal documents
+    Items under eight words are found by their exact words in sequence.
+
+    Defined results: null and empty texts, and items without words or with a null id, match nothing; equal documents
     and equal items each have their own rows; a document without leaks has no row. The items come
     to the driver and go to the tasks in blocks of ``ITEMS``, with one pass over the documents each.
     """
@@ -243,7 +267,7 @@ def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.3, whole:
     out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        found = named.mapInArrow(_found(_prepared(own, weights), weights, cosine, whole, part, answer), kind)
+        found = named.mapInArrow(_found(_prepared(own, weights), _short(own), weights, cosine, whole, part, answer), kind)
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from playbill.llm import bpe, languages, leaks, lines, near_documents, near_vectors, personal, separators, substrings, token_blocks
 from playbill.llm.components import components
+from playbill.llm.leaks import LEAST
 from playbill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -216,6 +217,26 @@ def test_leaks(spark, odd):
     assert leaks.find(df.limit(0), benchmark).count() == 0
 
 
+def test_leaks_in_short_texts_and_of_short_items(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(3000)]
+    clean = [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(300)]
+    items = [(n, rng.choices(vocabulary, k=n)) for n in range(1, 80)]
+    alone = []
+    for n, own in items[LEAST - 1 :]:
+        for gone in (1, 2, 3, n // 5):
+            if n - gone >= 0.8 * n:
+                out = set(rng.sample(range(n - 5), gone))
+                alone.append((1000 * n + gone, " ".join(x for i, x in enumerate(own) if i not in out)))
+    short = [(500 + n, clean[n][1] + " #" + str(n) + " " + " ".join(own)) for n, own in items[1 : LEAST - 1]]
+    df = spark.createDataFrame(clean + alone + short, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(own)) for n, own in items if n > 1], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.find(df, benchmark).collect()}
+    assert {(d, d // 1000) for d, _ in alone} | {(d, d - 500) for d, _ in short} <= got
+    plain = {d: " " + t + " " for d, t in clean + alone + short}
+    assert {(d, n) for d, n in got if n < LEAST} == {(d, n) for n, own in items[1 : LEAST - 1] for d, t in plain.items() if " " + " ".join(own) + " " in t}
+
+
 def test_leaks_that_keep_the_answer(spark):
     """Paraphrases at the edge of what the common subsequence accepts are found, not only whole passages."""
     rng = random.Random(9)
