@@ -109,11 +109,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, known: Column, per_language: int = 500, families: Mapping[str, str] = FAMILIES) -> Model:
     """Learn from the ``text`` and ``lang`` of documents that meet ``known`` and have both.
 
-    The sample is bounded: of each language the ``per_language`` rows whose text has the least hash,
+    The sample is bounded: of each language the ``per_language`` different texts with the least hash,
     16 KB of trigram shares each, come to the driver. Texts are read whole."""
     rows = documents.where(known).where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    some = rows.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text")
+    some = rows.groupBy("lang", "h").agg(F.first("text").alias("text")).withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text")
     sample = some.mapInArrow(_features, "lang string, shares binary").toArrow()
     langs = np.array(sample.column("lang").to_pylist(), dtype=object)
     if not len(langs):

@@ -365,6 +365,18 @@ def test_languages(spark, docs, odd):
     assert languages.identify(odd.limit(0), model).count() == 0
 
 
+def test_languages_learn_from_different_texts(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(x, "".join(rng.choices(letters, k=30))) for x, letters in (("de", "abcdef "), ("fr", "uvwxyz ")) for _ in range(20)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    low = df.where("lang = 'de'").orderBy(F.xxhash64("text")).first()
+    copies = spark.createDataFrame([tuple(low)] * 60, df.schema)
+    seen, svm = [], languages.svm
+    monkeypatch.setattr(languages, "svm", lambda x, y: seen.append(len(np.unique(x, axis=0))) or svm(x, y))
+    languages.fit(df.unionAll(copies), F.lit(True), per_language=10)
+    assert seen == [20, 20]
+
+
 def test_queries_take_empty_tables(spark, tmp_path):
     for name in ("documents", "embeddings", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
