@@ -377,6 +377,15 @@ def test_languages_learn_from_different_texts(spark, monkeypatch):
     assert seen == [20, 20]
 
 
+def test_pipeline_keeps_documents_without_labels(spark, odd):
+    import corpus_pipeline
+
+    plain = odd.withColumn("lang", F.lit(None).cast("string"))
+    left = corpus_pipeline.known_language(spark, plain, SF)
+    assert left.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 4, 5, 6, 7, 7, 9, 11]
+
+
 def test_queries_take_empty_tables(spark, tmp_path):
     for name in ("documents", "embeddings", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
