@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from playbill.llm.arrays import Runs, Words, long, mix, words
 
-#: Bits of a counter's place in the sketch. Counters are kept sparsely, so the width costs nothing.
+#: Bits of the hash that grams are grouped by before the exact count.
 CELL_BITS = 48
 #: Rows that a task counts at once.
 CHUNK = 1 << 21
@@ -175,10 +175,10 @@ def cut_repeats(documents: DataFrame, window: int = 35, gram: int = 16, columns:
     ``kept`` (the words left, one space between) in place of ``text``, or with ``columns``, made of these.
     Further columns are not read.
 
-    A count-min sketch goes before the exact count. Counting each window would be as much work as the
-    exact count itself, so the sketch counts *anchors*: the least gram of a window occurs at least as often
-    as the window, and neighbouring windows share it. Tasks sketch their own part (sparse counters), the
-    parts are summed, and windows whose anchor's counter stays at 1 are certainly unique. The counters
+    A count of *anchors* goes before the exact count, in place of a count-min sketch: a grouping by 48 bits of
+    their hash, through a shuffle. The least gram of a window occurs at least as often
+    as the window, and neighbouring windows share it. Tasks count their own part, the
+    parts are summed, and windows whose anchor's count stays at 1 are certainly unique. Counts
     only overestimate, so no repeated window is lost. The windows left are counted exactly by a
     64-bit hash. In both counts a task sums its own rows first, so a key has at most one row a chunk.
 
