@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import bpe, languages, leaks, lines, near_documents, near_vectors, personal, separators, substrings, token_blocks
+from playbill.llm import bpe, filter_audit, languages, leaks, lines, near_documents, near_vectors, personal, separators, substrings, token_blocks
 from playbill.session import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.SQL
