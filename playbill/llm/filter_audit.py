@@ -57,7 +57,7 @@ def cells(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _folded(cell: Column) -> Column:
     """The tallies of one cell, order by order and step by step."""
-    orders = F.array(*[F.array(*[F.lit(_bit(x)) for x in o]) for o in ORDERS])
+    orders = F.expr("array(" + ",".join("array(" + ",".join(str(_bit(x)) for x in o) + ")" for o in ORDERS) + ")")
     begin = F.struct(F.lit(0).alias("seen"), F.array().cast(f"array<{_TALLY}>").alias("out"))
 
     def step(acc: Column, bit: Column) -> Column:
