@@ -47,6 +47,8 @@ def cells(documents: DataFrame, labels: DataFrame) -> DataFrame:
     them, ``good`` and ``toxic`` ones. At most 32 rows a part."""
     facts = written(failures(documents), "failures")
     first = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # Written, so that the join meets two plain shuffles and a text with very many copies can be split.
+    first = written(first, "firsts")
     known = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     copied = F.when(F.col("doc_id") > F.col("first"), _bit("E")).otherwise(0)
     rows = facts.join(first.select("digest", "first"), "digest", "left").join(known, "doc_id", "left")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import bpe, filter_audit, languages, leaks, lines, near_documents, near_vectors, personal, separators, substrings, token_blocks
+from playbill.llm import bpe, filter_audit, fingerprints, languages, leaks, lines, near_documents, near_vectors, personal, separators, substrings, token_blocks, vector_codes
 from playbill.session import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,9 +107,22 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 ORACLES["op12_filter_audit"] = filter_audit.SQL
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op13_vector_codes"] = vector_codes.sql()
