@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,27 +10,13 @@ from pyspark.sql import functions as F
 from playbill.llm.store import written
 from playbill.session import computed
 
-#: Cells of a table: three ranges, one cell of each for every digest. Rounds of peeling before it counts as failed.
-RANGE, HASHES, ROUNDS = 10, 3, 6
-CELLS = RANGE * HASHES
-#: Tables that take the place of one that failed.
-MORE = 8
+#: Cells of a table: three ranges, one cell of each for every digest. A table that is too small is replaced by one of ``LARGER`` times
+#: the cells. A cycle peels each range once.
+RANGE, RANGES, LARGER, CYCLES = 64, 3, 8, 2
 #: A paragraph: a line, or of a long line the piece up to the first sentence end after so many characters.
-PIECE = 160
+PIECE = 240
 _PARAGRAPH = rf"\S[^\n]{{0,{PIECE - 1}}}+[^\n.!?]*+[.!?]*+"
 
-_CELL = "struct<n:int,key:long,check:int>"
-_TABLE = f"array<{_CELL}>"
-_MARKED = "struct<n:int,key:long,check:int,cells:int>"
-_PEELED = f"struct<cells:{_TABLE},removed:array<long>,added:array<long>>"
-_BITS = "array(" + ",".join(str(1 << i) for i in range(CELLS)) + ")"
-_ZERO = "struct(0 as n, 0L as key, 0 as check)"
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
 
 def paragraphs(text: Column) -> Column:
     """Digests of the different paragraphs of a text, in the order of their first places; null counts as empty."""
@@ -39,103 +24,80 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))
 
 
-def _marked(n: Column, key: Column, level: int) -> Column:
-    """A digest with its check and, as bits, the cells that it lies in."""
-    spread = F.xxhash64(F.lit(level), key)
-    bits = [
-        F.call_function("shiftleft", F.lit(1), (F.pmod(F.shiftrightunsigned(spread, 21 * j), F.lit(RANGE)) + RANGE * j).cast("int"))
-        for j in range(HASHES)
-    ]
-    return F.struct(n.alias("n"), key.alias("key"), F.hash(key).alias("check"), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("cells")).cast(_MARKED)
-
-
-def _merged(cells: Column, marked: Column, sign: int) -> Column:
-    """``cells`` with digests put in (1) or taken out (-1)."""
-
-    def put(cell: Column, m: Column) -> Column:
-        n = cell["n"] + sign * m["n"]
-        return F.struct(n.alias("n"), cell["key"].bitwiseXOR(m["key"]).alias("key"), cell["check"].bitwiseXOR(m["check"]).alias("check")).cast(_CELL)
-
-    def one(cell: Column, bit: Column) -> Column:
-        return F.aggregate(F.filter(marked, lambda m: m["cells"].bitwiseAND(bit) != 0), cell, put)
-
-    return F.zip_with(cells, F.expr(_BITS), one)
-
-
-def sketch(digests: Column, level: int = 0) -> Column:
-    """The table of a set of digests: in each cell how many lie in it, and the XOR of them and of their checks."""
-    empty = F.array_repeat(F.expr(_ZERO), CELLS).cast(_TABLE)
-    marked = F.transform(digests, lambda d: _marked(F.lit(1), d, level))
-    return _let(marked, lambda m: _merged(empty, m, 1))
-
-
-def subtract(x: Column, y: Column) -> Column:
-    """The table of what two sets do not share: of the first with n = 1, of the second with n = -1."""
+def _range(level: int) -> int:
+    return RANGE * LARGER**level
 
-    def less(a: Column, b: Column) -> Column:
-        return F.struct((a["n"] - b["n"]).alias("n"), a["key"].bitwiseXOR(b["key"]).alias("key"), a["check"].bitwiseXOR(b["check"]).alias("check")).cast(_CELL)
 
-    return F.zip_with(x, y, less)
+def _cells(digest: Column, level: int) -> list[Column]:
+    """The cell of a digest in each range."""
+    size, spread = _range(level), F.xxhash64(F.lit(level), digest)
+    return [F.pmod(F.shiftrightunsigned(spread, 21 * j), F.lit(size)) + size * j for j in range(RANGES)]
 
 
-def peel(difference: Column, level: int = 0) -> Column:
-    """``ok``, ``removed`` and ``added``: the digests of the first and of the second set alone, recovered from the difference
-    of their tables; without ``ok`` the table was too small."""
-    begin = F.struct(difference.alias("cells"), F.array().cast("array<long>").alias("removed"), F.array().cast("array<long>").alias("added")).cast(_PEELED)
+def _summed(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries of a cell added up: their numbers, and the XOR of their digests and checks. Cells in which nothing is left go."""
+    cells = entries.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    return cells.where("n <> 0 or key <> 0 or check <> 0")
 
-    def pure(cell: Column) -> Column:
-        return (F.abs(cell["n"]) == 1) & (cell["check"] == F.hash(cell["key"]))
 
-    def taken(acc: Column, found: Column) -> Column:
-        marked = F.transform(found, lambda c: _marked(c["n"], c["key"], level))
-        keys = {n: F.transform(F.filter(found, lambda c: c["n"] == n), lambda c: c["key"]) for n in (1, -1)}
-        left = _let(marked, lambda m: _merged(acc["cells"], m, -1))
-        more = F.struct(left.alias("cells"), F.concat(acc["removed"], keys[1]).alias("removed"), F.concat(acc["added"], keys[-1]).alias("added"))
-        return F.when(F.size(found) == 0, acc).otherwise(more.cast(_PEELED))
+def tables(sets: DataFrame, level: int = 0, keys: list[str] = ["id"]) -> DataFrame:
+    """The table of each set: for its ``keys`` its cells in use with ``cell``, ``n``, ``key``, ``check``.
 
-    def turn(acc: Column, _: Column) -> Column:
-        return _let(F.array_distinct(F.filter(acc["cells"], pure)), lambda found: taken(acc, found))
+    ``sets`` has ``keys``, ``digests`` (an array of longs, each once) and ``n``, 1 or -1. Tables are sums: rows with the same keys make one table, and
+    a set with -1 is subtracted. Where the rows of a key lie in one partition they stay there."""
+    each = sets.select(*keys, F.col("n").cast("long").alias("n"), F.explode("digests").alias("key"))
+    spread = each.select(*keys, "n", "key", F.hash("key").alias("check"), F.explode(F.array(*_cells(F.col("key"), level))).alias("cell"))
+    return _summed(spread, [*keys, "cell"])
 
-    def end(acc: Column) -> Column:
-        clean = F.forall(acc["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
-        return F.struct(clean.alias("ok"), acc["removed"].alias("removed"), acc["added"].alias("added"))
 
-    return F.aggregate(F.expr(f"sequence(1, {ROUNDS})"), begin, turn, end)
+def peel(cells: DataFrame, level: int = 0, digests: bool = True) -> DataFrame:
+    """What the tables of differences give away: of every ``id`` its remaining cells (``got`` null) and a row for each digest
+    recovered (``got``, with ``n`` 1 if the first set has it alone and -1 if the second). A table without a remaining cell is recovered whole.
+    Without ``digests`` those recovered of either side are counted: two rows at most, ``got`` 1 or -1, and the number in ``n``.
 
+    A cell that holds one digest alone gives it away; taken out of its other cells it may leave one alone there. Within one range a
+    digest lies in one cell, so the pure cells of a range can be peeled at once without taking anything out twice. The ranges
+    take turns. Each turn adds the cells up again in the partition they are in."""
+    columns = ("cell", "got", "n", "key", "check")
 
-def _recovered(a: Column, b: Column, level: int) -> Column:
-    return peel(subtract(sketch(a, level), sketch(b, level)), level)
+    def entry(*values: Column) -> Column:
+        return F.struct(*[v.alias(c) for v, c in zip(values, columns, strict=True)])
 
+    cell, got, n, key, check = (F.col(c) for c in columns)
+    rows, size, none = cells.select("id", "cell", F.lit(None).cast("long").alias("got"), "n", "key", "check"), _range(level), F.lit(None).cast("long")
+    for j in [*range(RANGES)] * CYCLES:
+        pure = cell.between(size * j, size * (j + 1) - 1) & got.isNull() & (F.abs(n) == 1) & (check == F.hash(key))
+        out = [entry(c, none, -n, key, check) for i, c in enumerate(_cells(key, level)) if i != j]
+        told = entry(F.lit(-1).cast("long"), *((key, n) if digests else (n, F.abs(n))), F.lit(0).cast("long"), F.lit(0))
+        rows = rows.select("id", F.inline(F.when(pure, F.array(*out, told)).otherwise(F.array(entry(cell, got, n, key, check)))))
+        rows = _summed(rows, ["id", "cell", "got"])
+    return rows.select("id", "cell", "got", "n", "key", "check")
 
-def _share(digests: Column, level: int, k: Column) -> Column:
-    """The digests that fall to the ``k``-th of the tables that replace one of a level."""
-    return F.filter(digests, lambda d: F.pmod(F.xxhash64(F.lit("part"), F.lit(level), d), F.lit(MORE)) == k)
 
-
-def differences(pairs: DataFrame) -> DataFrame:
+def differences(pairs: DataFrame, digests: bool = True) -> DataFrame:
     """The digests in which the sets ``a`` and ``b`` of each ``pair`` (a long, different in every row) differ: ``pair``, ``removed``
-    (of ``a`` alone) and ``added`` (of ``b`` alone), in one or more rows a pair that together have each digest once.
+    (of ``a`` alone) and ``added`` (of ``b`` alone), as arrays or, without ``digests``, as numbers. Pairs that do not differ have no row.
 
-    The tables of both sets are subtracted and peeled: a cell that holds one digest gives it away, and what is left
-    without it may give away more. Where that ends too early the table is replaced by ``MORE`` tables of the same size, each for
-    the digests that a hash sends to it, and so on for those that fail again. So a table costs the same at every size, a
-    large difference becomes many small rows, and every difference is found in the end. Null sets count as empty.
-    """
+    The tables of both sets are subtracted and peeled. Where cells remain the table was too small, and the pair is tried again with
+    one of ``LARGER`` times the cells and other places, until every difference is found; only pairs that failed are read again. The work
+    on a pair is in proportion to its sets at each size, as cells that are not in use take no room. Null sets count as empty."""
     none = F.array().cast("array<long>")
-    rows = pairs.select("pair", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    done, level = [], 0
+    every = pairs.select("pair", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    rows, done, level = every.repartition("pair"), [], 0
     while True:
-        tried = computed(rows, {"peeled": _recovered(F.col("a"), F.col("b"), level)})
-        kept = [F.when(~F.col("peeled.ok"), F.col(c)).alias(c) for c in "ab"]
-        own = [F.when(F.col("peeled.ok"), F.col(f"peeled.{c}")).alias(c) for c in ("removed", "added")]
-        tried = written(tried.select("pair", F.col("peeled.ok").alias("ok"), *own, *kept), "peeled")
-        done.append(tried.where("ok").select("pair", "removed", "added"))
-        failed = tried.where("not ok")
+        sides = F.array(F.struct(F.lit(1).alias("n"), F.col("a").alias("digests")), F.struct(F.lit(-1).alias("n"), F.col("b").alias("digests")))
+        left = peel(tables(rows.select(F.col("pair").alias("id"), F.inline(sides)), level), level, digests)
+        both = {"removed": 1, "added": -1}
+        if digests:
+            told = [F.collect_list(F.when(F.col("got").isNotNull() & (F.col("n") == n), F.col("got"))).alias(c) for c, n in both.items()]
+        else:
+            told = [F.sum(F.when(F.col("got") == n, F.col("n")).otherwise(0)).alias(c) for c, n in both.items()]
+        tried = written(left.groupBy(F.col("id").alias("pair")).agg((F.count_if(F.col("got").isNull()) == 0).alias("ok"), *told), "peeled")
+        done.append(tried.where("ok").drop("ok"))
+        failed = tried.where("not ok").select("pair")
         if failed.isEmpty():
             return reduce(DataFrame.unionAll, done)
-        part = failed.select("pair", "a", "b", F.explode(F.expr(f"sequence(0, {MORE - 1})")).alias("k"))
-        rows = computed(part, {c: _share(F.col(c), level, F.col("k")) for c in "ab"}).select("pair", "a", "b").where("size(a) + size(b) > 0")
-        level += 1
+        rows, level = every.join(failed, "pair", "left_semi").repartition("pair"), level + 1
 
 
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
@@ -144,25 +106,34 @@ def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise((both - differing).cast("double") / (both + differing))
 
 
-def fingerprint(digests: Column) -> Column:
-    """The set's size and its table as text: ``n:cell,cell,...``, a cell as count, digests and checks (hexadecimal) in points."""
-    cell = F.transform(sketch(digests), lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"].cast("long").bitwiseAND(0xFFFFFFFF)))))
-    return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(cell, ","))
+def fingerprints(sets: DataFrame, columns: list[str]) -> DataFrame:
+    """``id`` and, for each of the columns, arrays of digests, the fingerprint of that set under the column's name: its size and its table as text,
+    ``size:cell,cell,...``, each cell in use with its place, its number, and its digests and checks in hexadecimal, in points."""
+    rows = sets.repartition("id")
+    sides = F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("digests")) for i, c in enumerate(columns)])
+    cells = tables(rows.select("id", F.lit(1).alias("n"), F.inline(sides)), keys=["id", "of"])
+    place = F.lpad(F.col("cell").cast("string"), 3, "0")
+    text = F.concat_ws(".", place, F.col("n").cast("string"), F.hex("key"), F.hex(F.col("check").cast("long").bitwiseAND(0xFFFFFFFF)))
+    lists = [F.sort_array(F.collect_list(F.when(F.col("of") == i, text))).alias(f"_{c}") for i, c in enumerate(columns)]
+    told = rows.select("id", *[F.size(c).alias(c) for c in columns]).join(cells.groupBy("id").agg(*lists), "id", "left")
+    return told.select("id", *[F.concat(F.col(c).cast("string"), F.lit(":"), F.coalesce(F.array_join(f"_{c}", ","), F.lit(""))).alias(c) for c in columns])
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """Documents with two independent hashes of their text, which with ``doc_id`` name a row."""
+    """Documents with their paragraphs and, naming a row, ``doc_id`` (null as 0), and two independent hashes of their text; the second
+    tells a null ``doc_id`` from 0."""
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), F.length("text").cast("long").alias("n"), "text")
+    names = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("k0"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
+    return rows.select("doc_id", *names, F.length("text").cast("long").alias("n"), "text")
 
 
 def _followed(keyed: DataFrame) -> DataFrame:
-    """Each different row (``doc_id``, ``k1``, ``k2``) with the row that it follows (``p_doc_id``, ``p_k1``, ``p_k2``, ``p_n``) in
+    """Each different row (``k0``, ``k1``, ``k2``) with the row that it follows (``p0``, ``p1``, ``p2``, ``p_n``) in
     descending order of ``doc_id``; the first follows the last. Only ids and hashes are moved."""
-    spark, key = keyed.sparkSession, ["doc_id", "k1", "k2"]
+    key = ["k0", "k1", "k2"]
     order = [F.col("doc_id").desc_nulls_last(), F.col("k1"), F.col("k2")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = keyed.groupBy(*key).agg(F.max("n").alias("n"))
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = keyed.groupBy("doc_id", *key).agg(F.max("n").alias("n"))
     # Ranges of the order; written, so that a lost task cannot cut them otherwise.
     ranges = written(one.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("part").orderBy(*order)
@@ -173,9 +144,9 @@ def _followed(keyed: DataFrame) -> DataFrame:
     every = Window.orderBy("part")
     before = F.coalesce(F.lag("end").over(every), F.last("end").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     ends = ends.select(F.col("part").alias("own"), before.alias("end"))
-    p = F.coalesce("p", "end")
     joined = ranged.join(F.broadcast(ends), F.col("part") == F.col("own"))
-    return joined.select(*key, *[p[c].alias(f"p_{c}") for c in (*key, "n")])
+    p = F.coalesce("p", "end")
+    return joined.select(*key, *[p[c].alias(f"p{c[1:]}") for c in key], p["n"].alias("p_n"))
 
 
 def compare(documents: DataFrame) -> DataFrame:
@@ -186,9 +157,9 @@ def compare(documents: DataFrame) -> DataFrame:
     ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, and ``near_edited`` and ``near_next``, the Jaccard likeness of the
     paragraph sets, from their sizes and the digests that peeling recovers from the difference of their tables.
 
-    The order is found on ids and hashes alone: ranges, and inside a range the row before. Of a text the first half goes to a join under its own
-    key, and what its predecessor needs under that one's, so each character is moved twice. Tables of differences that are too small are
-    made larger as ``differences`` says; most pairs need no more than one such step, which is done in the same row.
+    The order is found on ids and hashes alone: ranges, and inside a range the row before. A text goes to a join under its own key, which gives it
+    the key of the row it follows and sends that one the characters it needs; there they meet the text that the same shuffle has brought. Tables
+    are made, subtracted and peeled as ``differences`` says; most pairs need the first size only.
 
     Defined results: a null text is empty; equal texts have equal fingerprints, and texts of the same paragraphs (blank
     lines, order and repeats aside) are alike by 1; rows with the same ``doc_id`` are ordered by hashes of
@@ -196,57 +167,32 @@ def compare(documents: DataFrame) -> DataFrame:
     an empty table gives an empty one. Functions of Spark only.
     """
     keyed = _keyed(documents)
-    key = ["doc_id", "k1", "k2"]
-
-    def same(names: list[str]) -> Column:
-        return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)])
-
-    place = _followed(keyed).withColumnsRenamed({c: f"o_{c}" for c in key})
-    sent = keyed.select(*key, "text").join(place, same([f"o_{c}" for c in key]))
-    head = F.left(F.col("text"), F.floor(F.col("p_n") / 2).cast("int"))
-    sent = sent.select("p_doc_id", "p_k1", "p_k2", head.alias("head"), paragraphs(F.col("text")).alias("next"))
+    place = _followed(keyed)
+    # Both joins use this frame by the same key, so that the texts are read, cut and shuffled once.
+    docs = keyed.withColumn("own", paragraphs(F.col("text")))
+    need = F.least(F.floor(F.col("p_n") / 2), F.col("n")).cast("int")
+    sent = docs.join(place, ["k0", "k1", "k2"]).select("p0", "p1", "p2", F.left(F.col("text"), need).alias("head"), F.col("own").alias("next"))
     # Repeated rows send the same once.
-    sent = sent.groupBy("p_doc_id", "p_k1", "p_k2").agg(F.first("head").alias("head"), F.first("next").alias("next"))
+    sent = sent.groupBy("p0", "p1", "p2").agg(F.first("head").alias("head"), F.first("next").alias("next"))
+    rows = docs.join(sent, (F.col("k0") == F.col("p0")) & (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
     stays = F.left(F.col("text"), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    own = keyed.select(*key, "n", stays.alias("stays"), paragraphs(F.col("text")).alias("own"))
-    rows = own.join(sent, same(["p_doc_id", "p_k1", "p_k2"]))
-    rows = rows.select("doc_id", F.col("n").alias("n_chars"), F.concat("stays", "head").alias("edited"), "own", "next")
-    rows = computed(rows, {"edited": F.struct(F.unhex(F.sha2("edited", 256)).alias("sha"), paragraphs(F.col("edited")).alias("digests"))})
-    rows = rows.select("doc_id", "n_chars", F.col("edited.sha").alias("sha"), "own", F.col("edited.digests").alias("edited"), "next")
-    return _likened(rows)
-
-
-def _in_row(a: Column, b: Column) -> Column:
-    """How many digests differ, from one table or those that replace it; null if one of these failed too."""
-
-    def number(found: Column) -> Column:
-        return F.when(found["ok"], F.size(found["removed"]) + F.size(found["added"]))
-
-    def several() -> Column:
-        each = F.transform(F.expr(f"sequence(0, {MORE - 1})"), lambda k: number(_recovered(_share(a, 0, k), _share(b, 0, k), 1)))
-        return F.aggregate(each, F.lit(0), lambda x, y: x + y)
-
-    return _let(_recovered(a, b, 0), lambda found: F.coalesce(number(found), several()))
+    rows = computed(rows.select("doc_id", "n", "own", "next", stays.alias("stays"), "head"), {"edited": F.concat("stays", "head")})
+    rows = rows.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"),
+        "own", paragraphs(F.col("edited")).alias("edited"), "next",
+    )
+    return _likened(written(rows, "versions"))
 
 
 def _likened(rows: DataFrame) -> DataFrame:
-    own, others = F.col("own"), {"edited": F.col("edited"), "next": F.col("next")}
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "*")
-    rows = computed(rows, {f"d_{c}": _in_row(own, x) for c, x in others.items()})
-    size = F.size("next").alias("n_next")
-    left = F.when(F.col("d_next").isNull(), F.col("next")).alias("next")
-    rows = written(rows.select("row", "doc_id", "n_chars", "sha", "own", "edited", left, size, "d_edited", "d_next"), "versions")
-    # Pairs whose tables must grow further: even numbers for the edited text, odd ones for the next.
-    pairs = [
-        rows.where(f"d_{c} is null").select((F.col("row") * 2 + i).alias("pair"), F.col("own").alias("a"), F.col(c).alias("b"))
-        for i, c in enumerate(others)
-    ]
-    found = differences(pairs[0].unionAll(pairs[1]))
-    many = found.groupBy(F.shiftright("pair", 1).alias("of")).agg(
-        *[F.sum(F.when(F.col("pair") % 2 == i, F.size("removed") + F.size("added"))).alias(f"more_{c}") for i, c in enumerate(others)]
-    )
-    told = rows.join(many, F.col("row") == F.col("of"), "left")
-    n = {"edited": F.size("edited"), "next": F.col("n_next")}
-    near = [likeness(F.size("own"), n[c], F.coalesce(f"d_{c}", f"more_{c}")).alias(f"near_{c}") for c in others]
-    prints = [fingerprint(F.col(c)).alias(name) for c, name in (("own", "fingerprint"), ("edited", "edited_fingerprint"))]
-    return told.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *prints, *near)
+    """Fingerprints and likeness from the paragraph sets ``own``, ``edited`` and ``next`` of every ``row``."""
+    # Even numbers for the edited text, odd ones for the next document.
+    sides = F.array(*[F.struct((F.col("row") * 2 + i).alias("pair"), F.col(c).alias("b")) for i, c in enumerate(("edited", "next"))])
+    pairs = rows.select(F.col("own").alias("a"), F.inline(sides))
+    found = differences(pairs, digests=False).select(F.shiftright("pair", 1).alias("row"), (F.col("pair") % 2).alias("of"), (F.col("removed") + F.col("added")).alias("n"))
+    differing = found.groupBy("row").agg(*[F.sum(F.when(F.col("of") == i, F.col("n"))).alias(f"d_{c}") for i, c in enumerate(("edited", "next"))])
+    prints = fingerprints(rows.select(F.col("row").alias("id"), F.col("own").alias("fingerprint"), F.col("edited").alias("edited_fingerprint")), ["fingerprint", "edited_fingerprint"])
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("own", "edited", "next")]
+    told = rows.select("row", "doc_id", "n_chars", "sha", *sizes).join(prints.withColumnRenamed("id", "row"), "row").join(differing, "row", "left")
+    near = [likeness(F.col("n_own"), F.col(f"n_{c}"), F.coalesce(f"d_{c}", F.lit(0))).alias(f"near_{c}") for c in ("edited", "next")]
+    return told.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", *near)
