@@ -119,21 +119,22 @@ def fingerprints(sets: DataFrame, columns: list[str]) -> DataFrame:
     return told.select("id", *[F.concat(F.col(c).cast("string"), F.lit(":"), F.coalesce(F.array_join(f"_{c}", ","), F.lit(""))).alias(c) for c in columns])
 
 
+_KEY = ["k0", "none", "k1", "k2"]
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
-    """Documents with their paragraphs and, naming a row, ``doc_id`` (null as 0), and two independent hashes of their text; the second
-    tells a null ``doc_id`` from 0."""
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    names = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("k0"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
-    return rows.select("doc_id", *names, F.length("text").cast("long").alias("n"), "text")
+    """Documents with what names a row: ``k0`` and ``none`` for ``doc_id``, which may be null, and two independent hashes of the text."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    names = [F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+    return rows.select(*names, F.length("text").cast("long").alias("n"), "text")
 
 
 def _followed(keyed: DataFrame) -> DataFrame:
-    """Each different row (``k0``, ``k1``, ``k2``) with the row that it follows (``p0``, ``p1``, ``p2``, ``p_n``) in
-    descending order of ``doc_id``; the first follows the last. Only ids and hashes are moved."""
-    key = ["k0", "k1", "k2"]
-    order = [F.col("doc_id").desc_nulls_last(), F.col("k1"), F.col("k2")]
+    """Each different row with the one that it follows (its key with ``p_`` in front, and ``p_n``) in
+    descending order of ``doc_id``, nulls last; the first follows the last. Only ids and hashes are moved."""
+    key, order = _KEY, [F.col("none"), F.col("k0").desc(), F.col("k1"), F.col("k2")]
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = keyed.groupBy("doc_id", *key).agg(F.max("n").alias("n"))
+    one = keyed.groupBy(*key).agg(F.max("n").alias("n"))
     # Ranges of the order; written, so that a lost task cannot cut them otherwise.
     ranges = written(one.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("part").orderBy(*order)
@@ -146,7 +147,7 @@ def _followed(keyed: DataFrame) -> DataFrame:
     ends = ends.select(F.col("part").alias("own"), before.alias("end"))
     joined = ranged.join(F.broadcast(ends), F.col("part") == F.col("own"))
     p = F.coalesce("p", "end")
-    return joined.select(*key, *[p[c].alias(f"p{c[1:]}") for c in key], p["n"].alias("p_n"))
+    return joined.select(*key, *[p[c].alias(f"p_{c}") for c in (*key, "n")])
 
 
 def compare(documents: DataFrame) -> DataFrame:
@@ -168,15 +169,17 @@ def compare(documents: DataFrame) -> DataFrame:
     """
     keyed = _keyed(documents)
     place = _followed(keyed)
-    # Both joins use this frame by the same key, so that the texts are read, cut and shuffled once.
+    # Both joins use these columns by the same key, so that the texts are read, cut and shuffled once.
     docs = keyed.withColumn("own", paragraphs(F.col("text")))
+    sender = [f"p_{c}" for c in _KEY]
     need = F.least(F.floor(F.col("p_n") / 2), F.col("n")).cast("int")
-    sent = docs.join(place, ["k0", "k1", "k2"]).select("p0", "p1", "p2", F.left(F.col("text"), need).alias("head"), F.col("own").alias("next"))
+    sent = docs.join(place, _KEY).select(*sender, F.left(F.col("text"), need).alias("head"), F.col("own").alias("next"))
     # Repeated rows send the same once.
-    sent = sent.groupBy("p0", "p1", "p2").agg(F.first("head").alias("head"), F.first("next").alias("next"))
-    rows = docs.join(sent, (F.col("k0") == F.col("p0")) & (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
+    sent = sent.groupBy(*sender).agg(F.first("head").alias("head"), F.first("next").alias("next"))
+    rows = docs.join(sent, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"p_{c}") for c in _KEY]))
     stays = F.left(F.col("text"), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    rows = computed(rows.select("doc_id", "n", "own", "next", stays.alias("stays"), "head"), {"edited": F.concat("stays", "head")})
+    doc_id = F.when(~F.col("none"), F.col("k0")).alias("doc_id")
+    rows = computed(rows.select(doc_id, "n", "own", "next", stays.alias("stays"), "head"), {"edited": F.concat("stays", "head")})
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"),
         "own", paragraphs(F.col("edited")).alias("edited"), "next",
