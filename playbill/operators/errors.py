@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playbill.functions import urls
-from playbill.operators.grouping import first_n_per_group
+from playbill.operators.grouping import first_n_per_group, ranked
 
 # Severity of the known error types, in the order partial names are matched.
 SEVERITY = {
@@ -71,6 +71,14 @@ def clean_events(events: DataFrame) -> DataFrame:
     return events.filter(F.col("url") != "")
 
 
+def after_clears(events: DataFrame, clears: DataFrame) -> DataFrame:
+    """Events that come after the last time their URL was cleared. ``clears`` has ``url, ts, event_id``."""
+    last = clean_events(clears).groupBy("url").agg(F.max(F.struct("ts", "event_id")).alias("_cleared"))
+    rows = clean_events(events).join(last, "url", "left")
+    later = F.struct("ts", "event_id") > F.col("_cleared")
+    return rows.filter(F.coalesce(later, F.lit(True))).drop("_cleared")
+
+
 def counted_events(events: DataFrame, base: int = BASE_THRESHOLD) -> DataFrame:
     """The events that count, with ``hit``, the event that blacklisted their URL, if any.
 
@@ -162,16 +170,16 @@ def failing_urls(errors: DataFrame, least: int) -> DataFrame:
 
 def error_report(errors: DataFrame, blacklisted: DataFrame, urls_shown: int = 10, listed_shown: int = 5) -> DataFrame:
     """The report as lines ``(section, place, line)``: error types by number of URLs, the worst
-    URLs, and the first blacklisted ones. Types are a small code list, so all are shown."""
+    URLs, and the first blacklisted ones. All types are shown; as free text they may be many, so their places come from ``ranked``."""
     types = errors.groupBy("error_type").agg(F.count("*").alias("n"))
-    by_count = W.orderBy(F.desc("n"), "error_type")
+    types = ranked(types, [F.desc("n"), F.col("error_type")], "place")
     type_line = F.concat("error_type", F.lit(": "), F.col("n").cast("string"), F.lit(" ("), severity(F.col("error_type")), F.lit(" severity)"))
     worst = top_problems(errors, urls_shown)
     by_errors = W.orderBy(F.desc("error_count"), "url")
     url_line = F.concat("url", F.lit(": "), F.col("error_count").cast("string"), F.lit(" errors ("), "main_type", F.lit(", "), "severity", F.lit(" severity)"))
     listed = blacklist_sample(blacklisted, listed_shown)
     parts = [
-        types.select(F.lit("types").alias("section"), F.row_number().over(by_count).alias("place"), type_line.alias("line")),
+        types.select(F.lit("types").alias("section"), F.col("place").cast("int").alias("place"), type_line.alias("line")),
         worst.select(F.lit("urls").alias("section"), F.row_number().over(by_errors).alias("place"), url_line.alias("line")),
         listed.select(F.lit("blacklist").alias("section"), F.row_number().over(W.orderBy("url")).alias("place"), F.col("url").alias("line")),
     ]

@@ -42,41 +42,81 @@ def sitemap_counters(rows: DataFrame, blacklist: DataFrame, since: Column | None
     )
 
 
-def build_catalogue(
-    kind: str, posts: DataFrame, pages: DataFrame, existing: DataFrame, scraped_at: Column, since: Column | None = None
+def catalogue_batch(
+    kind: str,
+    posts: DataFrame,
+    pages: DataFrame | None = None,
+    existing: DataFrame | None = None,
+    since: Column | None = None,
+    sitemap: DataFrame | None = None,
 ) -> DataFrame:
-    """The next version of a catalogue table: complete API posts before page records, coerced,
-    without records that lack a URL, upserted with change tracking. ``pages`` are extracted
-    records, one per URL, and ``lastmod`` is the post's change time where the page has none.
+    """What a run delivers for a catalogue table, one record per URL: complete API posts before page records, coerced, without
+    records that lack a URL. ``pages`` are extracted records, ``sitemap`` has ``url, lastmod, api_id``.
 
-    Both sides spell URLs alike. API pages overlap, so of the posts of a URL the last changed counts,
-    then the greatest id. With ``since`` the records of stored URLs whose post has not changed are left out.
-    Stored columns that neither side delivers keep their values."""
+    All sides spell URLs alike. API pages overlap, so of the posts of a URL the last changed counts,
+    then the greatest id. ``lastmod`` is the sitemap's where it lists the URL, else the page's, else the post's change time. With ``since`` the records of
+    URLs in ``existing`` whose post has not changed are left out."""
     spelled = urls.normalize_url(F.col("url"), nfkc=True)
     mapped = api.map_posts(posts, kind).withColumn("url", spelled)
     newest = [F.coalesce("modified_gmt", F.lit("")), F.coalesce("api_id", F.lit(0))]
-    mapped = latest_per_key(mapped, ["url"], newest)
-    pages = pages.withColumn("url", spelled)
-    if "lastmod" not in pages.columns:
-        pages = pages.withColumn("lastmod", F.lit(None).cast("string"))
-    times = mapped.select("url", F.col("modified_gmt").alias("_changed"))
-    pages = pages.join(times, "url", "left").withColumn("lastmod", F.coalesce("lastmod", "_changed")).drop("_changed")
-    fresh = mapped
+    fresh = mapped = latest_per_key(mapped, ["url"], newest)
     if since is not None:
         changed = modified_after(iso_timestamp(F.col("modified_gmt")), since, on_unparsed=True)
-        stored = existing.select(urls.strip_slash(F.col("url")).alias("url"))
-        pages = pages.join(mapped.filter(~changed).select("url").join(stored, "url", "left_semi"), "url", "left_anti")
         fresh = mapped.filter(changed)
     from_api = fresh.withColumn("source", F.lit("api"))
-    merged = joins.merge_sources(from_api.drop("lastmod"), pages)
-    merged = merged.withColumn("lastmod", F.coalesce("lastmod", "modified_gmt"))
+    if pages is not None:
+        pages = pages.withColumn("url", spelled)
+        if "lastmod" not in pages.columns:
+            pages = pages.withColumn("lastmod", F.lit(None).cast("string"))
+        times = mapped.select("url", F.col("modified_gmt").alias("_changed"))
+        pages = pages.join(times, "url", "left").withColumn("lastmod", F.coalesce("lastmod", "_changed")).drop("_changed")
+        if since is not None and existing is not None:
+            stored = existing.select(urls.strip_slash(F.col("url")).alias("url"))
+            pages = pages.join(mapped.filter(~changed).select("url").join(stored, "url", "left_semi"), "url", "left_anti")
+        merged = joins.merge_sources(from_api.drop("lastmod"), pages)
+        merged = merged.withColumn("lastmod", F.coalesce("lastmod", "modified_gmt"))
+    else:
+        merged = from_api.withColumn("lastmod", F.col("modified_gmt"))
+    if sitemap is not None:
+        listed = sitemap.withColumn("url", spelled).filter("url <> ''")
+        listed = latest_per_key(listed.select("url", "lastmod", "api_id"), ["url"], [F.coalesce("lastmod", F.lit("")), F.coalesce("api_id", F.lit(0))])
+        known = listed.select("url", F.col("lastmod").alias("_listed"), F.col("api_id").alias("_id"))
+        found = F.coalesce("api_id", "_id", urls.post_id(F.col("url"), "sitemap")) if "api_id" in merged.columns else F.coalesce(F.col("_id"), urls.post_id(F.col("url"), "sitemap"))
+        merged = merged.join(known, "url", "left").withColumns({"lastmod": F.coalesce("_listed", "lastmod"), "api_id": found}).drop("_listed", "_id")
     delivered = quality.coerce_records(merged)
     known = [f.name for f in schema_of(kind).fields if f.name in delivered.columns]
     checked = quality.require_fields(conform(delivered, schema_of(kind)), kind)
-    batch = checked.select(*known).withColumn("pos", F.lit(0))
+    return checked.select(*known)
+
+
+def build_catalogue(
+    kind: str,
+    posts: DataFrame,
+    pages: DataFrame,
+    existing: DataFrame,
+    scraped_at: Column,
+    since: Column | None = None,
+    sitemap: DataFrame | None = None,
+) -> DataFrame:
+    """The next version of a catalogue table: what ``catalogue_batch`` delivers, upserted with change tracking.
+    Stored columns that the batch does not deliver keep their values."""
+    batch = catalogue_batch(kind, posts, pages, existing, since, sitemap).withColumn("pos", F.lit(0))
     return upsert.upsert(existing, batch, scraped_at)
 
 
+def build_series(
+    shows: DataFrame, episodes: DataFrame, stored_shows: DataFrame, stored_episodes: DataFrame, scraped_at: Column
+) -> tuple[DataFrame, DataFrame]:
+    """The next versions of the show and episode tables from a batch of either (``catalogue_batch``): both upserted, a stub
+    for every show that only its episodes name, and each show's ``episode_count`` from the episode table."""
+    spelled = {"show_url": urls.strip_slash(F.col("show_url"))}
+    children = upsert.upsert(stored_episodes, episodes.withColumns(spelled | {"pos": F.lit(0)}), scraped_at)
+    parents = upsert.upsert(stored_shows, shows.withColumn("pos", F.lit(0)), scraped_at)
+    named = children.withColumns(spelled)
+    parents = joins.add_missing_parents(named, parents, "show_url")
+    return upsert.episode_counts(parents, named).select(*stored_shows.columns), children
+
+
 def feed_round(
     items: DataFrame, state: DataFrame, failed_ids: DataFrame, processed_ids: DataFrame, posts: DataFrame, kind: str
 ) -> tuple[DataFrame, DataFrame]:

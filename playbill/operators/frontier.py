@@ -16,6 +16,46 @@ def exclude(df: DataFrame, blocked: DataFrame, on: list[str]) -> DataFrame:
     return df.join(blocked.select(*on), on, "left_anti")
 
 
+def seen_filter(keys: DataFrame, on: list[str], blocks: int) -> DataFrame:
+    """A Bloom filter of ``keys`` as a table: ``_block`` and ``_bits``, 32,768 bits in each of ``blocks`` rows at most. All bits of a
+    key lie in one block, so a key is looked up in one row."""
+    bits = keys.select(_block(on, blocks).alias("_block"), F.explode(_places(on)).alias("_bit"))
+    # The function takes positions from 0 and sets a bit once however often it comes; tasks combine before the shuffle.
+    return bits.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def _block(on: list[str], blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), *on), F.lit(blocks))
+
+
+def _places(on: list[str]) -> Column:
+    """The bits of a key: seven places of 15 bits from two hashes."""
+    a, b = F.xxhash64(F.lit("a"), *on), F.xxhash64(F.lit("b"), *on)
+    cuts = [F.shiftrightunsigned(a, 15 * i) for i in range(4)] + [F.shiftrightunsigned(b, 15 * i) for i in range(3)]
+    return F.array(*[c.bitwiseAND(F.lit(32767)) for c in cuts])
+
+
+def exclude_seen(df: DataFrame, seen: DataFrame, on: list[str], blocks: int = 4096) -> DataFrame:
+    """``exclude`` for a table that is much larger than the rows in question, such as all URLs ever processed.
+
+    A Bloom filter of it, 4 KB times ``blocks`` at most whatever its size, goes to every executor and lets rows that it does not know
+    pass where they are. Only the others are looked up: they are few, so the large table is filtered by them first, and what it has of
+    them is taken out. With more keys than about a tenth of the bits more rows are looked up; the result is the same.
+    """
+    rows = df.withColumns({"_block": _block(on, blocks), "_places": _places(on)})
+    marked = rows.join(F.broadcast(seen_filter(seen.select(*on), on, blocks)), "_block", "left")
+
+    def bit(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("bit_get", byte, (place % 8).cast("int")) == 1
+
+    maybe = F.coalesce(F.forall("_places", bit), F.lit(False))
+    marked = computed(marked.select(*df.columns, "_bits", "_places"), {"_maybe": maybe}).select(*df.columns, "_maybe")
+    new, known = marked.filter(~F.col("_maybe")).drop("_maybe"), marked.filter("_maybe").drop("_maybe")
+    hits = seen.select(*on).join(known.select(*on).distinct(), on, "left_semi").distinct()
+    return new.unionByName(exclude(known, hits, on).select(*df.columns))
+
+
 def unprocessed(content: DataFrame, processed: DataFrame) -> DataFrame:
     """Content whose ``(content_type, url)`` has not been handled yet; rows without a URL go."""
     usable = F.coalesce(F.col("url"), F.lit("")) != ""

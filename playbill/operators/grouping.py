@@ -2,7 +2,7 @@
 
 Nothing here sorts or collects a whole group in one task: reductions run through partial
 aggregation, top-n runs in two rounds over salted groups, and collected groups are divided
-into parts of limited size.
+into blocks by a hash.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from playbill.session import written
+
 SALTS = 32
 
 
@@ -66,32 +68,31 @@ def newest_snapshots(df: DataFrame, snapshot: str, k: int = 5) -> DataFrame:
     return df.join(F.broadcast(ids), snapshot, "left_semi").select(*df.columns)
 
 
-def hot_groups(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
-    """Keys with more than ``max_rows`` rows and the number of parts each is divided into.
-    There are at most ``rows / max_rows`` of them."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
-    return n.select(*keys, F.ceil(F.col("_n") / max_rows).cast("int").alias("parts"))
-
-
-def part_of(value: Column, parts: Column) -> Column:
-    """The part a row belongs to by its text value; only rows of divided groups are hashed."""
+def block_of(value: Column, blocks: int) -> Column:
+    """The block, of a given number, that a text value falls into by its hash."""
     number = F.conv(F.substring(F.md5(F.encode(value, "UTF-8")), 1, 8), 16, 10).cast("bigint")
-    return F.when(parts > 1, F.pmod(number, parts)).otherwise(0).cast("int")
-
-
-def in_parts(df: DataFrame, keys: list[str], value: str, max_rows: int) -> DataFrame:
-    """Add ``part`` and ``parts``: groups up to ``max_rows`` stay whole, larger ones are divided
-    by a hash of ``value``. Collect by ``keys + [part]`` to keep memory bounded."""
-    df = df.join(hot_groups(df, keys, max_rows), keys, "left")
-    df = df.withColumn("parts", F.coalesce(F.col("parts"), F.lit(1)))
-    return df.withColumn("part", part_of(F.col(value).cast("string"), F.col("parts")))
+    return F.pmod(number, F.lit(blocks)).cast("int")
 
 
-def collect_in_parts(df: DataFrame, keys: list[str], value: Column, max_rows: int, name: str) -> DataFrame:
-    """Sorted distinct values per key as arrays of bounded size: ``(keys, part, parts, name)``."""
+def collect_in_blocks(df: DataFrame, keys: list[str], value: Column, blocks: int, name: str) -> DataFrame:
+    """Sorted distinct values per key as arrays, one for each block with any: ``(keys, block, name)``. The block of a value
+    depends on the value alone, so every key is divided in the same way and nothing is counted first; choose ``blocks`` so that the
+    largest group's share fits a task."""
     rows = df.select(*keys, value.alias("_value")).dropDuplicates()
-    return (
-        in_parts(rows, keys, "_value", max_rows)
-        .groupBy(*keys, "part", "parts")
-        .agg(F.array_sort(F.collect_list("_value")).alias(name))
-    )
+    rows = rows.withColumn("block", block_of(F.col("_value").cast("string"), blocks))
+    return rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("_value")).alias(name))
+
+
+def ranked(df: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """Number all rows from 1 in an order, without bringing them together: ranges of the order, places inside a range, and
+    the rows of the ranges before it. Rows that are equal in the order get neighbouring numbers in any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, so that a lost task cannot cut the ranges otherwise.
+    ranges = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    # A row for each range.
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    rows = ranges.withColumn("_at", inside).join(F.broadcast(offsets), "_part")
+    return rows.withColumn(place, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions import urls
+from playbill.session import written
 
 
 def shows_with_episodes(shows: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -30,24 +34,65 @@ def prefix_lookup(probe: DataFrame, keyed: DataFrame, key: str, ignore_case: boo
     """``probe`` rows (column ``key``) with the ``keyed`` rows that equal it or, where none does,
     start with it. The prefix is literal, unlike a LIKE pattern.
 
-    The fallback is an equi-join: each keyed row meets only the prefix lengths that unmatched
-    probes have.
+    Equal ones meet in an equi-join. For the others ``prefix_pairs`` finds which texts start with which probe in one pass over both
+    in order, and two equi-joins bring the rows back.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     probe = probe.withColumn("_probe", fold(F.col(key)))
     keyed = keyed.withColumnRenamed(key, "matched").withColumn("_full", fold(F.col("matched")))
     exact = probe.join(keyed, F.col("_probe") == F.col("_full")).withColumn("match", F.lit("exact"))
-    loose = probe.join(keyed, F.col("_probe") == F.col("_full"), "left_anti")
-    # A set of text lengths: its size is that of the longest probe at most.
-    lengths = loose.agg(F.collect_set(F.length("_probe"))).scalar()
-    prefixes = (
-        keyed.withColumn("_lens", lengths)
-        .withColumn("_len", F.explode(F.filter("_lens", lambda n: n <= F.length("_full"))))
-        .withColumn("_prefix", F.substr("_full", F.lit(1), F.col("_len")))
-        .drop("_lens", "_len")
+    loose = probe.join(keyed.select("_full"), F.col("_probe") == F.col("_full"), "left_anti")
+    pairs = prefix_pairs(loose.select("_probe"), keyed.select("_full"))
+    started = loose.join(pairs, "_probe").join(keyed, "_full").withColumn("match", F.lit("prefix"))
+    return exact.unionByName(started).drop("_probe", "_full")
+
+
+def prefix_pairs(probes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each different text of ``texts`` with each different one of ``probes`` that it starts with: ``_full``, ``_probe``. Both
+    tables have one text column; nulls match nothing.
+
+    Both are put in order together, in ranges. In order a text comes after its prefixes, and whatever starts with a probe follows it
+    directly; so one pass over a range finds all pairs with the probes that are still open. The probes
+    that are open where a range begins are those that its first text starts with; they come from an equi-join of the prefixes of
+    these few texts and are handed to the range in front of its rows. What is shuffled is in proportion to the
+    different texts; only the pairs found are more.
+    """
+    spark = probes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = probes.toDF("text").select("text", F.lit(True).alias("probe"), F.lit(False).alias("full")).unionAll(
+        texts.toDF("text").select("text", F.lit(False), F.lit(True))
     )
-    started = loose.join(prefixes, F.col("_probe") == F.col("_prefix")).withColumn("match", F.lit("prefix"))
-    return exact.unionByName(started.drop("_prefix")).drop("_probe", "_full")
+    every = marked.filter("text is not null").groupBy("text").agg(F.bool_or("probe").alias("probe"), F.bool_or("full").alias("full"))
+    # Written, so that a lost task cannot cut the ranges otherwise.
+    ranges = written(every.repartitionByRange(parts, "text").withColumn("part", F.spark_partition_id()), "ranges")
+    # A row for each range, and of it a row for each shorter prefix of its first text.
+    firsts = ranges.groupBy("part").agg(F.min("text").alias("first")).filter("first <> ''")
+    prefix = firsts.select("part", F.explode(F.expr("transform(sequence(0, length(first) - 1), n -> left(first, n))")).alias("text"))
+    opened = prefix.join(ranges.filter("probe").select("text"), "text").select("part", "text", F.lit(True).alias("probe"), F.lit(False).alias("full"))
+    rows = ranges.select("part", "text", "probe", "full").unionByName(opened)
+    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "text")
+    return ordered.mapInArrow(_open_prefixes, "_full string, _probe string")
+
+
+def _open_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs from rows in order: a stack holds the probes that the last text starts with, each a prefix of the next."""
+    now, stack = None, []
+    for batch in batches:
+        full, found = [], []
+        for part, text, probe, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != now:
+                now, stack = part, []
+            while stack and not text.startswith(stack[-1]):
+                stack.pop()
+            if probe:
+                stack.append(text)
+            if wanted:
+                full += [text] * len(stack)
+                found += stack
+            if len(full) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.string()), pa.array(found, pa.string())], names=["_full", "_probe"])
+                full, found = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.string()), pa.array(found, pa.string())], names=["_full", "_probe"])
 
 
 def merge_sources(api: DataFrame, html: DataFrame, defaults: dict | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions import urls
-from playbill.operators.grouping import keep_last, part_of
+from playbill.operators.grouping import block_of, keep_last
 
-MAX_EPISODES = 20_000
+# Documents that a show's episodes are divided into at most.
+BLOCKS = 16
 
 # The episode fields of a season entry and the episode column each comes from.
 _SEASON_FIELDS = [
@@ -26,56 +27,51 @@ def _season_entry(e: Column) -> Column:
     return F.struct(*[e[source].alias(name) for name, source in _SEASON_FIELDS])
 
 
-def nest_seasons(shows: DataFrame, episodes: DataFrame, max_episodes: int = MAX_EPISODES) -> DataFrame:
+def nest_seasons(shows: DataFrame, episodes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """Shows with ``seasons`` and ``full_episodes``.
 
     Seasons ascend by number (a missing number is 0), their episodes by number and URL; a show
-    without episodes keeps its stored seasons. A show with more than ``max_episodes`` episodes
-    comes as ``parts`` documents numbered by ``part``, each with its share of the episodes and
-    the full ``episode_count`` of its seasons, so that no document outgrows a task.
+    without episodes keeps its stored seasons. A show comes as a document for each ``block`` that any of its episodes falls into by the hash of their
+    URL, with those episodes and the full ``episode_count`` of their seasons; one of them is the ``lead``. With 1 block it is one document.
+    The block of an episode does not depend on any count, so choose ``blocks`` so that the largest show's share fits a task.
     """
     eps = episodes.withColumn("_key", urls.strip_slash(F.col("show_url"))).filter(F.col("_key") != "")
     eps = eps.withColumn("_season", F.coalesce("season_number", F.lit(0)))
-
-    # Row counts need two columns only; they show which shows must be divided.
-    per_season = eps.groupBy("_key", "_season").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.sum("_n") / max_episodes).cast("int")
-    hot = per_season.groupBy("_key").agg(parts.alias("parts")).filter(F.col("parts") > 1)
-    totals = per_season.join(hot.select("_key"), "_key", "left_semi")
-
-    eps = eps.join(hot, "_key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    eps = eps.withColumn("part", part_of(F.col("url"), F.col("parts")))
+    eps = eps.withColumn("block", block_of(F.col("url"), blocks) if blocks > 1 else F.lit(0))
     row = F.struct(
         F.coalesce("episode_number", F.lit(0)).alias("_order"),
         F.col("url").alias("_url"),
         F.struct(*[F.col(c) for c in episodes.columns]).alias("row"),
     )
-    by_season = eps.groupBy("_key", "part", "parts", "_season").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    by_season = by_season.join(totals, ["_key", "_season"], "left")
-    season = F.struct(
-        F.col("_season").alias("season_number"),
-        F.concat(F.lit("Season "), F.col("_season").cast("string")).alias("title"),
-        F.coalesce(F.col("_n"), F.size("_rows")).cast("int").alias("episode_count"),
-        F.col("_rows"),
-    )
-    by_show = by_season.groupBy("_key", "part", "parts").agg(F.sort_array(F.collect_list(season)).alias("_seasons"))
+    by_season = eps.groupBy("_key", "block", "_season").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    season = F.struct("_season", "_rows")
+    by_show = by_season.groupBy("_key", "block").agg(F.sort_array(F.collect_list(season)).alias("_seasons"))
+    out = shows.withColumn("_key", urls.strip_slash(F.col("url"))).join(by_show, "_key", "left")
+    count, lead = lambda s: F.size(s["_rows"]), F.lit(True)
+    if blocks > 1:
+        # Three columns give the counts of whole seasons and a first block.
+        totals = eps.groupBy("_key", "_season").agg(F.count("*").cast("int").alias("_n"), F.min("block").alias("_block"))
+        totals = totals.groupBy("_key").agg(
+            F.map_from_entries(F.collect_list(F.struct("_season", "_n"))).alias("_counts"), F.min("_block").alias("_lead")
+        )
+        out = out.join(totals, "_key", "left")
+        count, lead = lambda s: F.element_at("_counts", s["_season"]), F.col("block").eqNullSafe(F.col("_lead"))
 
     nested = F.transform(
         "_seasons",
         lambda s: F.struct(
-            s["season_number"].alias("season_number"),
-            s["title"].alias("title"),
-            s["episode_count"].alias("episode_count"),
+            s["_season"].alias("season_number"),
+            F.concat(F.lit("Season "), s["_season"].cast("string")).alias("title"),
+            count(s).alias("episode_count"),
             F.transform(s["_rows"], lambda e: _season_entry(e["row"])).alias("episodes"),
         ),
     )
     full = F.flatten(F.transform("_seasons", lambda s: F.transform(s["_rows"], lambda e: e["row"])))
     stored = [F.col("seasons")] if "seasons" in shows.columns else []
-    out = shows.withColumn("_key", urls.strip_slash(F.col("url"))).join(by_show, "_key", "left")
     return out.select(
         *[F.col(c) for c in shows.columns if c != "seasons"],
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
+        F.coalesce("block", F.lit(0)).alias("block"),
+        lead.alias("lead"),
         F.coalesce(nested, *stored, F.array()).alias("seasons"),
         F.coalesce(full, F.array()).alias("full_episodes"),
     )
@@ -106,12 +102,12 @@ def frontend_episodes(shows: DataFrame) -> DataFrame:
     return shows.withColumn("episodes", flat).drop("seasons")
 
 
-def keyed_by_title(df: DataFrame, pos: str, title: str = "title_en", parts: bool = False) -> DataFrame:
+def keyed_by_title(df: DataFrame, pos: str, title: str = "title_en", blocks: bool = False) -> DataFrame:
     """``(key, value)`` entries of the title-keyed document: untitled records go and the last
-    record of a title wins. Divided documents pass ``parts`` to keep all parts of the winner."""
+    record of a title wins. Divided documents pass ``blocks`` to keep all blocks of the winner."""
     rows = df.filter(F.coalesce(F.col(title), F.lit("")) != "")
-    if parts:
-        # Of records with one title and place, the greatest URL: one winner, with all its parts.
+    if blocks:
+        # Of records with one title and place, the greatest URL: one winner, with all its blocks.
         last = rows.groupBy(title).agg(F.max(F.struct(pos, "url")).alias("_last"))
         last = last.select(title, F.col(f"_last.{pos}").alias(pos), F.col("_last.url").alias("url"))
         rows = rows.join(last, [title, pos, "url"], "left_semi").select(*df.columns)
@@ -120,13 +116,10 @@ def keyed_by_title(df: DataFrame, pos: str, title: str = "title_en", parts: bool
     return rows.select(F.col(title).alias("key"), F.struct(*[c for c in df.columns if c != pos]).alias("value"))
 
 
-def title_map(entries: DataFrame, max_entries: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
-    """Entries as maps of about ``max_entries`` titles each: ``(bucket, entries)``. Columns in
-    ``by`` keep entries apart that may share a title, such as the parts of a divided show."""
-    buckets = entries.agg(F.ceil(F.count("*") / max_entries).cast("int")).scalar()
-    rows = entries.withColumn("bucket", F.pmod(F.xxhash64("key"), F.greatest(buckets, F.lit(1))).cast("int"))
-    pairs = F.collect_list(F.struct("key", "value"))
-    return rows.groupBy("bucket", *by).agg(F.map_from_entries(pairs).alias("entries"))
+def title_map(entries: DataFrame) -> DataFrame:
+    """The title-keyed document line by line: each entry as a map of its own, in column ``entries``. Whoever wants one map of them all
+    merges lines; no task has to hold more than one."""
+    return entries.select(F.create_map("key", "value").alias("entries"))
 
 
 def episode_urls(seasons: Column) -> Column:

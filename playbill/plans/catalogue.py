@@ -8,10 +8,10 @@ from playbill.functions import dates, urls
 from playbill.operators import feeds, frontier, grouping, joins, nesting, stats
 from playbill.plans.registry import query
 from playbill.plans.roles import (
+    BLOCKS_SQL,
     EPISODES_SQL,
     PAGES_SQL,
     PARSED_SQL,
-    PARTS_SQL,
     SHOWS_SQL,
     SITE,
     day,
@@ -399,12 +399,10 @@ def new_content_summary(spark, sf):
     return stats.content_summary(_content(spark, sf).filter("url is not null"))
 
 
-@query(f"""WITH {PARTS_SQL}, u AS (SELECT DISTINCT k, url FROM whole), n AS (SELECT k, greatest(ceil(count(*) / 20000), 1)::INT AS parts FROM u GROUP BY k),
-p AS (SELECT k, url, n.parts, CASE WHEN n.parts > 1 THEN ('0x' || substr(md5(url), 1, 8))::BIGINT % n.parts ELSE 0 END::INT AS part FROM u JOIN n USING (k))
-SELECT k AS show_url, part, parts, string_agg(url, ' ' ORDER BY url) AS episode_urls FROM p GROUP BY k, part, parts""")
+@query(f"""WITH {BLOCKS_SQL} SELECT k AS show_url, block, string_agg(url, ' ' ORDER BY url) AS episode_urls FROM (SELECT DISTINCT k, url, block FROM e) GROUP BY k, block""")
 def episode_urls(spark, sf):
     eps = episodes(spark, sf).withColumn("show_url", urls.strip_slash(F.col("show_url")))
-    rows = grouping.collect_in_parts(eps, ["show_url"], F.col("url"), 20_000, "episode_urls")
+    rows = grouping.collect_in_blocks(eps, ["show_url"], F.col("url"), 16, "episode_urls")
     return rows.withColumn("episode_urls", F.array_join("episode_urls", " "))
 
 
@@ -471,3 +469,9 @@ def spider_frontier(spark, sf):
     return frontier.start_urls(parsed, done, listed, cap=5000)
 
 
+@query(f"""SELECT '{SITE}/tvshows/' || o_orderkey AS url, o_orderstatus AS content_type FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
+def unseen_frontier(spark, sf):
+    known = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(text(f"{SITE}/tvshows/", F.col("l_orderkey")).alias("url"))
+    found = table(spark, sf, "orders").select(text(f"{SITE}/tvshows/", F.col("o_orderkey")).alias("url"), F.col("o_orderstatus").alias("content_type"))
+    return frontier.exclude_seen(found, known, ["url"])

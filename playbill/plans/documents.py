@@ -9,8 +9,8 @@ from playbill.functions import urls
 from playbill.operators import api, nesting, quality, upsert
 from playbill.plans.registry import query
 from playbill.plans.roles import (
+    BLOCKS_SQL,
     EPISODES_SQL,
-    PARTS_SQL,
     SHOWS_SQL,
     SITE,
     day,
@@ -46,19 +46,19 @@ def _spelled(seasons):
     return F.array_join(F.transform(seasons, season), ";")
 
 
-@query(f"""WITH {SHOWS_SQL}, {PARTS_SQL}, n AS (SELECT k, s, count(*) AS n FROM e GROUP BY k, s),
-s AS (SELECT k, part, parts, s, count(*) AS here, string_agg(episode_number || ':' || title || ':' || air_date || ':' || url || ':'
-    || replace(url, '{SITE}/episodes/', 'https://cdn.example/') || '.mp4', ',' ORDER BY episode_number, url, air_date) AS eps FROM e GROUP BY k, part, parts, s),
-d AS (SELECT k, part, parts, string_agg(s || ':Season ' || s || ':' || n || '=' || eps, ';' ORDER BY s) AS seasons, sum(here)::INT AS n
-  FROM s JOIN n USING (k, s) GROUP BY k, part, parts)
-SELECT url, title_en, coalesce(part, 0) AS part, coalesce(parts, 1) AS parts, coalesce(seasons, '9:Season 9:0=') AS seasons, coalesce(n, 0) AS full_count
+@query(f"""WITH {SHOWS_SQL}, {BLOCKS_SQL}, n AS (SELECT k, s, count(*) AS n FROM e GROUP BY k, s),
+s AS (SELECT k, block, s, count(*) AS here, string_agg(episode_number || ':' || title || ':' || air_date || ':' || url || ':'
+    || replace(url, '{SITE}/episodes/', 'https://cdn.example/') || '.mp4', ',' ORDER BY episode_number, url, air_date) AS eps FROM e GROUP BY k, block, s),
+d AS (SELECT k, block, block = min(block) OVER (PARTITION BY k) AS lead, string_agg(s || ':Season ' || s || ':' || n || '=' || eps, ';' ORDER BY s) AS seasons, sum(here)::INT AS n
+  FROM s JOIN n USING (k, s) GROUP BY k, block)
+SELECT url, title_en, coalesce(block, 0) AS block, coalesce(lead, true) AS lead, coalesce(seasons, '9:Season 9:0=') AS seasons, coalesce(n, 0) AS full_count
 FROM shows LEFT JOIN d ON rtrim(url, '/') = k""")
 def nest_seasons(spark, sf):
     return _nested(spark, sf).select(
         "url",
         "title_en",
-        "part",
-        "parts",
+        "block",
+        "lead",
         _spelled(F.col("seasons")).alias("seasons"),
         F.size("full_episodes").alias("full_count"),
     )
@@ -72,8 +72,8 @@ def flatten_seasons(spark, sf):
     return rows.select("show", "season_number", "episode_number", "title", "date", "url", "lastmod")
 
 
-@query(f"""WITH {SHOWS_SQL}, {PARTS_SQL}, d AS (SELECT k, part, string_agg(s || '/' || episode_number || '/' || url, ' ' ORDER BY s, episode_number, url) AS episodes
-  FROM e GROUP BY k, part)
+@query(f"""WITH {SHOWS_SQL}, {BLOCKS_SQL}, d AS (SELECT k, block, string_agg(s || '/' || episode_number || '/' || url, ' ' ORDER BY s, episode_number, url) AS episodes
+  FROM e GROUP BY k, block)
 SELECT url, coalesce(episodes, '') AS episodes FROM shows LEFT JOIN d ON rtrim(url, '/') = k""")
 def frontend_episodes(spark, sf):
     rows = nesting.frontend_episodes(_nested(spark, sf))
@@ -86,7 +86,7 @@ def frontend_episodes(spark, sf):
 
 @query(f"""SELECT p_name AS title, '{SITE}/movies/' || max(p_partkey) AS url, arg_max(1950 + p_size, p_partkey) AS year FROM part GROUP BY 1""")
 def title_map(spark, sf):
-    maps = nesting.title_map(nesting.keyed_by_title(movies(spark, sf), "pos"), max_entries=20)
+    maps = nesting.title_map(nesting.keyed_by_title(movies(spark, sf), "pos"))
     entries = maps.select(F.explode("entries").alias("title", "movie"))
     return entries.select("title", "movie.url", "movie.year")
 

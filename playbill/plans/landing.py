@@ -28,6 +28,29 @@ from playbill.plans.roles import (
 from playbill.schemas import SITEMAP_ENTRY
 from playbill.session import fresh_path, table
 from playbill.sources import landed, sinks, xml
+from playbill.sources.versioned import VersionedTable
+
+
+@query("""WITH state AS (SELECT o_orderkey % 4 AS version, o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 AND o_orderstatus = 'P' THEN NULL ELSE '2024-01-0' || (1 + o_orderkey % 4) END AS saved_at FROM orders),
+marked AS (SELECT *, CASE WHEN id % 16 = 2 THEN 'unreadable' WHEN saved_at IS NULL THEN 'missing saved_at' END AS reason FROM state),
+newest AS (SELECT max(version) AS v FROM (SELECT version FROM marked GROUP BY version HAVING count(reason) = 0))
+SELECT 'state' AS side, version, id, saved_at, reason FROM marked, newest WHERE version = v
+UNION ALL SELECT 'bad', version, CASE WHEN id % 16 <> 2 THEN id END, NULL, reason FROM marked, newest WHERE reason IS NOT NULL AND (v IS NULL OR version > v)""")
+def state_fallback(spark, sf):
+    # Four versions of a state file: of the newest rows lack a key, in the one before lines are cut off.
+    version = F.col("o_orderkey") % 4
+    key = (version == 3) & (F.col("o_orderstatus") == "P")
+    saved = F.when(key, "").otherwise(text(',"saved_at":"2024-01-0', version + 1, '"'))
+    line = text('{"id":', F.col("o_orderkey"), saved, "}")
+    line = F.when(F.col("o_orderkey") % 16 == 2, F.left(line, F.length(line) - 4)).otherwise(line)
+    path = fresh_path(spark, "state")
+    table(spark, sf, "orders").select(version.alias("version"), line.alias("value")).write.partitionBy("version").text(path)
+    rows = landed.read_versions(spark, path, "id bigint, saved_at string")
+    good, bad = landed.newest_valid(rows, ["id", "saved_at"])
+    columns = ["version", "id", "saved_at"]
+    return good.select(F.lit("state").alias("side"), *columns, F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select(F.lit("bad").alias("side"), "version", F.when(F.col("corrupt").isNull(), F.col("id")).alias("id"), F.lit(None).cast("string").alias("saved_at"), "reason")
+    )
 
 
 def _escaped(c):
@@ -158,7 +181,7 @@ def corrupt_quarantine(spark, sf):
 
 
 @query(f"""WITH {PAGES_SQL} SELECT page_id, html FROM pg""")
-def snapshot_scan(spark, sf):
+def snapshot_decode(spark, sf):
     rows = pages(spark, sf)
     latin = (F.col("lang") != "en") & ~F.col("html").rlike("[^\\x{00}-\\x{FF}]")
     stored = F.when(latin, F.encode(F.regexp_replace("html", "[^\\x{00}-\\x{FF}]", "?"), "ISO-8859-1")).otherwise(
@@ -169,6 +192,19 @@ def snapshot_scan(spark, sf):
     return wanted.join(snaps.select("file", "html"), "file").select("page_id", "html")
 
 
+@query(f"""WITH {PAGES_SQL} SELECT page_id, lang AS content_type, html FROM pg WHERE lang IN ('en', 'fr')""")
+def snapshot_scan(spark, sf):
+    # Pages as files in the folder of their type, in UTF-8 or, where it can hold the page, Latin-1; two types are read.
+    rows, path = pages(spark, sf), fresh_path(spark, "cache")
+    latin = (F.col("lang") == "fr") & ~F.col("html").rlike("[^\\x{00}-\\x{FF}]")
+    stored = F.when(latin, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    named = landed.with_cache_file(rows.select("page_id", "url", F.col("lang").alias("content_type"), stored.alias("content")))
+    # Two pages may have one cache key; the name carries the page.
+    landed.write_snapshots(named.withColumn("file", F.concat_ws("-", "page_id", "file")), path)
+    scan = landed.read_snapshots(spark, path, kinds=["en", "fr"], since="2020-01-01")
+    return scan.select(F.substring_index("file", "-", 1).cast("bigint").alias("page_id"), "content_type", "html")
+
+
 # --- catalogue tables, documents and state ---
 
 
@@ -295,9 +331,7 @@ UNION ALL SELECT '{SITE}/tvshows/' || o_orderkey, o_orderstatus, CASE WHEN o_ord
 def upsert_sink(spark, sf):
     old, batch = upsert_inputs(spark, sf)
     layout = "url string, title_en string, lastmod string, source string, is_new int, api_id bigint, is_modified int, last_scraped string"
-    first, second = fresh_path(spark, "shows"), fresh_path(spark, "shows")
-    sinks.upsert_table(spark, old.withColumn("pos", F.col("api_id")), None, first, F.lit("2002-01-01"), layout)
-    merged = sinks.upsert_table(spark, batch, first, second, F.lit("2002-01-02"), layout)
-    return merged.select("url", "source", "is_new", "last_scraped")
-
-
+    shows = VersionedTable.create(spark, fresh_path(spark, "shows"), layout, buckets=16)
+    shows.upsert(old.withColumn("pos", F.col("api_id")), F.lit("2002-01-01"))
+    shows.upsert(batch, F.lit("2002-01-02"))
+    return shows.read().select("url", "source", "is_new", "last_scraped")

@@ -138,11 +138,9 @@ EPISODES_SQL = f"""episodes AS (
     strftime(l_shipdate, '%Y-%m-%d') AS lastmod FROM lineitem)"""
 
 
-# Episodes ``e`` with show key ``k`` and season ``s``, and the part of a divided show each is in.
-PARTS_SQL = f"""{EPISODES_SQL}, whole AS (SELECT rtrim(show_url, '/') AS k, coalesce(season_number, 0) AS s, * FROM episodes),
-sizes AS (SELECT k, greatest(ceil(count(*) / 20000), 1)::INT AS parts FROM whole GROUP BY k),
-e AS (SELECT w.*, parts, CASE WHEN parts > 1 THEN ('0x' || substr(md5(url), 1, 8))::BIGINT % parts ELSE 0 END::INT AS part
-  FROM whole w JOIN sizes USING (k))"""
+# Episodes ``e`` with show key ``k``, season ``s`` and the block of a nested document each is in.
+BLOCKS_SQL = f"""{EPISODES_SQL}, whole AS (SELECT rtrim(show_url, '/') AS k, coalesce(season_number, 0) AS s, * FROM episodes),
+e AS (SELECT *, (('0x' || substr(md5(url), 1, 8))::BIGINT % 16)::INT AS block FROM whole)"""
 
 
 def video_files(spark: SparkSession, sf: str) -> DataFrame:

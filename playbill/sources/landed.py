@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +15,10 @@ from playbill.functions import urls
 from playbill.functions.dates import iso_timestamp, modified_after
 from playbill.operators.quality import coerce_list
 from playbill.schemas import API_POST, VIDEO_FILE
+from playbill.session import computed, written
 
 _ENTRY = "struct<url string, lastmod string, api_id bigint>"
+_SNAPSHOT = "path string, modificationTime timestamp, length bigint, content binary, content_type string"
 _KINDS = ["movies", "shows", "series", "tvshows", "episodes"]
 
 
@@ -43,6 +49,28 @@ def split_corrupt(df: DataFrame, required: list[str], corrupt: str = "corrupt")
     return df.filter(~bad).drop(corrupt), df.filter(bad)
 
 
+def newest_valid(rows: DataFrame, required: list[str], version: str = "version", corrupt: str = "corrupt") -> tuple[DataFrame, DataFrame]:
+    """Of state kept in versions, the rows of the newest one that is whole, and the bad rows of the newer ones that were passed over.
+
+    A version is whole if none of its rows is unreadable or lacks a required key; one without rows holds nothing to go
+    back to and is passed over too. Bad rows come with the ``reason``. Without a whole version there are no rows."""
+    missing = [F.when(F.col(name).isNull(), F.lit(f"missing {name}")) for name in required]
+    reason = F.coalesce(F.when(F.col(corrupt).isNotNull(), F.lit("unreadable")), *missing)
+    marked = computed(rows, {"reason": reason})
+    # A row for each version; versions are partitions of a folder, so the chosen one prunes the second scan.
+    whole = marked.groupBy(version).agg(F.count("reason").alias("bad")).filter("bad = 0")
+    newest = whole.agg(F.max(version).alias("_newest"))
+    good = rows.filter(F.col(version) == newest.scalar()).drop(corrupt)
+    later = F.coalesce(F.col(version) > newest.scalar(), F.lit(True))
+    return good, marked.filter(F.col("reason").isNotNull() & later)
+
+
+def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """State files ``version=<n>/`` of JSON lines with ``version``; a line that is no JSON keeps its text in ``corrupt``."""
+    layout = f"{schema}, corrupt string, version bigint"
+    return spark.read.schema(layout).option("columnNameOfCorruptRecord", "corrupt").json(path)
+
+
 def decode_page(content: Column) -> Column:
     """Bytes to text: UTF-8 where valid, else Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(
@@ -50,18 +78,44 @@ def decode_page(content: Column) -> Column:
     )
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Cached page files ``<type>/<name>.html`` as ``(content_type, file, html, fetched_at)``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    parts = F.split("path", "/")
+def read_snapshots(spark: SparkSession, path: str, kinds: list[str] | None = None, since: str | None = None) -> DataFrame:
+    """Cached page files ``content_type=<type>/<name>.html`` as ``(content_type, file, html, fetched_at)``.
+
+    ``kinds`` and ``since`` (a timestamp as text) reach the scan: folders of other types are not listed for reading, and of
+    files written before no bytes are read. Empty files hold no page and are left out."""
+    files = spark.read.format("binaryFile").schema(_SNAPSHOT).load(path)
+    if kinds is not None:
+        files = files.filter(F.col("content_type").isin(kinds))
+    if since is not None:
+        files = files.filter(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
     return files.select(
-        F.element_at(parts, -2).alias("content_type"),
-        F.element_at(parts, -1).alias("file"),
+        "content_type",
+        F.element_at(F.split("path", "/"), -1).alias("file"),
         decode_page(F.col("content")).alias("html"),
         F.col("modificationTime").alias("fetched_at"),
     )
 
 
+def write_snapshots(pages: DataFrame, path: str) -> DataFrame:
+    """Pages ``(content_type, file, content)`` as one file each under ``content_type=<type>/``, written by the tasks that hold them;
+    gives ``(content_type, file, bytes)`` of what was written. A page that is written again replaces its file, so a repeated
+    task does no harm. The result is a table of its own: reading it writes nothing again."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for kind, name, content in zip(*(batch.column(c).to_pylist() for c in ("content_type", "file", "content")), strict=True):
+                folder = f"{root}/content_type={quote(kind, safe='')}"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content)
+            sizes = pc.binary_length(batch.column("content")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("content_type"), batch.column("file"), sizes], names=["content_type", "file", "bytes"])
+
+    rows = pages.select("content_type", "file", "content").filter("content is not null")
+    return written(rows.mapInArrow(save, "content_type string, file string, bytes bigint"), "snapshots")
+
+
 def with_cache_file(df: DataFrame, nfkc: bool = True) -> DataFrame:
     """Add the cache file name of each URL, the join key to ``read_snapshots``."""
     return df.withColumn("file", F.concat(urls.cache_key(F.col("url"), nfkc), F.lit(".html")))
@@ -78,25 +132,23 @@ def decode_lists(df: DataFrame, lists: list[str], videos: str | None = None) ->
 
 def parsed_url_documents(documents: DataFrame, body: str = "body") -> DataFrame:
     """Entries of parsed-URL JSON documents, in either layout: entries are objects or plain URLs,
-    the show list may be called ``series``, and ``modified_*`` lists hold the modified ones."""
-    schema = ", ".join(f"{prefix}{kind} array<string>" for kind in _KINDS for prefix in ("", "modified_"))
+    the show list may be called ``series``, and ``modified_*`` lists hold the modified ones. A document is parsed once."""
+    names = [(kind, modified) for kind in _KINDS for modified in (False, True)]
+    schema = ", ".join(f"{'modified_' if modified else ''}{kind} array<string>" for kind, modified in names)
     kept = [c for c in documents.columns if c != body]
-    rows = documents.select(*kept, F.from_json(F.col(body), schema).alias("d"))
-    parts = []
-    for kind in _KINDS:
-        for modified in (False, True):
-            name = f"modified_{kind}" if modified else kind
-            listed = rows.select(*kept, F.posexplode(F.col(f"d.{name}")).alias("pos", "entry"))
-            parts.append(
-                listed.select(
-                    *kept,
-                    urls.canonical_type(F.lit(kind)).alias("category"),
-                    F.lit(modified).alias("is_modified"),
-                    "pos",
-                    "entry",
-                )
+    parsed = documents.select(*kept, F.from_json(F.col(body), schema).alias("d"))
+    lists = F.array(
+        *[
+            F.struct(
+                urls.canonical_type(F.lit(kind)).alias("category"),
+                F.lit(modified).alias("is_modified"),
+                F.col(f"d.{'modified_' if modified else ''}{kind}").alias("entries"),
             )
-    rows = reduce(DataFrame.unionByName, parts)
+            for kind, modified in names
+        ]
+    )
+    rows = parsed.select(*kept, F.inline(lists)).filter("entries is not null")
+    rows = rows.select(*kept, "category", "is_modified", F.posexplode("entries").alias("pos", "entry"))
     entry = F.when(F.col("entry").startswith("{"), F.from_json("entry", _ENTRY))
     return rows.select(
         *kept,

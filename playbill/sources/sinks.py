@@ -1,69 +1,68 @@
-"""Sinks: catalogue versions, nested and title-keyed documents, parsed URLs, state tables and
+"""Sinks: nested and title-keyed documents, parsed URLs, state tables and
 notifications. Every sink writes a new folder; readers switch to it once it is complete."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.operators.nesting import frontend_episodes, keyed_by_title, nest_seasons, title_map
-from playbill.operators.upsert import upsert
+from playbill.operators.nesting import BLOCKS, frontend_episodes, keyed_by_title, nest_seasons, title_map
 
 
-def upsert_table(
-    spark: SparkSession, incoming: DataFrame, current: str | None, target: str, scraped_at: Column, schema: str
-) -> DataFrame:
-    """Merge a batch into the table version at ``current`` and write the next one to ``target``."""
-    reader = spark.read.schema(schema)
-    existing = reader.parquet(current) if current else spark.createDataFrame([], schema)
-    upsert(existing, incoming, scraped_at).write.parquet(target)
-    return reader.parquet(target)
+def _observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with counts that its writing task takes on the way, so that nothing is computed a second time for them. To be called on
+    the frame that is written: there each row is seen once, also if executors are lost."""
+    seen = Observation(f"written-{uuid.uuid4().hex}")
+    return df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()]), seen
 
 
 def export_catalogue(
-    movies: DataFrame, shows: DataFrame, episodes: DataFrame, path: str, exported_at: Column
+    movies: DataFrame, shows: DataFrame, episodes: DataFrame, path: str, exported_at: Column, blocks: int = BLOCKS
 ) -> None:
     """The export as JSON lines: ``movies``, ``shows`` with nested seasons, ``episodes``, and one
-    ``metadata`` row with the counts."""
-    movies.write.json(f"{path}/movies")
-    nest_seasons(shows, episodes).write.json(f"{path}/shows")
-    episodes.write.json(f"{path}/episodes")
-    counts = [
-        df.agg(F.count("*")).scalar().alias(f"{name}_count")
-        for name, df in (("movies", movies), ("shows", shows), ("episodes", episodes))
-    ]
-    one = movies.sparkSession.range(1)
-    one.select(exported_at.alias("exported_at"), *counts).write.json(f"{path}/metadata")
+    ``metadata`` row with the counts, taken while writing."""
+    parts = {
+        "movies": (movies, F.count(F.lit(1))),
+        "shows": (nest_seasons(shows, episodes, blocks), F.count_if("lead")),
+        "episodes": (episodes, F.count(F.lit(1))),
+    }
+    counts = []
+    for name, (df, n) in parts.items():
+        df, seen = _observed(df, n=n)
+        df.write.json(f"{path}/{name}")
+        counts.append(F.lit(seen.get["n"]).cast("bigint").alias(f"{name}_count"))
+    movies.sparkSession.range(1).select(exported_at.alias("exported_at"), *counts).write.json(f"{path}/metadata")
 
 
 def export_frontend(movies: DataFrame, nested_shows: DataFrame, episodes: DataFrame, path: str, pos: str) -> None:
-    """The title-keyed layout as JSON lines of maps, each holding a bounded share of the titles.
-    The later parts of a divided show stand in maps of their own."""
+    """The title-keyed layout as JSON lines, each a map of one title. The blocks of a show are lines of their own."""
     title_map(keyed_by_title(movies, pos)).write.json(f"{path}/movies")
-    shows = keyed_by_title(frontend_episodes(nested_shows), pos, parts=True)
-    shows = shows.withColumn("part", F.col("value.part"))
-    title_map(shows, by=("part",)).write.json(f"{path}/tv_shows")
+    title_map(keyed_by_title(frontend_episodes(nested_shows), pos, blocks=True)).write.json(f"{path}/tv_shows")
     episodes.write.json(f"{path}/episodes")
 
 
-def save_parsed_urls(parsed: DataFrame, previous: DataFrame | None, path: str, run_at: Column) -> None:
+def save_parsed_urls(parsed: DataFrame, previous: DataFrame | None, path: str, run_at: Column, files: int = 32) -> None:
     """Parsed URLs partitioned for pruning, and one metadata row: totals, counts per category,
-    and the time of the last full scan, which moves only when nothing was modified."""
-    parsed.write.partitionBy("category", "is_modified").parquet(f"{path}/urls")
-    saved = parsed.sparkSession.read.schema(parsed.schema).parquet(f"{path}/urls")
-    total = saved.filter("not is_modified").agg(F.count("*")).scalar()
-    modified = saved.filter("is_modified").agg(F.count("*")).scalar()
+    and the time of the last full scan, which moves only when nothing was modified.
+
+    Rows are clustered by the folder they go to, each folder in at most ``files`` files; all counts are taken while writing."""
+    whole = ~F.col("is_modified")
+    kinds = ("movies", "shows", "episodes")
+    counts = {"total": F.count_if(whole), "modified": F.count_if("is_modified")}
+    counts |= {k: F.count_if((F.col("category") == k) & whole) for k in kinds}
+    place = F.pmod(F.xxhash64("url"), F.lit(files))
+    rows, seen = _observed(parsed.repartition("category", "is_modified", place), **counts)
+    rows.write.partitionBy("category", "is_modified").parquet(f"{path}/urls")
+    n = {k: F.lit(v).cast("bigint") for k, v in seen.get.items()}
     last = F.lit(None).cast("string") if previous is None else previous.agg(F.max("last_full_scan")).scalar()
-    counts = [
-        saved.filter((F.col("category") == k) & ~F.col("is_modified")).agg(F.count("*")).scalar().alias(f"{k}_count")
-        for k in ("movies", "shows", "episodes")
-    ]
     parsed.sparkSession.range(1).select(
         run_at.alias("generated_at"),
-        total.alias("total_count"),
-        modified.alias("modified_count"),
-        F.when(modified == 0, run_at).otherwise(F.coalesce(last, run_at)).alias("last_full_scan"),
-        *counts,
+        n["total"].alias("total_count"),
+        n["modified"].alias("modified_count"),
+        F.when(n["modified"] == 0, run_at).otherwise(F.coalesce(last, run_at)).alias("last_full_scan"),
+        *[n[k].alias(f"{k}_count") for k in kinds],
     ).write.parquet(f"{path}/metadata")
 
 

@@ -44,20 +44,60 @@ def test_keep_latest(spark):
     assert rows(grouping.keep_latest(df, ["category", "url"]).select("url", "note")) == [("u", "y"), ("v", "n")]
 
 
-def test_collect_in_parts_is_whole(spark):
+def test_collect_in_blocks_is_whole(spark):
     data = skewed(900)
     df = spark.createDataFrame([(k, f"u{p}") for k, p in data] * 2, "key string, url string")
-    parts = grouping.collect_in_parts(df, ["key"], F.col("url"), 40, "urls").collect()
+    blocks = grouping.collect_in_blocks(df, ["key"], F.col("url"), 8, "urls").collect()
     want = defaultdict(set)
     for k, p in data:
         want[k].add(f"u{p}")
-    got = defaultdict(list)
-    for r in parts:
-        assert r.urls == sorted(r.urls)
+    got, block_of = defaultdict(list), {}
+    for r in blocks:
+        assert r.urls == sorted(r.urls) and 0 <= r.block < 8
         got[r.key] += r.urls
+        for u in r.urls:
+            assert block_of.setdefault(u, r.block) == r.block
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
-    assert max(len(r.urls) for r in parts) < 80 and any(r.parts > 1 for r in parts)
-
+    assert max(len(r.urls) for r in blocks) < 80 and len([r for r in blocks if r.key == "hot"]) == 8
+
+
+def test_ranks_over_ranges(spark):
+    data = [(x, i) for i, x in enumerate([5, 5, 5, 1, 9, None, 3, 3] * 40)]
+    df = spark.createDataFrame(data, "x int, i int").repartition(5)
+    got = grouping.ranked(df, [F.col("x").desc_nulls_last()], "place").collect()
+    assert sorted(r.place for r in got) == list(range(1, len(data) + 1))
+    in_order = [r.x for r in sorted(got, key=lambda r: r.place)]
+    assert in_order == sorted((x for x, _ in data), key=lambda x: (x is None, -(x or 0)))
+    assert grouping.ranked(df.limit(0), [F.col("x")], "place").count() == 0
+
+
+def test_exclusion_by_filter_equals_the_anti_join(spark):
+    rnd = random.Random(11)
+    seen = spark.createDataFrame([(rnd.choice("ab"), f"u{rnd.randrange(4000)}") for _ in range(3000)] + [("a", None)], "kind string, url string")
+    rows_ = [(rnd.choice("abc"), f"u{rnd.randrange(8000)}", i) for i in range(4000)] + [("a", None, 9999), (None, "u1", 10000)] + [("a", "u7", -1)] * 300
+    df = spark.createDataFrame(rows_, "kind string, url string, n int")
+    want = rows(frontier.exclude(df, seen, ["kind", "url"]))
+    # A filter far too small for its keys tells less, not otherwise.
+    for blocks in (64, 1):
+        assert rows(frontier.exclude_seen(df, seen, ["kind", "url"], blocks=blocks)) == want
+    assert rows(frontier.exclude_seen(df, seen.limit(0), ["kind", "url"])) == rows(df)
+    told = frontier.seen_filter(seen, ["kind", "url"], 64)
+    assert told.count() <= 64 and {len(r["_bits"]) for r in told.collect()} == {4096}
+
+
+def test_prefixes_in_one_sweep(spark):
+    rnd = random.Random(12)
+    texts = sorted({"".join(rnd.choices("ab/ü", k=rnd.randrange(0, 9))) for _ in range(700)})
+    probes = sorted({t[: rnd.randrange(len(t) + 1)] for t in texts for _ in range(2)})
+    hot = [f"https://x/{i}" for i in range(3000)]
+    texts += hot
+    probes += ["https://x/", "https://x/2", "https://x/29", "https://x/299", "https://y"]
+    left = spark.createDataFrame([(p,) for p in probes * 2] + [(None,)], "p string")
+    right = spark.createDataFrame([(t,) for t in texts] + [(None,), (texts[0],)], "t string").repartition(7)
+    want = sorted((t, p) for t in texts for p in probes if t.startswith(p))
+    got = sorted(tuple(r) for r in joins.prefix_pairs(left, right).collect())
+    assert got == want
+    assert joins.prefix_pairs(left.limit(0), right).count() == 0 and joins.prefix_pairs(left, right.limit(0)).count() == 0
 
 def reference_tracker(events, base):
     """The rule, one event at a time."""
@@ -197,31 +237,36 @@ def episodes_of(spark, per_show):
     return data, spark.createDataFrame(data, layout)
 
 
-def test_nesting_divides_large_shows(spark):
+def test_nesting_divides_shows(spark):
     data, eps = episodes_of(spark, {"hot": 500, "a": 12, "b": 3})
     shows = spark.createDataFrame([("https://x/hot",), ("https://x/a/",), ("https://x/b",), ("https://x/none",)], "url string")
-    docs = nesting.nest_seasons(shows, eps, max_episodes=60).collect()
+    docs = nesting.nest_seasons(shows, eps, blocks=8).collect()
     hot = [d for d in docs if d.url == "https://x/hot"]
-    assert len(hot) == hot[0].parts == 9 and sorted(d.part for d in hot) == list(range(9))
-    found = [e.url for d in hot for s in d.seasons for e in s.episodes]
-    assert sorted(found) == sorted(r[0] for r in data if r[1] == "https://x/hot/")
-    for d in hot:
-        for s in d.seasons:
-            assert s.episode_count == sum(1 for r in data if r[1] == "https://x/hot/" and (r[2] or 0) == s.season_number)
-            assert [e.episode_number for e in s.episodes] == sorted(e.episode_number for e in s.episodes)
-        assert len(d.full_episodes) == sum(len(s.episodes) for s in d.seasons)
-    small = {d.url: d for d in docs if d.parts == 1}
-    assert [s.title for s in small["https://x/a/"].seasons] == ["Season 0", "Season 1", "Season 2"]
-    assert small["https://x/none"].seasons == [] and len(docs) == 12
-    flat = nesting.flatten_seasons(nesting.nest_seasons(shows, eps, max_episodes=60).withColumnRenamed("url", "show"), ["show"])
+    assert sorted(d.block for d in hot) == list(range(8)) and [d.block for d in hot if d.lead] == [0]
+    assert max(len(d.full_episodes) for d in hot) < 100
+    for url in ("https://x/hot", "https://x/a/", "https://x/b"):
+        own = [d for d in docs if d.url == url]
+        key = url.rstrip("/") + "/"
+        found = [e.url for d in own for s in d.seasons for e in s.episodes]
+        assert sorted(found) == sorted(r[0] for r in data if r[1] == key) and sum(d.lead for d in own) == 1
+        for d in own:
+            for s in d.seasons:
+                assert s.episode_count == sum(1 for r in data if r[1] == key and (r[2] or 0) == s.season_number)
+                assert [e.episode_number for e in s.episodes] == sorted(e.episode_number for e in s.episodes)
+            assert len(d.full_episodes) == sum(len(s.episodes) for s in d.seasons)
+    one = {d.url: d for d in nesting.nest_seasons(shows, eps, blocks=1).collect()}
+    assert len(one) == 4 and all(d.lead and d.block == 0 for d in one.values())
+    assert [(s.title, s.episode_count) for s in one["https://x/a/"].seasons] == [("Season 0", 5), ("Season 1", 3), ("Season 2", 4)]
+    assert one["https://x/none"].seasons == []
+    flat = nesting.flatten_seasons(nesting.nest_seasons(shows, eps, blocks=8).withColumnRenamed("url", "show"), ["show"])
     assert sorted(r.url for r in flat.collect() if r.url) == sorted(r[0] for r in data)
 
 
 def test_frontend_maps(spark):
     movies = spark.createDataFrame([("A", 1), ("A", 2), ("", 3), (None, 4), ("B", 5)], "title_en string, pos int")
-    maps = nesting.title_map(nesting.keyed_by_title(movies.withColumn("n", F.col("pos")), "pos"), max_entries=1)
-    found = {k: v.n for r in maps.collect() for k, v in r.entries.items()}
-    assert found == {"A": 2, "B": 5}
+    maps = nesting.title_map(nesting.keyed_by_title(movies.withColumn("n", F.col("pos")), "pos")).collect()
+    assert all(len(r.entries) == 1 for r in maps)
+    assert {k: v.n for r in maps for k, v in r.entries.items()} == {"A": 2, "B": 5}
 
 
 def test_list_coercion_and_encoding(evaluate):

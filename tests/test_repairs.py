@@ -24,9 +24,9 @@ def test_first_marker_of_a_new_feed(spark):
 
 
 def test_one_winner_for_a_title(spark):
-    rows = spark.createDataFrame([("T", "u1", 0, 1), ("T", "u2", 0, 1), ("T", "u2", 0, 2), ("", "u3", 0, 1)], "title_en string, url string, pos int, part int")
-    got = nesting.keyed_by_title(rows, "pos", parts=True).collect()
-    assert sorted((r.key, r.value.url, r.value.part) for r in got) == [("T", "u2", 1), ("T", "u2", 2)]
+    rows = spark.createDataFrame([("T", "u1", 0, 1), ("T", "u2", 0, 1), ("T", "u2", 0, 2), ("", "u3", 0, 1)], "title_en string, url string, pos int, block int")
+    got = nesting.keyed_by_title(rows, "pos", blocks=True).collect()
+    assert sorted((r.key, r.value.url, r.value.block) for r in got) == [("T", "u2", 1), ("T", "u2", 2)]
 
 
 def _streamed(spark, tmp_path, batches, schema, make, mode):
