@@ -45,8 +45,9 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC. Spark has no built-in for it, so this is the one scalar Python function."""
-    return _nfkc(c)
+    """Unicode NFKC. Spark has no built-in for it, so this is the one scalar Python function. Only
+    texts that are not plain ASCII, on which it does nothing, are handed to it."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def normalize_digits(c: Column) -> Column:

@@ -37,7 +37,10 @@ class _Custom:
 
     def number(self, name: str, kind: str, default) -> Column:
         """Null when the field is absent, the default when it is no number."""
-        return F.when(self.has(name), F.coalesce(self.text(name).try_cast(kind), F.lit(default).cast(kind)))
+        text = self.text(name)
+        # JSON may spell a whole number with a fraction: 12.0 is 12.
+        whole = text.try_cast(kind) if kind == "double" else F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
+        return F.when(self.has(name), F.coalesce(whole, F.lit(default).cast(kind)))
 
     def entries(self, name: str, kind: str) -> Column:
         return F.when(self.has(name), F.from_json(self.text(name), f"array<{kind}>"))

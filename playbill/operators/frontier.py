@@ -120,7 +120,7 @@ def start_urls(
         parsed = parsed.join(F.broadcast(has), "category").filter(F.col("is_modified") == F.col("_has")).drop("_has")
     else:
         parsed = parsed.filter(~F.col("is_modified"))
-    clean = computed(parsed.select("category", "url", "pos"), {"url": urls.normalize_url(F.col("url"))})
+    clean = computed(parsed.select("category", "url", "pos"), {"url": urls.normalize_url(F.col("url"), nfkc=True)})
     valid = clean.filter(urls.is_content_url(F.col("url"), F.col("category")))
     rows = distinct_in_order(valid, ["category", "url"])
     rows = exclude(rows, processed.withColumnRenamed("content_type", "category"), ["category", "url"])

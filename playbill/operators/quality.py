@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from playbill.functions.media import quick_quality
 from playbill.functions.numbers import coerce_double, coerce_int
 from playbill.schemas import VIDEO_FILE
+from playbill.session import computed
 
 # Fields every record of a type must have.
 REQUIRED_FIELDS = {
@@ -103,6 +104,9 @@ def coerce_records(df: DataFrame) -> DataFrame:
     if "video_files" in types:
         c = F.col("video_files")
         new["video_files"] = normalize_videos(parse_videos(c) if types["video_files"] == "string" else c)
+        # Whoever takes the list apart filters by its size: that must not make it again.
+        rows = computed(df.withColumns({n: x for n, x in new.items() if n != "video_files"}), {"video_files": new["video_files"]})
+        return rows.select(*df.columns)
     return df.withColumns(new)
 
 

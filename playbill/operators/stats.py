@@ -19,22 +19,15 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def category_stats(parsed: DataFrame, samples: int = 3) -> DataFrame:
     """Total and modified URLs per category, the first URLs as samples, and a row of totals."""
-    counts = parsed.groupBy("category").agg(
-        F.count("*").alias("total"), F.count_if(F.col("is_modified")).alias("modified")
+    counts = parsed.rollup("category").agg(
+        F.count("*").alias("total"), F.count_if(F.col("is_modified")).alias("modified"), F.grouping("category").alias("_all")
     )
     first = cap_per_category(parsed.select("category", "url", "pos"), samples, order=("pos", "url"))
     first = first.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("pos", "url"))).alias("s"))
-    rows = counts.join(first, "category", "left").select(
-        "category", "total", "modified", F.transform("s", lambda x: x["url"]).alias("sample_urls")
-    )
-    totals = counts.agg(F.sum("total").alias("total"), F.sum("modified").alias("modified"))
-    totals = totals.select(
-        F.lit("all").alias("category"),
-        F.coalesce("total", F.lit(0)).alias("total"),
-        F.coalesce("modified", F.lit(0)).alias("modified"),
-        F.expr("cast(array() as array<string>)").alias("sample_urls"),
-    )
-    return rows.unionByName(totals)
+    none = F.expr("cast(array() as array<string>)")
+    samples_of = F.when(F.col("_all") == 0, F.transform("s", lambda x: x["url"])).otherwise(none)
+    name = F.when(F.col("_all") == 1, "all").otherwise(F.col("category"))
+    return counts.join(first, "category", "left").select(name.alias("category"), "total", "modified", samples_of.alias("sample_urls"))
 
 
 def progress_stats(processed: DataFrame, pending: DataFrame) -> DataFrame:

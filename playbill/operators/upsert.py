@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions import urls
 from playbill.operators.grouping import keep_last
+from playbill.operators.joins import prefix_pairs
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, scraped_at: Column, pos: str = "pos") -> DataFrame:
@@ -44,11 +45,18 @@ def upsert(existing: DataFrame, incoming: DataFrame, scraped_at: Column, pos: st
     return both.select(*cols)
 
 
-def episode_counts(shows: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Shows with ``episode_count`` taken from the episode table."""
+def episode_counts(shows: DataFrame, episodes: DataFrame, by_prefix: bool = False) -> DataFrame:
+    """Shows with ``episode_count`` taken from the episode table. With ``by_prefix`` a show that no episode names counts those
+    whose show URL starts with its own."""
     n = episodes.groupBy(urls.strip_slash(F.col("show_url")).alias("_show")).agg(
         F.count("*").cast("int").alias("_n")
     )
+    if by_prefix:
+        loose = shows.select(urls.strip_slash(F.col("url")).alias("_key")).filter("_key <> ''")
+        loose = loose.join(n, F.col("_key") == F.col("_show"), "left_anti")
+        pairs = prefix_pairs(loose, n.select("_show"))
+        started = pairs.join(n, F.col("_full") == F.col("_show")).groupBy("_probe").agg(F.sum("_n").cast("int").alias("_n"))
+        n = n.unionAll(started.select(F.col("_probe").alias("_show"), "_n"))
     rows = shows.withColumn("_key", urls.strip_slash(F.col("url"))).drop("episode_count")
     rows = rows.join(n, F.col("_key") == F.col("_show"), "left")
     return rows.withColumn("episode_count", F.coalesce(F.col("_n"), F.lit(0))).drop("_n", "_key", "_show")

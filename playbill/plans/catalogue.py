@@ -466,7 +466,9 @@ def spider_frontier(spark, sf):
     done = item.select(F.lit("episodes").alias("content_type"), text(f"{SITE}/episodes/", key).alias("url"))
     listed = table(spark, sf, "part").filter("p_size = 1").select(text(f"{SITE}/movies/film-", F.col("p_partkey")).alias("url"))
     parsed = parsed_urls(spark, sf, source).withColumn("category", F.when(F.col("category") == "shows", "series").otherwise(F.col("category")))
-    return frontier.start_urls(parsed, done, listed, cap=5000)
+    # Some films are spelled with a ligature; what is known of them is not.
+    ligature = F.when((F.col("category") == "movies") & (F.col("pos") % 2 == 0), F.replace("url", F.lit("film-"), F.lit("\ufb01lm-"))).otherwise(F.col("url"))
+    return frontier.start_urls(parsed.withColumn("url", ligature), done, listed, cap=5000)
 
 
 @query(f"""SELECT '{SITE}/tvshows/' || o_orderkey AS url, o_orderstatus AS content_type FROM orders

@@ -10,7 +10,7 @@ from playbill.plans.catalogue import ts
 from playbill.plans.documents import movie_posts
 from playbill.plans.landing import _SITEMAP_SQL, _sitemap_documents
 from playbill.plans.registry import query
-from playbill.plans.roles import PAGES_SQL, SITE, norm_sql, pages, path_sql, persian, source, tail_sql, text
+from playbill.plans.roles import EPISODES_SQL, PAGES_SQL, SHOWS_SQL, SITE, episodes, norm_sql, pages, path_sql, persian, shows, source, tail_sql, text
 from playbill.schemas import conform, schema_of
 from playbill.session import table
 from playbill.sources import landed, xml
@@ -130,3 +130,14 @@ def feed_round(spark, sf):
     return records.select(F.lit("record").alias("what"), F.col("api_id").alias("id"), F.col("url").alias("name")).unionByName(
         after.select(F.lit("marker").alias("what"), F.substr("last_guid", F.lit(2)).cast("bigint").alias("id"), F.col("feed").alias("name"))
     )
+
+
+@query(f"""WITH {SHOWS_SQL}, {EPISODES_SQL}, s AS (SELECT * FROM shows WHERE lastmod < '2000-01-01'), e AS (SELECT rtrim(show_url, '/') AS k, count(*)::INT AS n FROM episodes GROUP BY 1)
+SELECT coalesce(rtrim(s.url, '/'), k) AS url, title_en, coalesce(n, 0) AS episode_count, CASE WHEN s.url IS NOT NULL THEN 1 END AS is_new FROM s FULL JOIN e ON rtrim(s.url, '/') = k""")
+def series_build(spark, sf):
+    # Early shows are delivered, of the others only the episodes: each gets a stub.
+    layout = {kind: spark.createDataFrame([], schema_of(kind)) for kind in ("shows", "episodes")}
+    delivered = shows(spark, sf).filter("lastmod < '2000-01-01'").select("url", "title_en", "lastmod", "source")
+    children = episodes(spark, sf).select("url", "show_url", "season_number", "episode_number", "lastmod")
+    built, _ = flows.build_series(delivered, children, layout["shows"], layout["episodes"], F.lit("2024-01-01"))
+    return built.select("url", "title_en", "episode_count", "is_new")

@@ -62,7 +62,9 @@ def _escaped(c):
 
 def _sitemap_documents(spark, sf):
     """One urlset per page: the page, a dated copy, and an entry without a location."""
-    url = _escaped(F.col("url"))
+    # Pages of one type spell a letter of their path in full width.
+    wide = F.concat(urls.url_origin(F.col("url")), F.translate(urls.url_path(F.col("url")), "oe", "ｏｅ"), urls.url_tail(F.col("url")))
+    url = _escaped(F.when(F.col("lang") == "en", wide).otherwise(F.col("url")))
     date = F.when(F.col("lang") == "fr", "someday").otherwise(text(F.lit(1990) + F.least("page_id", F.lit(30)), "-05-01T00:00:00+00:00"))
     document = text('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> ', url, "</loc></url><url><loc>",
                     url, "</loc><lastmod>", date, "</lastmod></url><url><lastmod>2020-01-01</lastmod></url></urlset>")

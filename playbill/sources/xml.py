@@ -46,7 +46,7 @@ def content_sitemaps(index: DataFrame) -> DataFrame:
     return index.filter(F.col("type").isin("movies", "shows", "episodes", "general"))
 
 
-def sitemap_entries(rows: DataFrame, since: Column | None = None, nfkc: bool = False) -> DataFrame:
+def sitemap_entries(rows: DataFrame, since: Column | None = None, nfkc: bool = True) -> DataFrame:
     """URL entries with normalised URL, post id, category and modified flag. A missing or bad
     lastmod counts as not modified and, where a date is asked for, as a parse error."""
     rows = rows.filter(F.coalesce(F.trim("loc"), F.lit("")) != "")
