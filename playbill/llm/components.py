@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.store import written
+from playbill.llm.store import discard, scratch, written
 
 
 #: Buckets whose hubs are sent to every executor at most (a few longs each), and hubs of a bucket.
@@ -38,16 +38,16 @@ def components(edges: DataFrame) -> DataFrame:
     graph. Minima are combined before each shuffle and joins can be split, so a node with very many
     links is no single task's work. Each round's edges are a written table, which ends its lineage.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    mark = None
+    spark, mark = edges.sparkSession, None
+    now, path = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark or not state[0]:
             break
         mark = state
-        now = written(_stars(_stars(now, True), False).distinct(), "edges")
+        before = path
+        now, path = scratch(_stars(_stars(now, True), False).distinct(), "edges")
+        discard(spark, before)
     ids = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ids.unionAll(now.select("b", "b").distinct())
 
@@ -67,42 +67,45 @@ def close(x: str, y: str, longs: int, threshold: float) -> str:
 
 def link(
     members: DataFrame,
+    signs: DataFrame,
     texts: Callable[[DataFrame], DataFrame],
     similar: Callable[[DataFrame], DataFrame],
     can: Callable[[str, str], str],
 ) -> DataFrame:
     """``id`` and ``component`` of the texts that share a bucket and are similar to another one.
 
-    ``members`` has ``bucket``, ``id`` and ``sign`` (a row for each bucket of an id). ``texts`` gives ``id``
-    and ``text`` of a table of ids; ``similar`` keeps, of pairs ``a``, ``b`` with the texts ``text_a`` and
+    ``members`` has ``bucket`` and ``id`` (a row for each bucket of an id) and is read several times, so make it of a written table; ``signs`` has
+    ``id`` and ``sign``. ``texts`` gives ``id`` and ``text`` of a table of ids; ``similar`` keeps, of pairs ``a``, ``b`` with the texts ``text_a`` and
     ``text_b``, the true links; ``can(x, y)`` is a SQL condition on two signs that true links meet.
 
     First each member is compared with a few hubs of its bucket: the smallest id, and the first ids in other orders.
     Where a bucket then holds several components, ids outside its largest one are compared with more hubs of that, in
     rounds. What still lies in different components of a bucket after that is compared pair by pair, a pair in one bucket only.
-    So a group of copies takes a few comparisons a member, and no link that could join two components is left out.
+    So a group of copies takes a few comparisons a member, and no link that could join two components is left out. Rows of buckets carry
+    ids alone; signs and texts are fetched for pairs.
     """
     orders = [F.col("id"), *[F.xxhash64(F.lit(j), "id") for j in range(1, HUBS)]]
     picked = [F.min_by("id", order).alias(f"hub_{j}") for j, order in enumerate(orders)]
     hubs = members.groupBy("bucket").agg(*picked, F.count("*").alias("n")).where("n > 1").drop("n")
     hubs = written(hubs, "hubs")
     # Small enough to send to every executor up to the bound, and joined by a shuffle beyond it.
-    near = F.broadcast(hubs) if hubs.count() <= BROADCAST else hubs
-    shared = written(members.join(near, "bucket"), "buckets")
-    signs = written(shared.groupBy("id").agg(F.first("sign").alias("sign")), "signs")
-    found = written(texts(signs.select("id")), "texts")
+    few = hubs.count() <= BROADCAST
+    shared = members.join(F.broadcast(hubs) if few else hubs, "bucket")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        met = written(pairs, "pairs")
+        found = texts(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        with_a = met.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return written(similar(with_a.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")), "links")
 
     def compared(hub_of: DataFrame) -> DataFrame:
         """Links among ``id`` and ``hub``."""
-        star = hub_of.where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        signed = star.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sign_a")), "a").join(
-            signs.select(F.col("id").alias("b"), F.col("sign").alias("sign_b")), "b"
-        )
-        return verified(signed.where(can("sign_a", "sign_b")).select("a", "b"))
+        star = hub_of.where("id <> hub").distinct()
+        own = signs.join(hub_of.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("hub"), F.col("sign").alias("sign_b"))
+        own = written(own, "hub-signs")
+        near = F.broadcast(own) if own.count() <= BROADCAST // 8 else own
+        signed = star.join(signs.select("id", F.col("sign").alias("sign_a")), "id").join(near, "hub").where(can("sign_a", "sign_b"))
+        return verified(signed.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
 
     hub = F.explode(F.array_distinct(F.array(*[f"hub_{j}" for j in range(HUBS)]))).alias("hub")
     tree = components(compared(shared.select("id", hub)))
@@ -128,7 +131,7 @@ def link(
     if held.isEmpty():
         return tree
     every = held.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    one = held.select("bucket", "id", "component", "main").join(signs, "id").join(every, "id")
+    one = held.select("bucket", "id", "component", "main").join(signs.select("id", "sign"), "id").join(every, "id")
     one = written(one, "rest")
     two = one.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("id", "sign", "component", "buckets")])
     once = "(component_2 = main or id < id_2) and array_min(array_intersect(buckets, buckets_2)) = bucket"

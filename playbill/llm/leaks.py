@@ -95,8 +95,9 @@ def basis(documents: DataFrame) -> np.ndarray:
     counted = rows.mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     seen = dict(zip(counted.column("bucket").to_pylist(), counted.column("n").to_pylist(), strict=True))
     passages = seen.pop(-1, 0)
-    idf = np.full(1 << BITS, np.log(1.0 + passages))
-    idf[list(seen)] = np.log((1.0 + passages) / (1.0 + np.array(list(seen.values()))))
+    # Above zero for every bucket, also for one in all passages: no item's vector vanishes.
+    idf = np.full(1 << BITS, np.log(2.0 + passages))
+    idf[list(seen)] = np.log(1.0 + (1.0 + passages) / (1.0 + np.array(list(seen.values()))))
     parts = rows.mapInArrow(_sketch(idf), "bucket long, " + ", ".join(f"y{c} double" for c in range(SKETCHED)))
     summed = parts.groupBy("bucket").agg(*[F.sum(f"y{c}").alias(f"y{c}") for c in range(SKETCHED)]).toArrow()
     y = np.zeros((1 << BITS, SKETCHED))
@@ -113,14 +114,15 @@ def basis(documents: DataFrame) -> np.ndarray:
     return (idf[:, None] * u[:, kept][:, :KEPT] / s[kept][:KEPT]).astype(np.float32)
 
 
-def _short(benchmark: pa.Table) -> dict[int, dict[int, list[tuple[int, np.ndarray]]]]:
-    """Items too short for windows: their id and words, by their number of words and the hash of them all."""
+def _exact(benchmark: pa.Table, blank: set[int]) -> dict[int, dict[int, list[tuple[int, np.ndarray]]]]:
+    """Items too short for windows, and those at the places ``blank``, which have no latent vector: their id and words, by their number
+    of words and the hash of them all."""
     found: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = defaultdict(lambda: defaultdict(list))
     ids = benchmark.column("item_id").to_pylist()
     for w in words(pc.utf8_lower(benchmark.column("text").combine_chunks())):
         for i in range(w.n):
             own = w.hashes[w.at[i] : w.at[i + 1]]
-            if 0 < len(own) < LEAST and ids[w.first + i] is not None:
+            if (0 < len(own) < LEAST or w.first + i in blank) and ids[w.first + i] is not None:
                 found[len(own)][int(Runs(own).of(len(own))[0])].append((ids[w.first + i], own))
     return {n: dict(of) for n, of in found.items()}
 
@@ -142,9 +144,10 @@ def _lengths(n: int) -> int:
     return length
 
 
-def _prepared(benchmark: pa.Table, weights: np.ndarray) -> dict[int, list[_Item]]:
-    """Items by the length of window that finds them."""
+def _prepared(benchmark: pa.Table, weights: np.ndarray) -> tuple[dict[int, list[_Item]], set[int]]:
+    """Items by the length of window that finds them, and the places of those without a latent vector."""
     found: dict[int, list[_Item]] = defaultdict(list)
+    blank: set[int] = set()
     texts = benchmark.column("text").combine_chunks()
     ids = benchmark.column("item_id").to_pylist()
     for w in words(pc.utf8_lower(texts)):
@@ -157,7 +160,9 @@ def _prepared(benchmark: pa.Table, weights: np.ndarray) -> dict[int, list[_Item]
             latent = weights[(own[offset : offset + length] >> _SHIFT).astype(np.int64)].sum(axis=0)
             if (norm := np.linalg.norm(latent)) > 0:
                 found[length].append(_Item(ids[w.first + i], own.tolist(), set(own.tolist()), latent / norm, offset))
-    return dict(found)
+            else:
+                blank.add(w.first + i)
+    return dict(found), blank
 
 
 def common(item: list[int], region: list[int]) -> int:
@@ -253,7 +258,7 @@ def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.3, whole:
     last ``answer`` words too, all of them: a paraphrase that keeps the answer. Words are
     lower-cased runs without white space.
 
-    Items under eight words are found by their exact words in sequence.
+    Items under eight words, and any whose latent vector is zero, are found by their exact words in sequence.
 
     Defined results: null and empty texts, and items without words or with a null id, match nothing; equal documents
     and equal items each have their own rows; a document without leaks has no row. The items come
@@ -267,12 +272,14 @@ def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.3, whole:
     out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        found = named.mapInArrow(_found(_prepared(own, weights), _short(own), weights, cosine, whole, part, answer), kind)
+        prepared, blank = _prepared(own, weights)
+        found = named.mapInArrow(_found(prepared, _exact(own, blank), weights, cosine, whole, part, answer), kind)
         out = found if out is None else out.unionAll(found)
     return out
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, **settings: float) -> DataFrame:
     """``documents`` without those that hold a benchmark item; all their columns stay."""
-    held = find(documents, benchmark, **settings).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
-    return documents.join(held, (F.col("doc_id").eqNullSafe(F.col("__d"))) & (F.xxhash64(F.col("text")) == F.col("__k")), "left_anti")
+    held = find(documents, benchmark, **settings).select("doc_id", "text_key").distinct().alias("held")
+    same = F.col("whole.doc_id").eqNullSafe(F.col("held.doc_id")) & (F.xxhash64(F.col("whole.text")) == F.col("held.text_key"))
+    return documents.alias("whole").join(held, same, "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from playbill.llm.arrays import Runs, Words, long, mix, words
 from playbill.llm.components import close, link
-from playbill.llm.store import written
+from playbill.llm.store import free, written
 
 #: Longs of a text's bitmap of shingles.
 LONGS = 16
@@ -164,10 +164,11 @@ def groups(documents: DataFrame, k: int = 5, threshold: float = 0.8, bands: int
         same = named.join(wanted, F.expr("text_key = t and check = c and doc_id <=> d"))
         return same.dropDuplicates(["id"]).select("id", "text")
 
-    members = texts.where("size > 0").select("id", "sign", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    some = texts.where("size > 0")
     linked = link(
-        members,
-        fetch,
+        some.select("id", F.explode(F.array_distinct("buckets")).alias("bucket")),
+        some.select("id", "sign"),
+        lambda ids: written(fetch(ids), "texts"),
         lambda pairs: pairs.mapInArrow(_similar(k, threshold), "a long, b long"),
         lambda x, y: f"least({x}[0], {y}[0]) >= {threshold - 1e-9} * greatest({x}[0], {y}[0]) and {close(x, y, LONGS, threshold)}",
     )
@@ -185,7 +186,8 @@ def groups(documents: DataFrame, k: int = 5, threshold: float = 0.8, bands: int
 def drop_near_copies(documents: DataFrame, **settings: float) -> DataFrame:
     """``documents`` with one row of each near-duplicate group, the first by ``doc_id``. Rows that repeat both id
     and text leave one of them, whichever Spark meets first; null or blank texts stay, one row for each id."""
-    keys = {"__t": F.xxhash64(F.coalesce("text", F.lit(""))), "__c": F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))}
-    kept = groups(documents, **settings).where("kept").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t2"), F.col("check").alias("__c2")).distinct()
-    same = F.expr("__t = __t2 and __c = __c2 and doc_id <=> __d")
-    return documents.withColumns(keys).join(kept, same, "left_semi").dropDuplicates(["__t", "__c", "doc_id"]).drop("__t", "__c")
+    names = free(documents, "text_key", "check")
+    keyed = documents.withColumns({names[0]: F.xxhash64(F.coalesce("text", F.lit(""))), names[1]: F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))}).alias("whole")
+    kept = groups(documents, **settings).where("kept").select("doc_id", "text_key", "check").distinct().alias("kept")
+    same = F.expr(f"whole.{names[0]} = kept.text_key and whole.{names[1]} = kept.check and whole.doc_id <=> kept.doc_id")
+    return keyed.join(kept, same, "left_semi").dropDuplicates([*names, "doc_id"]).drop(*names)

@@ -10,6 +10,8 @@ from playbill.session import computed
 #: Kinds whose spans always stay, in the order of output, and the kinds that need a score of ``ENOUGH``.
 BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "short_card", "local_phone")
 ENOUGH = 0.5
+#: Matches that are placed by one array.
+RUN = 128
 
 # What each kind looks like. Possessive quantifiers and the conditions on the place before a match change no match;
 # they keep the time in proportion to the text, and the stack flat, however long a run of its letters is.
@@ -68,19 +70,43 @@ def mod97(iban: Column) -> Column:
 
 
 def _placed(matches: Column, gaps: Column) -> Column:
-    """Start and end (code points) of matches, from the lengths of the texts between them and their own."""
-    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    """Start and end (code points) of matches, from the lengths of the texts between them and their own.
+
+    Appending to an array copies it, so matches are placed in runs of ``RUN``: the runs' lengths are added up first, and
+    each run is placed from where it begins. That takes time in proportion to the matches."""
+    span = "array<struct<start:int,end:int,text:string>>"
+    runs = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int"))
+
+    def cut(x: Column, i: Column) -> Column:
+        return F.slice(x, i * RUN + 1, F.lit(RUN))
+
+    def length(i: Column) -> Column:
+        return F.aggregate(F.transform(cut(gaps, i), lambda g: F.length(g)), F.lit(0), lambda a, n: a + n) + F.aggregate(
+            F.transform(cut(matches, i), lambda m: F.length(m)), F.lit(0), lambda a, n: a + n
+        )
+
+    def begun(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    begins = F.aggregate(F.transform(runs, length), none, begun, lambda acc: acc["out"])
+
+    def run(i: Column, begin: Column) -> Column:
+        own, between = cut(matches, i), cut(gaps, i)
+        start = F.struct(begin.alias("at"), F.array().cast(span).alias("out"))
+
+        def add(acc: Column, pair: Column) -> Column:
+            first = acc["at"] + F.length(pair["g"])
+            last = first + F.length(pair["m"])
+            placed = F.struct(first.alias("start"), last.alias("end"), pair["m"].alias("text"))
+            return F.struct(last.alias("at"), F.array_append(acc["out"], placed).alias("out"))
 
-    def add(acc: Column, i: Column) -> Column:
-        match = F.get(matches, i)
-        first = acc["at"] + F.length(F.get(gaps, i))
-        last = first + F.length(match)
-        span = F.struct(first.alias("start"), last.alias("end"), match.alias("text"))
-        return F.struct(last.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        # The gap after the last match of all has none beside it.
+        pairs = F.filter(F.zip_with(between, own, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda p: p["m"].isNotNull())
+        return F.aggregate(pairs, start, add, lambda acc: acc["out"])
 
-    some = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, some).otherwise(start["out"])
+    some = F.flatten(F.zip_with(runs, begins, run)).cast(span)
+    return F.when(F.size(matches) > 0, some).otherwise(F.array().cast(span))
 
 
 def _holds(kind: str, x: Column) -> Column:

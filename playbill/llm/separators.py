@@ -94,7 +94,9 @@ def scan(paths: DataFrame, end: int, kind: str = "<u2", block: int = BLOCK) -> D
     step = max(wide, block // wide * wide)
     sized = paths.select("path").distinct().mapInArrow(_sized, "path string, bytes long").where(f"bytes >= {wide}")
     blocks = sized.select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - {wide}, {step}L)")).alias("at"))
-    cut = blocks.select("path", "at", F.least(F.lit(step), F.col("bytes") - F.col("at")).alias("size")).repartition("path", "at")
+    # With a number of partitions, which rows as small as these would otherwise be merged into one.
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = blocks.select("path", "at", F.least(F.lit(step), F.col("bytes") - F.col("at")).alias("size")).repartition(parts, "path", "at")
     found = written(
         cut.mapInArrow(_searched(end, kind), "path string, at long, n long, found long, first long, last long, inner array<long>"), "blocks"
     )

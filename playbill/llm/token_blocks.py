@@ -205,13 +205,15 @@ def _write(folder: str, path: str, end: int) -> Callable:
 
 def write(documents: DataFrame, path: str, end: int) -> DataFrame:
     """Encode ``text`` with the vocabulary file at ``path``, add the id ``end`` to each document and write all, in
-    ascending order of ``doc_id`` (nulls first, then by text), to files in the shared folder; gives a row for each file:
+    ascending order of ``doc_id`` (nulls first, then by a hash of the text), to files in the shared folder; gives a row for each file:
     ``part`` (its place in that order), ``path``, ``n_docs``, ``n_tokens``.
 
     Null and empty texts have the id ``end`` alone; rows may repeat; an empty table has no files. A
     file is one range of ids, written frame by frame."""
     folder = fresh_path(documents.sparkSession, "tokens")
-    ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Rows with one id, or none, can be cut into several ranges by a hash of their text.
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("doc_id", "text")
     return written(ordered.mapInArrow(_write(folder, path, end), "part int, path string, n_docs long, n_tokens long"), "files")
 
 
@@ -234,4 +236,6 @@ def read(written_files: DataFrame) -> DataFrame:
     ``n_tokens`` (end id included) and ``ids`` (little-endian unsigned 32-bit integers)."""
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     placed = written_files.select("path", F.coalesce(before, F.lit(0)).alias("start"))
-    return placed.repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    # With a number of partitions, which rows as small as these would otherwise be merged into one.
+    parts = int(written_files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
