@@ -110,8 +110,13 @@ def build_series(
     """The next versions of the show and episode tables from a batch of either (``catalogue_batch``): both upserted, a stub
     for every show that only its episodes name, and each show's ``episode_count`` from the episode table."""
     spelled = {"show_url": urls.strip_slash(F.col("show_url"))}
-    children = upsert.upsert(stored_episodes, episodes.withColumns(spelled | {"pos": F.lit(0)}), scraped_at)
-    parents = upsert.upsert(stored_shows, shows.withColumn("pos", F.lit(0)), scraped_at)
+
+    def batch(df: DataFrame) -> DataFrame:
+        times = {} if "lastmod" in df.columns else {"lastmod": F.lit(None).cast("string")}
+        return df.withColumns(times | {"pos": F.lit(0)})
+
+    children = upsert.upsert(stored_episodes, batch(episodes.withColumns(spelled)), scraped_at)
+    parents = upsert.upsert(stored_shows, batch(shows), scraped_at)
     named = children.withColumns(spelled)
     parents = joins.add_missing_parents(named, parents, "show_url")
     return upsert.episode_counts(parents, named).select(*stored_shows.columns), children

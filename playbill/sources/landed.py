@@ -78,14 +78,23 @@ def decode_page(content: Column) -> Column:
     )
 
 
-def read_snapshots(spark: SparkSession, path: str, kinds: list[str] | None = None, since: str | None = None) -> DataFrame:
-    """Cached page files ``content_type=<type>/<name>.html`` as ``(content_type, file, html, fetched_at)``.
-
-    ``kinds`` and ``since`` (a timestamp as text) reach the scan: folders of other types are not listed for reading, and of
-    files written before no bytes are read. Empty files hold no page and are left out."""
-    files = spark.read.format("binaryFile").schema(_SNAPSHOT).load(path)
-    if kinds is not None:
-        files = files.filter(F.col("content_type").isin(kinds))
+def read_snapshots(
+    spark: SparkSession, path: str, kinds: list[str] | None = None, since: str | None = None, plain: bool = False
+) -> DataFrame:
+    """Cached page files ``content_type=<type>/<name>.html``, or with ``plain`` ``<type>/<name>.html``, as
+    ``(content_type, file, html, fetched_at)``.
+
+    ``kinds`` and ``since`` (a timestamp as text) reach the scan: files in the folders of other types are not read, and of
+    files written before no bytes are. Empty files hold no page and are left out."""
+    reader = spark.read.format("binaryFile")
+    if plain:
+        named = F.element_at(F.split("path", "/"), -2)
+        folders = path if kinds is None else [f"{path}/{kind}" for kind in kinds]
+        files = reader.option("recursiveFileLookup", "true").load(folders).withColumn("content_type", named)
+    else:
+        files = reader.schema(_SNAPSHOT).load(path)
+        if kinds is not None:
+            files = files.filter(F.col("content_type").isin(kinds))
     if since is not None:
         files = files.filter(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
     return files.select(

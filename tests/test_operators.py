@@ -319,6 +319,47 @@ def test_incomplete_and_empty_custom_fields(spark):
     assert sorted((r.api_id, r.is_modified, r.genres) for r in movies.collect()) == [(2, 1, None), (4, 1, None)]
 
 
+def test_whole_numbers_with_a_fraction(spark):
+    from playbill.sources.landed import parse_posts
+
+    posts = [f'{{"id":{i},"link":"u{i}","title":{{"rendered":"T"}},"acf":{{"season_number":{n},"episode_number":{n}}}}}' for i, n in enumerate(['12.0', '"7"', '"x"', '1e1', 'null', '99999999999'])]
+    df = parse_posts(spark.createDataFrame([(p,) for p in posts], "body string"))
+    assert [r.season_number for r in api.map_posts(df, "episodes").orderBy("api_id").collect()] == [12, 7, 1, 10, 1, 1]
+
+
+def test_episode_counts_by_prefix(spark):
+    shows = spark.createDataFrame([("https://x/a",), ("https://x/ab/",), ("https://x/c",), ("",)], "url string")
+    eps = spark.createDataFrame([("https://x/ab",), ("https://x/ab/",), ("https://x/c-2",), ("https://x/c-2",), ("https://x/ab-3",), (None,)], "show_url string")
+    assert rows(upsert.episode_counts(shows, eps)) == [("", 1), ("https://x/a", 0), ("https://x/ab/", 2), ("https://x/c", 0)]
+    assert rows(upsert.episode_counts(shows, eps, by_prefix=True)) == [("", 1), ("https://x/a", 3), ("https://x/ab/", 2), ("https://x/c", 2)]
+
+
+def test_series_from_a_batch(spark):
+    from playbill.operators import flows
+    from playbill.schemas import schema_of
+
+    none = {k: spark.createDataFrame([], schema_of(k)) for k in ("shows", "episodes")}
+    shows = spark.createDataFrame([("https://x/a", "A", "1")], "url string, title_en string, lastmod string")
+    eps = spark.createDataFrame([("e1", "https://x/a/", 1), ("e2", "https://x/a", 2), ("e3", "https://x/b/", 1)], "url string, show_url string, episode_number int")
+    built, children = flows.build_series(shows, eps, none["shows"], none["episodes"], F.lit("t"))
+    assert rows(built.select("url", "title_en", "episode_count", "is_new")) == [("https://x/a", "A", 2, 1), ("https://x/b", None, 1, None)]
+    assert built.columns == none["shows"].columns and rows(children.select("show_url").distinct()) == [("https://x/a",), ("https://x/b",)]
+    again, _ = flows.build_series(shows.limit(0), eps.limit(0), built, children, F.lit("t2"))
+    assert rows(again.select("url", "episode_count")) == [("https://x/a", 2), ("https://x/b", 1)]
+
+
+def test_lastmod_comes_from_the_sitemap(spark):
+    from playbill.operators import flows
+    from playbill.sources.landed import parse_posts
+
+    posts = parse_posts(spark.createDataFrame([('{"id":1,"link":"https://x/movies/a/","title":{"rendered":"A"},"modified_gmt":"2024-01-01T00:00:00"}',), ('{"id":2,"link":"https://x/movies/b","title":{"rendered":"B"},"modified_gmt":"2024-02-01T00:00:00"}',)], "body string"))
+    pages = spark.createDataFrame([("https://x/movies/c-33", "C", None)], "url string, title_en string, lastmod string")
+    listed = spark.createDataFrame([("https://x/movies/a", "2024-03-01", 1), ("https://x/movies/a", "2024-02-01", 1), ("https://x/movies/c-33/", "2024-04-01", None), ("", "x", 3)], "url string, lastmod string, api_id long")
+    got = flows.catalogue_batch("movies", posts, pages, sitemap=listed)
+    assert rows(got.select("url", "lastmod", "api_id")) == [("https://x/movies/a", "2024-03-01", 1), ("https://x/movies/b", "2024-02-01T00:00:00", 2), ("https://x/movies/c-33", "2024-04-01", 33)]
+    assert rows(flows.catalogue_batch("movies", posts).select("url", "source")) == [("https://x/movies/a", "api"), ("https://x/movies/b", "api")]
+
+
 def test_merge_sources(spark):
     api_side = spark.createDataFrame([("a", None, ["v"], "api"), ("b", "B", [], "api")], "url string, title string, video_files array<string>, source string")
     page = spark.createDataFrame([("a", "A", ["h"], "x", "html"), ("b", "Z", ["h"], "x", "html"), ("c", None, [], None, "html")], "url string, title string, video_files array<string>, poster string, source string")

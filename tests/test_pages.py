@@ -74,6 +74,42 @@ def test_downloads_prefer_the_table(spark):
     assert [tuple(v) for v in b.video_files] == [("720", "", "v.720p.mp4", None)]
 
 
+def test_links_are_composed():
+    from playbill.operators.page_parser import composed_link
+
+    same = ["/a b?x=\ufb01", "/plain%2Fpath", "/caf\u00e9#\uff41", "https://h/%E4%BD%A0", "/%ff%zz"]
+    assert [composed_link(x) for x in same] == same
+    assert composed_link("https://h/\uff46ilm?q=\ufb01") == "https://h/film?q=\ufb01" and composed_link("/%EF%AC%81lm/") == "/film/"
+    assert composed_link("/cafe\u0301") == "/caf%C3%A9"
+
+
+def test_composed_links_on_pages(spark):
+    index = "<a href='/tvshows/\uff41'>a</a><a href='/tvshows/%EF%BD%81/'>a</a><a href=/tvshows/a>a</a>"
+    assert [r.url for r in html.discovered_links(pages(spark, index, url="https://h.example/list/")).collect()] == ["https://h.example/tvshows/a"]
+    show = "<div class=se-c><div class=se-a><ul class=episodios><li><a href='/episodes/\ufb01n-ep3'>x</a></ul></div></div>"
+    tree = html.extract(pages(spark, show), "shows", ["seasons"]).first().seasons
+    assert [(e.url, e.episode_number) for e in tree[0].episodes] == [("https://h.example/episodes/fin-ep3", 3)]
+
+
+def test_rules_are_read_up_to_the_first_hit():
+    rules = {"x": ["b::text", "i::text", "u::text"]}
+    page = "<b> </b><i></i><u>1</u><b>2</b>"
+    assert read_page(page, rules)["x"] == [[" ", "2"], [], ["1"]]
+    assert read_page(page, rules, enough={"x": "first"})["x"] == [[" ", "2"]]
+    assert read_page("<b> </b><u>1</u>", rules, enough={"x": "named"})["x"] == [[" "], [], ["1"]]
+    assert read_page("<i>0</i><u>1</u>", rules, enough={"x": "any"})["x"] == [[], ["0"]]
+
+
+def test_video_files(spark):
+    records = spark.createDataFrame(
+        [("u1", [("7", "HD", "1 GB"), ("8", "unknown", ""), ("9", "480", "")], [("720", "", "d1", None)]), ("u2", [("9", "480", "")], [("720", "", "d2", None)]), ("u3", [], None), ("u4", None, [])],
+        "url string, downloads array<struct<fileid string, quality string, size string>>, video_files array<struct<quality string, size string, url string, mirror_url string>>",
+    )
+    links = spark.createDataFrame([("8", "p8", "m8", "1080"), ("7", "p7", None, "720"), ("7", "p7", "z", "720")], "fileid string, primary_url string, mirror_url string, quality string")
+    got = {r.url: [tuple(v) for v in r.video_files] for r in html.video_files(records, links).collect()}
+    assert got == {"u1": [("HD", "1 GB", "p7", None), ("1080", "", "p8", "m8")], "u2": [("720", "", "d2", None)], "u3": [], "u4": []}
+
+
 def test_episode_without_show_link(spark):
     url = "https://h.example/episodes/show-one-ep4"
     a, b = html.extract(pages(spark, "<h1>x</h1>", "<a href='/series/old-9-x/'>s</a>", url=url), "episodes").collect()
@@ -99,7 +135,8 @@ def test_snapshot_files(spark, tmp_path):
     name = spark.range(1).select(cache_key(F.lit(url), nfkc=True)).first()[0]
     (folder / f"{name}.html").write_bytes("café".encode("latin-1"))
     (folder / "other.html").write_bytes("نام".encode())
-    snaps = landed.read_snapshots(spark, str(tmp_path))
+    snaps = landed.read_snapshots(spark, str(tmp_path), plain=True)
+    assert landed.read_snapshots(spark, str(tmp_path), kinds=["movies"], plain=True).count() == 2
     assert {r.file: (r.content_type, r.html) for r in snaps.collect()} == {f"{name}.html": ("movies", "café"), "other.html": ("movies", "نام")}
     wanted = landed.with_cache_file(spark.createDataFrame([(url,)], "url string"))
     assert wanted.join(snaps, "file").first().html == "café"

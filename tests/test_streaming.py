@@ -61,6 +61,51 @@ def test_expired_errors_release_their_url(spark):
     ]
 
 
+def test_tracker_goes_on_from_its_saved_state(spark, events):
+    """Stopped, some URLs cleared, started from the table with a new checkpoint: as if the cleared errors had never been."""
+    path = in_files(spark, events, [0, 300, 600])
+    first, second, third = (fresh_path(spark, "checkpoint") for _ in range(3))
+    stream = spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(path)
+    run_to_end(errors.track_errors(stream), "tracked", "update", first)
+    early = events.filter("event_id < 600")
+    counted = batch_errors.counted_events(early)
+    state = errors.saved_state(spark, first)
+    assert rows(state.select("url", "error_type", "n", "last_ts")) == rows(batch_errors.tracked(counted).select("url", "error_type", "n", "last_ts"))
+    assert rows(state.filter("blacklisted").select("url").distinct()) == rows(batch_errors.blacklist(counted).select("url"))
+    gone = state.filter("blacklisted").select("url").distinct().orderBy("url").limit(2)
+    stored = fresh_path(spark, "state")
+    errors.clear(state, gone).write.parquet(stored)
+
+    late = spark.readStream.schema(LAYOUT).parquet(in_files(spark, events, [600, 1500]))
+    run_to_end(errors.track_errors(late, state=spark.read.schema(errors.STATE).parquet(stored)), "tracked", "update", second)
+    kept = batch_errors.clean_events(events).join(gone.withColumn("cleared", F.lit(True)), "url", "left").filter("cleared is null or event_id >= 600").drop("cleared")
+    counted = batch_errors.counted_events(kept)
+    state = errors.saved_state(spark, second)
+    assert rows(state.select("url", "error_type", "n", "last_ts")) == rows(batch_errors.tracked(counted).select("url", "error_type", "n", "last_ts"))
+    assert rows(state.filter("blacklisted").select("url").distinct()) == rows(batch_errors.blacklist(counted).select("url"))
+    # All of them cleared: a tracker that knows nothing.
+    run_to_end(errors.track_errors(late, state=errors.clear(state)), "tracked", "update", third)
+    counted = batch_errors.counted_events(events.filter("event_id >= 600"))
+    assert rows(errors.saved_state(spark, third).select("url", "error_type", "n")) == rows(batch_errors.tracked(counted).select("url", "error_type", "n"))
+
+
+def test_a_row_clears_its_url(spark, events):
+    # Two URLs are cleared at the times of other URLs' events.
+    every = batch_errors.clean_events(events).orderBy("event_id").collect()
+    one, two = sorted({r.url for r in every})[:2]
+    at = [next(r for r in every if r.event_id >= n and r.url not in (one, two)) for n in (400, 700, 900)]
+    listed = [(u, None, r.ts, r.event_id) for u, r in zip((one, two, one + "/"), at)] + [("nobody", None, at[0].ts, 5)]
+    clears = spark.createDataFrame(listed, LAYOUT)
+    both = events.withColumn("clear", F.lit(False)).unionByName(clears.withColumn("clear", F.lit(True)))
+    path = in_files(spark, both, [0, 500, 1500])
+    checkpoint = fresh_path(spark, "checkpoint")
+    stream = spark.readStream.schema(LAYOUT + ", clear boolean").option("maxFilesPerTrigger", 1).parquet(path)
+    run_to_end(errors.track_errors(stream), "cleared", "update", checkpoint)
+    counted = batch_errors.counted_events(batch_errors.after_clears(events, clears))
+    state = errors.saved_state(spark, checkpoint)
+    assert rows(state.select("url", "error_type", "n")) == rows(batch_errors.tracked(counted).select("url", "error_type", "n"))
+
+
 def test_feed_items_once(spark, tmp_path):
     def feed(*ids):
         items = "".join(f"<item><guid>https://h/?p={i}</guid><title>t{i}</title></item>" for i in ids)
