@@ -78,15 +78,14 @@ def link(
     ``id`` and ``sign``. ``texts`` gives ``id`` and ``text`` of a table of ids; ``similar`` keeps, of pairs ``a``, ``b`` with the texts ``text_a`` and
     ``text_b``, the true links; ``can(x, y)`` is a SQL condition on two signs that true links meet.
 
-    First each member is compared with a few hubs of its bucket: the smallest id, and the first ids in other orders.
+    First each member is compared with a few hubs of its bucket: the smallest id, the largest, and the first in another order.
     Where a bucket then holds several components, ids outside its largest one are compared with more hubs of that, in
     rounds. What still lies in different components of a bucket after that is compared pair by pair, a pair in one bucket only.
     So a group of copies takes a few comparisons a member, and no link that could join two components is left out. Rows of buckets carry
     ids alone; signs and texts are fetched for pairs.
     """
-    orders = [F.col("id"), *[F.xxhash64(F.lit(j), "id") for j in range(1, HUBS)]]
-    picked = [F.min_by("id", order).alias(f"hub_{j}") for j, order in enumerate(orders)]
-    hubs = members.groupBy("bucket").agg(*picked, F.count("*").alias("n")).where("n > 1").drop("n")
+    picked = [F.min("id"), F.max("id"), *[F.min_by("id", F.xxhash64(F.lit(j), "id")) for j in range(2, HUBS)]]
+    hubs = members.groupBy("bucket").agg(*[p.alias(f"hub_{j}") for j, p in enumerate(picked)]).where("hub_0 <> hub_1")
     hubs = written(hubs, "hubs")
     # Small enough to send to every executor up to the bound, and joined by a shuffle beyond it.
     few = hubs.count() <= BROADCAST

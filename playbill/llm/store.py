@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from playbill.session import fresh_path
@@ -10,15 +12,16 @@ from playbill.session import fresh_path
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once, tightly packed, to the shared folder and read it back: a lineage cut that survives
     the loss of executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch(df, name)[0]
 
 
 def scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``written``, and where, for ``discard``."""
+    """``written``, and where, for ``discard``. Once the table is there nobody needs the shuffles that it was made with; Spark deletes their
+    files when the driver has collected what refers to them, which it may not do for long by itself."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
