@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from playbill.llm.store import discard, scratch, written
 
 
-#: Buckets whose hubs are sent to every executor at most (a few longs each), and hubs of a bucket.
+#: Buckets whose hubs are sent to every executor at most (a few longs each; half as many signs of hubs), and hubs of a bucket.
 BROADCAST, HUBS = 1_000_000, 3
 #: Rounds with further hubs where a bucket holds several components, and hubs of a round.
 ROUNDS, MORE = 1, 20
@@ -102,12 +102,16 @@ def link(
         star = hub_of.where("id <> hub").distinct()
         own = signs.join(hub_of.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("hub"), F.col("sign").alias("sign_b"))
         own = written(own, "hub-signs")
-        near = F.broadcast(own) if own.count() <= BROADCAST // 8 else own
+        near = F.broadcast(own) if own.count() <= BROADCAST // 2 else own
         signed = star.join(signs.select("id", F.col("sign").alias("sign_a")), "id").join(near, "hub").where(can("sign_a", "sign_b"))
         return verified(signed.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
 
-    hub = F.explode(F.array_distinct(F.array(*[f"hub_{j}" for j in range(HUBS)]))).alias("hub")
-    tree = components(compared(shared.select("id", hub)))
+    # Most members are linked to the first hub of a bucket; with the others only those are compared that it has not joined to them.
+    tree = components(compared(shared.select("id", F.col("hub_0").alias("hub"))))
+    others = shared.select("id", F.explode(F.array(*[f"hub_{j}" for j in range(1, HUBS)])).alias("hub")).where("id <> hub").distinct()
+    ends = [tree.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}")) for c in ("id", "hub")]
+    apart = others.join(ends[0], "id", "left").join(ends[1], "hub", "left").where("coalesce(in_id, id) <> coalesce(in_hub, hub)")
+    tree = components(tree.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(compared(apart.select("id", "hub"))))
     held, turn = shared.select("bucket", "id"), 0
     while True:
         placed = held.select("bucket", "id").join(tree, "id", "left").withColumn("component", F.coalesce("component", "id"))
