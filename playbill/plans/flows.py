@@ -132,7 +132,7 @@ def feed_round(spark, sf):
     )
 
 
-@query(f"""WITH {SHOWS_SQL}, {EPISODES_SQL}, s AS (SELECT * FROM shows WHERE lastmod < '2000-01-01'), e AS (SELECT rtrim(show_url, '/') AS k, count(*)::INT AS n FROM episodes GROUP BY 1)
+@query(f"""WITH {SHOWS_SQL}, {EPISODES_SQL}, s AS (SELECT * FROM shows WHERE lastmod < '2000-01-01'), e AS (SELECT rtrim(show_url, '/') AS k, count(DISTINCT url)::INT AS n FROM episodes GROUP BY 1)
 SELECT coalesce(rtrim(s.url, '/'), k) AS url, title_en, coalesce(n, 0) AS episode_count, CASE WHEN s.url IS NOT NULL THEN 1 END AS is_new FROM s FULL JOIN e ON rtrim(s.url, '/') = k""")
 def series_build(spark, sf):
     # Early shows are delivered, of the others only the episodes: each gets a stub.

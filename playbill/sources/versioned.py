@@ -34,6 +34,10 @@ class Version:
     commits: dict[str, int] = field(default_factory=dict)
     rows: dict[int, int] = field(default_factory=dict)
 
+    def has(self, commit: tuple[str, int] | None) -> bool:
+        """Whether a batch of a stream has been written already."""
+        return commit is not None and self.commits.get(commit[0], -1) >= commit[1]
+
 
 @dataclass(frozen=True)
 class VersionedTable:
@@ -90,15 +94,17 @@ class VersionedTable:
     def bucket_of(url: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(urls.strip_slash(url)), F.lit(buckets)).cast("int")
 
-    def rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], commit: tuple[str, int] | None = None) -> Version:
+    def rewrite(
+        self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], commit: tuple[str, int] | None = None, now: Version | None = None
+    ) -> Version:
         """The next version: ``change`` gives the new rows of the buckets that the ``url`` of ``keys`` fall into from their old ones;
         all other buckets stay the files they are.
 
         ``commit`` names a stream and a batch of it. A batch that is not behind the last one named for its stream has been
-        written before, and nothing happens; so a batch may be repeated after a failure.
+        written before, and nothing happens; so a batch may be repeated after a failure. ``now`` is the newest version, if known.
         """
-        now = self.version()
-        if commit and now.commits.get(commit[0], -1) >= commit[1]:
+        now = now or self.version()
+        if now.has(commit):
             return now
         bucket = self.bucket_of(F.col("url"), now.buckets)
         # As many integers as there are buckets at most.
@@ -121,14 +127,17 @@ class VersionedTable:
         self._name(after)
         return after
 
-    def upsert(self, incoming: DataFrame, scraped_at: Column, pos: str = "pos", commit: tuple[str, int] | None = None) -> Version:
+    def upsert(
+        self, incoming: DataFrame, scraped_at: Column, pos: str = "pos", commit: tuple[str, int] | None = None, now: Version | None = None
+    ) -> Version:
         """Merge a batch with change tracking (``operators.upsert``). The batch is spelled, made unique by URL and written
         once; its URLs choose the buckets."""
-        if commit and self.version().commits.get(commit[0], -1) >= commit[1]:
-            return self.version()
+        now = now or self.version()
+        if now.has(commit):
+            return now
         batch = incoming.withColumn("url", urls.normalize_url(F.col("url"), nfkc=True)).filter(F.col("url") != "")
         batch = written(keep_last(batch, ["url"], pos), "batch")
-        return self.rewrite(batch, lambda old: operators.upsert(old, batch, scraped_at, pos), commit)
+        return self.rewrite(batch, lambda old: operators.upsert(old, batch, scraped_at, pos), commit, now)
 
     def mark(self, ids: DataFrame, flag: str, value: int) -> Version:
         """Set an integer flag on the listed URLs."""

@@ -50,11 +50,12 @@ def commit_items(
 ) -> Version:
     """The posts behind a batch of feed items, upserted as batch ``commit`` of their stream. A batch that the table
     has already leaves it as it is, so one that failed half-way or is run again does no harm."""
-    if table.version().commits.get(commit[0], -1) >= commit[1]:
-        return table.version()
+    now = table.version()
+    if now.has(commit):
+        return now
     wanted = written(items.select("id").distinct(), "items")
-    batch = catalogue_batch(kind, select_ids(posts, wanted), existing=None)
-    return table.upsert(batch.withColumn("pos", F.lit(0)), scraped_at, commit=commit)
+    batch = catalogue_batch(kind, select_ids(posts, wanted))
+    return table.upsert(batch.withColumn("pos", F.lit(0)), scraped_at, commit=commit, now=now)
 
 
 def feed_catalogue(
