@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from playbill.llm.store import discard, scratch, written
 
 
-#: Buckets whose hubs are sent to every executor at most (a few longs each; half as many signs of hubs), and hubs of a bucket.
+#: Buckets whose hubs are sent to every executor at most (a few longs each; an eighth as many signs of hubs), and hubs of a bucket.
 BROADCAST, HUBS = 1_000_000, 3
 #: Rounds with further hubs where a bucket holds several components, and hubs of a round.
 ROUNDS, MORE = 1, 20
@@ -102,7 +102,7 @@ def link(
         star = hub_of.where("id <> hub").distinct()
         own = signs.join(hub_of.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("hub"), F.col("sign").alias("sign_b"))
         own = written(own, "hub-signs")
-        near = F.broadcast(own) if own.count() <= BROADCAST // 2 else own
+        near = F.broadcast(own) if own.count() <= BROADCAST // 8 else own
         signed = star.join(signs.select("id", F.col("sign").alias("sign_a")), "id").join(near, "hub").where(can("sign_a", "sign_b"))
         return verified(signed.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
 
