@@ -266,10 +266,12 @@ SELECT 'show' AS kind, s.title_en AS title, s.url, count(e.url) AS n FROM shows
   LEFT JOIN episodes e ON rtrim(s.url, '/') = rtrim(e.show_url, '/') GROUP BY ALL
 UNION ALL SELECT 'movie', p_name, '{SITE}/movies/' || max(p_partkey), 2 FROM part GROUP BY p_name""")
 def frontend_sink(spark, sf):
-    from playbill.operators.nesting import nest_seasons
+    from playbill.operators.nesting import last_of_title, nest_seasons
 
     path = fresh_path(spark, "frontend")
-    nested = nest_seasons(shows(spark, sf).withColumnRenamed("api_id", "pos"), episodes(spark, sf))
+    # Only the last show of a title is in the layout: the others are left out before anything is nested.
+    kept = last_of_title(shows(spark, sf).withColumnRenamed("api_id", "pos"), "pos")
+    nested = nest_seasons(kept, episodes(spark, sf))
     sinks.export_frontend(movies(spark, sf), nested, episodes(spark, sf), path, "pos")
     entry = "entries map<string, struct<url string, {} array<{}>>>"
     series = spark.read.schema(entry.format("episodes", "struct<url string>")).json(f"{path}/tv_shows")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from playbill.operators.nesting import BLOCKS, frontend_episodes, keyed_by_title, nest_seasons, title_map
 
 
+def _write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines, packed at the least effort, as links repeat in them."""
+    df.write.option("zlib.compress.level", "BEST_SPEED").json(path, compression="gzip")
+
+
 def _observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
     """``df`` with counts that its writing task takes on the way, so that nothing is computed a second time for them. To be called on
     the frame that is written: there each row is seen once, also if executors are lost."""
@@ -21,7 +26,7 @@ def _observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
 def export_catalogue(
     movies: DataFrame, shows: DataFrame, episodes: DataFrame, path: str, exported_at: Column, blocks: int = BLOCKS
 ) -> None:
-    """The export as JSON lines: ``movies``, ``shows`` with nested seasons, ``episodes``, and one
+    """The export as packed JSON lines: ``movies``, ``shows`` with nested seasons, ``episodes``, and one
     ``metadata`` row with the counts, taken while writing."""
     parts = {
         "movies": (movies, F.count(F.lit(1))),
@@ -31,16 +36,16 @@ def export_catalogue(
     counts = []
     for name, (df, n) in parts.items():
         df, seen = _observed(df, n=n)
-        df.write.json(f"{path}/{name}")
+        _write_lines(df, f"{path}/{name}")
         counts.append(F.lit(seen.get["n"]).cast("bigint").alias(f"{name}_count"))
     movies.sparkSession.range(1).select(exported_at.alias("exported_at"), *counts).write.json(f"{path}/metadata")
 
 
 def export_frontend(movies: DataFrame, nested_shows: DataFrame, episodes: DataFrame, path: str, pos: str) -> None:
-    """The title-keyed layout as JSON lines, each a map of one title. The blocks of a show are lines of their own."""
-    title_map(keyed_by_title(movies, pos)).write.json(f"{path}/movies")
-    title_map(keyed_by_title(frontend_episodes(nested_shows), pos, blocks=True)).write.json(f"{path}/tv_shows")
-    episodes.write.json(f"{path}/episodes")
+    """The title-keyed layout as packed JSON lines, each a map of one title. The blocks of a show are lines of their own."""
+    _write_lines(title_map(keyed_by_title(movies, pos)), f"{path}/movies")
+    _write_lines(title_map(keyed_by_title(frontend_episodes(nested_shows), pos, blocks=True)), f"{path}/tv_shows")
+    _write_lines(episodes, f"{path}/episodes")
 
 
 def save_parsed_urls(parsed: DataFrame, previous: DataFrame | None, path: str, run_at: Column, files: int = 32) -> None:

@@ -1,5 +1,6 @@
 """Tables in versions, state kept in versions, page files and the sinks that count while they write."""
 
+import glob
 import io
 import re
 from contextlib import redirect_stdout
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import episodes_of, rows
 
-from playbill.operators import upsert
+from playbill.operators import nesting, upsert
 from playbill.session import fresh_path
 from playbill.sources import landed, sinks
 from playbill.sources.versioned import VersionedTable
@@ -158,3 +159,19 @@ def test_sinks_compute_their_input_once(spark):
     empty = fresh_path(spark, "parsed")
     sinks.save_parsed_urls(df.limit(0), None, empty, F.lit("2024-01-01"))
     assert spark.read.parquet(f"{empty}/metadata").first()["total_count"] == 0
+
+
+def test_exports_are_packed_and_episodes_move_once(spark):
+    _, eps = episodes_of(spark, {"hot": 300, "a": 4})
+    shows = spark.createDataFrame([("https://x/hot", "Hot", 1), ("https://x/a/", "A", 2), ("https://x/a2", "A", 1)], "url string, title_en string, pos int")
+    films, out, front = spark.createDataFrame([("m1", "M", 1)], "url string, title_en string, pos int"), fresh_path(spark, "export"), fresh_path(spark, "frontend")
+    sinks.export_catalogue(films, shows, eps, out, F.lit("2024-01-01"), blocks=4)
+    sinks.export_frontend(films, nesting.nest_seasons(nesting.last_of_title(shows, "pos"), eps), eps, front, "pos")
+    names = [f for path in (out, front) for kind in ("shows", "episodes", "movies", "tv_shows") for f in glob.glob(f"{path}/{kind}/part-*")]
+    assert names and all(f.endswith(".json.gz") for f in names)
+    # Episodes move once: no exchange takes those that are collected already.
+    told = io.StringIO()
+    with redirect_stdout(told):
+        nesting.nest_seasons(shows, eps).explain("formatted")
+    moved = re.findall(r"Exchange\nInput \[\d+\]: (.*)", told.getvalue())
+    assert moved and not any(re.search("_rows|_seasons|full_episodes", columns) for columns in moved)
