@@ -162,3 +162,46 @@ def test_notifications_can_be_repeated(spark):
         sinks.notify(content, path, F.lit("t"))
     assert spark.read.json(f"{path}/content").count() == 3
     assert sorted((r.content_type, r.n) for r in spark.read.json(f"{path}/summary").collect()) == [("movies", 2), ("shows", 1)]
+
+
+def test_plain_pages_read_like_all_others(spark):
+    from playbill.operators.page_parser import _Page
+
+    def shape(page):
+        return [(n.tag, n.attrs, list(n.classes), n.texts, n.start, n.end, len(n.kids)) for n in page.nodes]
+
+    class General(_Page):
+        def _read_plain(self, html):
+            return False
+
+    plain = ["<ul><li class='a b'>x<li id=k>y &amp; z</ul><br/><P title>t", "<a href=x/>q</a>", "<table><tr><td>1<td>2<tr><th b=\"\">3</table>"]
+    odd = ["a < b", "<script>x<y</script>", "<a href='/?a&amp;b'>c", "<!-- c --><b>d", "<title>a&b</title>"]
+    for html_ in plain + odd:
+        assert shape(_Page(html_, frozenset())) == shape(General(html_, frozenset()))
+    assert _Page("", frozenset())._read_plain(plain[0]) and not any(_Page("", frozenset())._read_plain(h) for h in odd)
+
+
+def test_pages_are_held_in_slices():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 700_000, None, "x" * 700_000, "x" * 2_000_000, "", "y"])
+    assert list(html._in_slices(texts)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(html._in_slices(pa.array([], pa.string()))) == []
+
+
+def test_pages_of_video_files_are_read_once(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from playbill.plans import crawled, roles
+
+    told = io.StringIO()
+    with redirect_stdout(told):
+        crawled.video_files(spark, "/root/testdata/sf0.001").explain()
+    # Once for the records and once for the resolver pages.
+    assert told.getvalue().count("MapInArrow") == 2
+    rows, roles.TASK_ROWS = roles.TASK_ROWS, 50
+    try:
+        assert roles.source(spark, "/root/testdata/sf0.001", "orders").rdd.getNumPartitions() == 30
+    finally:
+        roles.TASK_ROWS = rows
