@@ -39,7 +39,9 @@ def with_item_ids(items: DataFrame, failed_ids: DataFrame) -> DataFrame:
 
 def changed_sites(built: DataFrame, checks: DataFrame) -> DataFrame:
     """Sites built after their last check; unknown times count as changed."""
-    rows = built.join(checks, "site", "left")
+    # A site may be listed with several checks.
+    last = checks.groupBy("site").agg(F.max("last_check").alias("last_check"))
+    rows = built.join(last, "site", "left")
     return rows.filter(F.coalesce(F.col("built") > F.col("last_check"), F.lit(True)))
 
 

@@ -189,8 +189,10 @@ def snapshot_decode(spark, sf):
     stored = F.when(latin, F.encode(F.regexp_replace("html", "[^\\x{00}-\\x{FF}]", "?"), "ISO-8859-1")).otherwise(
         F.encode("html", "UTF-8")
     )
-    snaps = landed.with_cache_file(rows.select("url", landed.decode_page(stored).alias("html")))
-    wanted = landed.with_cache_file(rows.select("page_id", "url"))
+    # Two pages may have one URL, or URLs of one cache key; the name carries the page.
+    file = F.concat_ws("-", "page_id", "file")
+    snaps = landed.with_cache_file(rows.select("page_id", "url", landed.decode_page(stored).alias("html"))).withColumn("file", file).drop("page_id")
+    wanted = landed.with_cache_file(rows.select("page_id", "url")).withColumn("file", file)
     return wanted.join(snaps.select("file", "html"), "file").select("page_id", "html")
 
 
