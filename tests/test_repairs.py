@@ -53,3 +53,16 @@ def test_listed_again_on_the_day_a_listing_ends(spark, tmp_path):
     got = _streamed(spark, tmp_path, [rows], "url string, error_type string, ts string, event_id long", lambda s: errors.track_errors(s, base=3, expire=True), "update")
     last = max((r for r in got if r.n), key=lambda r: r.last_ts)
     assert last.blacklisted and str(last.last_ts).startswith("2024-01-08 14")
+
+
+def test_errors_leave_with_the_watermark(spark, tmp_path):
+    # The warning's three days are over when another error of its URL comes, but not yet by the watermark, an hour behind.
+    first = [("https://x/a", "warning", "2024-01-01 00:00:00", 0), ("https://x/a", "http_500", "2024-01-04 00:30:00", 1)]
+    later = [("https://x/b", "http_500", "2024-01-04 03:00:00", 2)]
+    layout = "url string, error_type string, ts string, event_id long"
+    got = [
+        _streamed(spark, tmp_path / str(n), batches, layout, lambda df: errors.track_errors(df, base=10, expire=True), "update")
+        for n, batches in enumerate(([first], [first, later]))
+    ]
+    gone = [[r.url for r in rows if r.error_type == "warning" and r.n == 0] for rows in got]
+    assert gone == [[], ["https://x/a"]]
