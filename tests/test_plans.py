@@ -81,3 +81,10 @@ def test_roles_keep_every_row(spark):
     assert roles.shows(spark, SF).count() == orders
     assert roles.episodes(spark, SF).count() == lines
     assert roles.parsed_urls(spark, SF).count() == orders + lines + parts
+
+
+def test_arrow_batches_are_small(spark):
+    from playbill.session import OPTIONS
+
+    # Texts and pages take several times their room in a Python worker.
+    assert int(OPTIONS["spark.sql.execution.arrow.maxBytesPerBatch"]) <= 8 * 1024 * 1024
