@@ -126,7 +126,14 @@ def select_ids(posts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def children_of(episodes: DataFrame, parents: DataFrame, number_order: bool = True) -> DataFrame:
-    """Episodes of the given shows, ordered by season and number."""
+    """Episodes of the given shows, ordered by season and number.
+
+    URLs begin alike, so sorting for a merge join compares them nearly whole: the shows of a partition, each once, go into a hash
+    table instead. Where an order is asked for, the episodes found are written first: cutting the order into ranges reads
+    them, and would join a second time.
+    """
     keyed = parents.select(urls.strip_slash(F.col("url")).alias("_show"))
-    rows = episodes.join(keyed, urls.strip_slash(F.col("show_url")) == F.col("_show"), "left_semi")
-    return rows.orderBy("show_url", "season_number", "episode_number", "url") if number_order else rows
+    rows = episodes.join(keyed.hint("shuffle_hash"), urls.strip_slash(F.col("show_url")) == F.col("_show"), "left_semi")
+    if not number_order:
+        return rows
+    return written(rows, "children").orderBy("show_url", "season_number", "episode_number", "url")
