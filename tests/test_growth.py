@@ -1,17 +1,20 @@
 """Work that must not grow faster than the rows, or be done twice for each of them."""
 
+import json
+
+from pyspark.sql import functions as F
 from test_plans import plan
 
 from playbill.operators import joins
+from playbill.plans import documents
 
 
-def test_children_are_found_without_sorting_and_once(spark):
-    episodes = spark.createDataFrame(
-        [("e2", "https://x/a/", 1, 2), ("e1", "https://x/a", 1, 1), ("e3", "https://x/b", 1, 1), ("e4", None, 1, 1)],
-        "url string, show_url string, season_number int, episode_number int",
-    )
-    parents = spark.createDataFrame([("https://x/a",), ("https://x/a/",)], "url string")
-    assert "ShuffledHashJoin" in plan(joins.children_of(episodes, parents, number_order=False))
-    ordered = joins.children_of(episodes, parents)
-    assert "Join" not in plan(ordered)
-    assert [r.url for r in ordered.collect()] == ["e1", "e2"]
+def test_posts_are_rendered_without_patterns_and_in_compiled_code(spark):
+    item = documents.source(spark, "/root/testdata/sf0.001", "lineitem")
+    body = documents._post(F.lit(1), F.lit("u"), F.lit("m"), F.col("title"), F.lit("[]"), F.lit("[]"), F.lit("[]"))
+    titles = item.limit(1).select(F.explode(F.array(F.lit('a "t"} \\'), F.lit(None).cast("string"))).alias("title"))
+    rows = titles.select("title", body.alias("body"))
+    assert "regexp_replace" not in plan(rows)
+    got = [(r[0], json.loads(r.body)["title"]) for r in rows.collect()]
+    assert got == [('a "t"} \\', {"rendered": 'a "t"} \\'}), (None, {})]
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
