@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from playbill.functions import urls
 from playbill.operators import upsert as operators
 from playbill.operators.grouping import keep_last
-from playbill.session import discard, written
+from playbill.session import computed, discard, written
 
 _MANIFEST = "kind string, name string, value bigint"
 
@@ -135,7 +135,8 @@ class VersionedTable:
         now = now or self.version()
         if now.has(commit):
             return now
-        batch = incoming.withColumn("url", urls.normalize_url(F.col("url"), nfkc=True)).filter(F.col("url") != "")
+        # The last of each spelling first, so that of repeated ones a single row is spelled anew.
+        batch = computed(keep_last(incoming, ["url"], pos), {"url": urls.normalize_url(F.col("url"), nfkc=True)}).filter("url <> ''")
         batch = written(keep_last(batch, ["url"], pos), "batch")
         return self.rewrite(batch, lambda old: operators.upsert(old, batch, scraped_at, pos), commit, now)
 

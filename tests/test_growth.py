@@ -7,6 +7,19 @@ from test_plans import plan
 
 from playbill.operators import joins
 from playbill.plans import documents
+from playbill.sources import versioned
+
+
+def test_children_are_found_without_sorting_and_once(spark):
+    episodes = spark.createDataFrame(
+        [("e2", "https://x/a/", 1, 2), ("e1", "https://x/a", 1, 1), ("e3", "https://x/b", 1, 1), ("e4", None, 1, 1)],
+        "url string, show_url string, season_number int, episode_number int",
+    )
+    parents = spark.createDataFrame([("https://x/a",), ("https://x/a/",)], "url string")
+    assert "ShuffledHashJoin" in plan(joins.children_of(episodes, parents, number_order=False))
+    ordered = joins.children_of(episodes, parents)
+    assert "Join" not in plan(ordered)
+    assert [r.url for r in ordered.collect()] == ["e1", "e2"]
 
 
 def test_posts_are_rendered_without_patterns_and_in_compiled_code(spark):
@@ -18,3 +31,15 @@ def test_posts_are_rendered_without_patterns_and_in_compiled_code(spark):
     got = [(r[0], json.loads(r.body)["title"]) for r in rows.collect()]
     assert got == [('a "t"} \\', {"rendered": 'a "t"} \\'}), (None, {})]
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_a_batch_is_spelled_once_and_after_its_repeats_are_gone(spark, tmp_path, monkeypatch):
+    table = versioned.VersionedTable.create(spark, str(tmp_path / "t"), "url string, title string, lastmod string, is_new int, last_scraped string", buckets=2)
+    rows = [("https://x/a/", "old", 1), ("https://x/a", "mid", 2), ("https://x/a/", "new", 3), (None, "none", 4)]
+    incoming = spark.createDataFrame(rows, "url string, title string, pos int").withColumn("lastmod", F.lit("m"))
+    plans, write = [], versioned.written
+    monkeypatch.setattr(versioned, "written", lambda df, name: plans.append(plan(df)) or write(df, name))
+    table.upsert(incoming, F.lit("now"))
+    assert [(r.url, r.title) for r in table.read().collect()] == [("https://x/a", "new")]
+    tree = plans[0].split("\n\n")[0]
+    assert tree.count("ArrowEvalPython") == 1 and tree.rindex("ArrowEvalPython") < tree.rindex("Aggregate")
