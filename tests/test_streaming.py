@@ -89,6 +89,23 @@ def test_tracker_goes_on_from_its_saved_state(spark, events):
     assert rows(errors.saved_state(spark, third).select("url", "error_type", "n")) == rows(batch_errors.tracked(counted).select("url", "error_type", "n"))
 
 
+def test_urls_of_one_slot_share_a_key_and_stay_apart(spark, events, monkeypatch):
+    """A call into Python for each URL took milliseconds: without expiry URLs share keys, and each is still tracked by itself."""
+    monkeypatch.setattr(errors, "SLOTS", 2)
+    first, second, stored = (fresh_path(spark, "checkpoint") for _ in range(3))
+    stream = spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(in_files(spark, events, [0, 300, 600]))
+    run_to_end(errors.track_errors(stream), "tracked", "update", first)
+    kept = spark.read.format("statestore").option("path", first).option("stateVarName", "errors").load()
+    assert kept.select("key").distinct().count() == 2
+    errors.saved_state(spark, first).write.parquet(stored)
+    late = spark.readStream.schema(LAYOUT).parquet(in_files(spark, events, [600, 1500]))
+    run_to_end(errors.track_errors(late, state=spark.read.schema(errors.STATE).parquet(stored)), "tracked", "update", second)
+    counted = batch_errors.counted_events(events)
+    state = errors.saved_state(spark, second)
+    assert rows(state.select("url", "error_type", "n", "last_ts")) == rows(batch_errors.tracked(counted).select("url", "error_type", "n", "last_ts"))
+    assert rows(state.filter("blacklisted").select("url").distinct()) == rows(batch_errors.blacklist(counted).select("url"))
+
+
 def test_a_row_clears_its_url(spark, events):
     # Two URLs are cleared at the times of other URLs' events.
     every = batch_errors.clean_events(events).orderBy("event_id").collect()
