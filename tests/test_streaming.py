@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_operators import failure_events, rows
 
 from playbill.operators import errors as batch_errors
+from playbill.plans import streams
 from playbill.plans.streams import ROCKSDB, run_to_end
 from playbill.session import fresh_path
 from playbill.streaming import errors, feeds, notifications
@@ -159,3 +160,14 @@ def test_content_is_announced_once(spark, events):
     assert rows(marked.select("content_type", "url")) == want
     counts = spark.read.schema("content_type string, n long").parquet(f"{out}/summary")
     assert counts.agg(F.sum("n")).first()[0] == len(want)
+
+
+def test_more_feed_items_make_more_files_not_larger_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FEED_ITEMS", 50)
+    spark.range(2000).selectExpr("id as event_id", "id % 300 as user_id", "'view' as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    path = str(tmp_path / "feeds")
+    files = streams._land_feeds(spark, str(tmp_path), path, feeds_per_type=2)
+    texts = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    assert sum(t.count("<item>") for t in texts) == 2000
+    assert max(t.count("<item>") for t in texts) <= 100
+    assert len(texts) <= 3 * files <= 3 * 14 + 3
