@@ -18,8 +18,8 @@ from playbill.llm.arrays import Runs, Words, words
 BITS, KEPT, SKETCHED = 14, 128, 144
 #: Words of a passage of the decomposition.
 PASSAGE = 64
-#: Words, or terms of passages, whose vectors are held at once.
-BLOCK = 1 << 14
+#: Words whose vectors are held at once, and terms of passages multiplied at once.
+BLOCK, TERMS = 1 << 14, 1 << 11
 #: Items of the benchmark that one pass over the documents searches for.
 ITEMS = 10_000
 #: Words of the shortest item that windows search for; shorter ones are found by their exact words.
@@ -58,6 +58,7 @@ def _sketch(idf: np.ndarray) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega, total = _omega(), np.zeros((1 << BITS, SKETCHED))
+        near, blocks = np.zeros((1 << BITS, SKETCHED), dtype=np.float32), 0
         for batch in batches:
             for w in words(pc.utf8_lower(batch.column("text"))):
                 passage, bucket, n = _terms(w)
@@ -65,17 +66,22 @@ def _sketch(idf: np.ndarray) -> Callable:
                     continue
                 value = n * idf[bucket]
                 norm = np.sqrt(np.bincount(passage, weights=value * value))
-                value = (value / np.maximum(norm, 1e-12)[passage]).astype(np.float32)[:, None]
+                value = (value / np.maximum(norm, 1e-12)[passage]).astype(np.float32)
                 first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-                edges = np.unique(np.r_[first[np.searchsorted(first, np.arange(0, len(passage), BLOCK), side="right") - 1], len(passage)])
+                edges = np.unique(np.r_[first[np.searchsorted(first, np.arange(0, len(passage), TERMS), side="right") - 1], len(passage)])
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    own, where = value[lo:hi], bucket[lo:hi]
-                    begin = first[(first >= lo) & (first < hi)] - lo
-                    seen = np.repeat(np.add.reduceat(own * omega[where], begin, axis=0), np.diff(np.r_[begin, hi - lo]), axis=0)
-                    order = np.argsort(where, kind="stable")
-                    sorted_bucket = where[order]
-                    start = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
-                    total[sorted_bucket[start]] += np.add.reduceat(own[order] * seen[order], start, axis=0)
+                    # The block's passages as a small dense matrix over the buckets that it has.
+                    held, column = np.unique(bucket[lo:hi], return_inverse=True)
+                    row = np.cumsum(np.r_[False, passage[lo + 1 : hi] != passage[lo : hi - 1]])
+                    dense = np.zeros((row[-1] + 1, len(held)), dtype=np.float32)
+                    dense[row, column] = value[lo:hi]
+                    near[held] += dense.T @ (dense @ omega[held])
+                    blocks += 1
+                    # Few blocks are summed in single precision.
+                    if blocks % 256 == 0:
+                        total += near
+                        near[:] = 0
+        total += near
         hit = np.flatnonzero(total.any(axis=1))
         columns = [pa.array(hit), *(pa.array(total[hit, c].copy()) for c in range(SKETCHED))]
         yield pa.record_batch(columns, names=["bucket", *(f"y{c}" for c in range(SKETCHED))])
@@ -83,8 +89,8 @@ def _sketch(idf: np.ndarray) -> Callable:
     return run
 
 
-def basis(documents: DataFrame) -> np.ndarray:
-    """What each word bucket adds to a passage's latent vector: IDF times right singular vectors over singular values.
+def basis(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What each word bucket adds to a passage's latent vector: IDF times right singular vectors over singular values; and the IDF.
 
     The decomposition is a randomised SVD of the TF-IDF matrix of all passages of all documents: a first pass
     counts passages by bucket, a second multiplies the matrix and its transpose with a random matrix, both
@@ -111,7 +117,7 @@ def basis(documents: DataFrame) -> np.ndarray:
     half = vectors / np.sqrt(np.maximum(values, 1e-12 * max(values.max(), 1e-300)))
     u, s, _ = np.linalg.svd(y @ half, full_matrices=False)
     kept = s > s[0] * 1e-6
-    return (idf[:, None] * u[:, kept][:, :KEPT] / s[kept][:KEPT]).astype(np.float32)
+    return (idf[:, None] * u[:, kept][:, :KEPT] / s[kept][:KEPT]).astype(np.float32), idf
 
 
 def _exact(benchmark: pa.Table, blank: set[int]) -> dict[int, dict[int, list[tuple[int, np.ndarray]]]]:
@@ -177,7 +183,22 @@ def common(item: list[int], region: list[int]) -> int:
     return len(item) - (row & full).bit_count()
 
 
-def _found(items: dict[int, list[_Item]], short: dict[int, dict[int, list[tuple[int, np.ndarray]]]], weights: np.ndarray, cosine: float, whole: float, part: float, answer: int) -> Callable:
+def _rare(items: list[_Item], idf: np.ndarray, part: float) -> tuple[np.ndarray, int]:
+    """Words, and how many of them the words around a window hold wherever an item has ``part`` of its words there.
+
+    Of an item's different words, ``need`` or more are there; so are ``least`` or more of the rarest of them, taken as many that only
+    ``need - least`` are left out. 0 if an item needs none."""
+    need = [int(np.ceil(part * len(i.words) - (len(i.words) - len(i.own)) - 1e-9)) for i in items]
+    if min(need) < 1:
+        return np.zeros(0, dtype=np.uint64), 0
+    least, found = max(1, 2 * min(need) // 5), set()
+    for item, n in zip(items, need, strict=True):
+        by_idf = sorted(item.own, key=lambda word: (-idf[word >> (64 - BITS)], word))
+        found.update(by_idf[: len(by_idf) - n + least])
+    return np.array(sorted(found), dtype=np.uint64), least
+
+
+def _found(items: dict[int, list[_Item]], short: dict[int, dict[int, list[tuple[int, np.ndarray]]]], weights: np.ndarray, idf: np.ndarray, cosine: float, whole: float, part: float, answer: int) -> Callable:
     def judged(item: _Item, region: list[int]) -> int | None:
         """Words of the item found in order, if that makes a leak."""
         n = len(item.words)
@@ -193,6 +214,14 @@ def _found(items: dict[int, list[_Item]], short: dict[int, dict[int, list[tuple[
     sizes = {length: np.array([len(i.words) for i in own]) for length, own in items.items()}
     offsets = {length: np.array([i.offset for i in own]) for length, own in items.items()}
     searched = {length: (own, np.stack([i.latent for i in own], axis=1), min(whole, part) * sizes[length].min()) for length, own in items.items()}
+    rare = {length: _rare(own, idf, part) for length, own in items.items()}
+    # Words of the region that a window is judged by, before its first word and from it on, at most.
+    reach = {length: tuple(int(n.max()) + max(1, length // 6) + 2 for n in (offsets[length], sizes[length] - offsets[length])) for length in items}
+    # All rare words in order, the greatest value last, and for each length which of them are its own.
+    every = np.unique(np.concatenate([np.array([2**64 - 1], dtype=np.uint64), *[of for of, _ in rare.values()]]))
+    member = {length: np.isin(every, of) for length, (of, least) in rare.items() if least}
+    # A row of zeros stands for places behind a window's end.
+    padded = np.vstack([weights, np.zeros((1, weights.shape[1]), dtype=weights.dtype)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,17 +240,38 @@ def _found(items: dict[int, list[_Item]], short: dict[int, dict[int, list[tuple[
                                     best[int(owners[p]), item_id] = (n, 1.0, n)
                 place = np.arange(len(left)) - np.repeat(w.at[:-1], counts)
                 plain = w.hashes.tolist() if items else []
+                bucket = np.r_[(w.hashes >> _SHIFT).astype(np.int64), len(weights)]
+                found = np.searchsorted(every, w.hashes)
+                found[every[found] != w.hashes] = len(every) - 1
+                # How many rare words lie before each place, from ``reach`` places before the first to as many behind the last.
+                seen = {length: np.pad(np.cumsum(of[found], dtype=np.int32), (reach[length][0] + 1, reach[length][1]), "edge") for length, of in member.items()}
+                for length, sums in seen.items():
+                    sums[: reach[length][0] + 1] = 0
                 for lo in range(0, len(plain) if items else 0, BLOCK):
                     hi = min(lo + BLOCK, len(plain))
-                    sums = np.zeros((min(hi + longest, len(plain)) - lo + 1, weights.shape[1]))
-                    np.cumsum(weights[(w.hashes[lo : lo + len(sums) - 1] >> _SHIFT).astype(np.int64)], axis=0, dtype=np.float64, out=sums[1:])
+                    sums = None
                     rest, own_place = left[lo:hi], place[lo:hi]
                     for length, (own, latent, least) in searched.items():
                         step = max(1, length // 6)
+                        at = np.arange(hi - lo)
+                        if length in seen:
+                            # Around the others no item can have enough of its words to be judged a leak.
+                            wide = sum(reach[length])
+                            at = np.flatnonzero(seen[length][lo + wide : hi + wide] - seen[length][lo:hi] >= rare[length][1])
                         # A text that is shorter has one window, of all its words.
-                        whole_window = (rest >= length) & ((own_place % step == 0) | (rest == length))
-                        at = np.flatnonzero(whole_window | ((own_place == 0) & (rest < length) & (rest >= least)))
-                        window = (sums[at + np.minimum(rest[at], length)] - sums[at]).astype(np.float32)
+                        whole_window = (rest[at] >= length) & ((own_place[at] % step == 0) | (rest[at] == length))
+                        at = at[whole_window | ((own_place[at] == 0) & (rest[at] < length) & (rest[at] >= least))]
+                        if not len(at):
+                            continue
+                        if len(at) * length <= 4 * (hi - lo):
+                            places = np.arange(length)
+                            inside = np.where(places < rest[at][:, None], (at + lo)[:, None] + places, len(plain))
+                            window = padded[bucket[inside]].sum(axis=1)
+                        else:
+                            if sums is None:
+                                sums = np.zeros((min(hi + longest, len(plain)) - lo + 1, weights.shape[1]))
+                                np.cumsum(weights[bucket[lo : lo + len(sums) - 1]], axis=0, dtype=np.float64, out=sums[1:])
+                            window = (sums[at + np.minimum(rest[at], length)] - sums[at]).astype(np.float32)
                         window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
                         near = window @ latent
                         rs, cs = np.nonzero(near >= cosine)
@@ -264,7 +314,7 @@ def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.3, whole:
     and equal items each have their own rows; a document without leaks has no row. The items come
     to the driver and go to the tasks in blocks of ``ITEMS``, with one pass over the documents each.
     """
-    weights = basis(documents)
+    weights, idf = basis(documents)
     named = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     blocks = max(1, -(-items.count() // ITEMS))
@@ -273,7 +323,7 @@ def find(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.3, whole:
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
         prepared, blank = _prepared(own, weights)
-        found = named.mapInArrow(_found(prepared, _exact(own, blank), weights, cosine, whole, part, answer), kind)
+        found = named.mapInArrow(_found(prepared, _exact(own, blank), weights, idf, cosine, whole, part, answer), kind)
         out = found if out is None else out.unionAll(found)
     return out
 

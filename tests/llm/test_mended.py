@@ -6,6 +6,8 @@ import random
 import time
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,30 @@ def test_leaks_against_brute_force(spark):
     assert want and want <= got
 
 
+def test_windows_left_out_hold_no_leak():
+    """Windows without enough rare words of any item are not scored: few are, and the leaks are those of all windows."""
+    rng, words = random.Random(3), [f"w{i}" for i in range(400)]
+    idf, weights = np.full(1 << leaks.BITS, 1.0), np.random.default_rng(3).standard_normal((1 << leaks.BITS, 16)).astype(np.float32)
+    items = [rng.choices(words, weights=range(400, 0, -1), k=rng.randint(9, 60)) for _ in range(40)]
+    texts = []
+    for i in range(300):
+        own = rng.choices(words, weights=range(400, 0, -1), k=rng.randint(0, 300))
+        held = [x for x in items[i % 40] if rng.random() > 0.25] if i % 3 == 0 else []
+        at = rng.randint(0, len(own))
+        texts.append(" ".join(own[:at] + held + own[at:]))
+    prepared, blank = leaks._prepared(pa.table({"item_id": list(range(40)), "text": [" ".join(x) for x in items]}), weights)
+    batch = pa.record_batch({"doc_id": list(range(300)), "text_key": list(range(300)), "text": texts})
+
+    def found(cosine):
+        own = leaks._found(prepared, {}, weights, idf, cosine, 0.8, 0.6, 5)([batch])
+        return sorted((r["doc_id"], r["item_id"], r["lcs"]) for part in own for r in part.to_pylist())
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(leaks, "_rare", lambda *_: (np.zeros(0, dtype=np.uint64), 0))
+        every = {cosine: found(cosine) for cosine in (-1.0, 0.3)}
+    assert len(every[-1.0]) > 40 and every == {cosine: found(cosine) for cosine in every}
+
+
 def test_stages_take_columns_with_their_own_names(spark):
     names = ["__d", "__k", "__t", "__c", "__gone", "__lines", "gone", "lines", "text_key", "check", "d", "k", "id", "held", "whole", "removed", "component_id", "kept"]
     line = "the same long line of words that stands here and there in several texts"
