@@ -171,6 +171,7 @@ def groups(documents: DataFrame, k: int = 5, threshold: float = 0.8, bands: int
         lambda ids: written(fetch(ids), "texts"),
         lambda pairs: pairs.mapInArrow(_similar(k, threshold), "a long, b long"),
         lambda x, y: f"least({x}[0], {y}[0]) >= {threshold - 1e-9} * greatest({x}[0], {y}[0]) and {close(x, y, LONGS, threshold)}",
+        at_once=True,
     )
     placed = texts.join(linked, "id", "left").select("text_key", "check", "doc_id", "size", F.coalesce("component", "id").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

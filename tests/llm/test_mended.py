@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playbill.llm import leaks, lines, near_documents, personal, store, token_blocks
+from playbill.llm.components import components, link
 from playbill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,24 @@ def test_leaks_against_brute_force(spark):
     assert want and want <= got
 
 
+def test_stars_are_seen_without_another_round(spark):
+    """Edges that are stars already take no round; a node with two smaller neighbours, or in the middle, does."""
+
+    def shape(*edges):
+        return link.__globals__["_shape"](spark.createDataFrame(edges, "a long, b long"))
+
+    assert shape((2, 1), (3, 1), (9, 8)) == (3, True)
+    assert shape((3, 2), (2, 1)) == (2, False)
+    assert shape((3, 1), (3, 2)) == (2, False)
+    assert link.__globals__["_shape"](spark.createDataFrame([], "a long, b long")) == (0, True)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    for few in (1_000_000, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setitem(components.__globals__, "BROADCAST", few)
+            got = {(r.id, r.component) for r in components(chain).collect()}
+        assert got == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
 def test_windows_left_out_hold_no_leak():
     """Windows without enough rare words of any item are not scored: few are, and the leaks are those of all windows."""
     rng, words = random.Random(3), [f"w{i}" for i in range(400)]
