@@ -178,3 +178,20 @@ def test_every_query_takes_empty_tables(spark, tmp_path):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in ("op5_separator_scan", "op6_token_blocks", "op7_personal_data", "op8_language", "op10_bpe_codec"):
         assert QUERIES[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_lines_meet_by_likeness_and_not_by_chance(spark):
+    """Keys of six values: lines of one language, a fifth of whose runs are common, hardly meet; lines at the threshold do, and their marks are near."""
+    rng = random.Random(8)
+    some = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        line = " ".join(rng.choices(some, k=rng.randint(30, 60)))
+        at = rng.randrange(20, len(line) - 20)
+        rows += [(2 * i, line), (2 * i + 1, f"{line[:at]}##{line[at + 2:]}")]
+    signed = {r.i: r for r in lines._signed(spark.createDataFrame(rows, "i long, line string"), lines.SHORT).collect()}
+    met = {(a, b) for a in signed for b in signed if a < b and any(x == y for x, y in zip(signed[a]["keys"], signed[b]["keys"], strict=True))}
+    pairs = {(2 * i, 2 * i + 1) for i in range(300)}
+    assert pairs <= met and len(met) < 5 * len(pairs)
+    marks = spark.createDataFrame([(signed[a].mark, signed[b].mark, signed[a].sign, signed[b].sign) for a, b in pairs], "x long, y long, s array<long>, t array<long>")
+    assert marks.where(f"{lines._near('x', 'y', 0.8)} and {lines._alike('s', 't', 0.8)}").count() == len(pairs)
