@@ -35,3 +35,26 @@ def test_pages_of_one_url(spark, doubled, name):
 def test_one_row_for_a_show(spark, name, key):
     rows = entry.queries()[name](spark, SF)
     assert rows.count() == rows.select(key).distinct().count() > 0
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """A show of 45,000 episodes beside the others, some of them twice."""
+    import duckdb
+
+    out = str(tmp_path_factory.mktemp("crowded"))
+    for path in glob.glob(f"{SF}/*.parquet"):
+        shutil.copy(path, out)
+    items = f"'{SF}/lineitem.parquet'"
+    more = f"SELECT i.* REPLACE (7 AS l_orderkey, n + i.l_suppkey AS l_suppkey) FROM (SELECT * FROM {items} LIMIT 1) i, range(45_000) r(n)"
+    duckdb.connect().execute(f"COPY (SELECT * FROM {items} UNION ALL {more} UNION ALL SELECT * FROM {items} LIMIT 45_100 OFFSET 5_900) TO '{out}/lineitem.parquet' (FORMAT parquet)")
+    return out
+
+
+@pytest.mark.parametrize(("name", "key", "urls"), [("episode_urls", "show_url", "episode_urls")])
+def test_large_shows_come_in_parts_of_bounded_size(spark, crowded, name, key, urls):
+    rows, problem = compare(spark, connect(crowded), crowded, name)
+    assert problem is None and rows > 0
+    parts = [r[urls].split() for r in entry.queries()[name](spark, crowded).collect() if r[key].rstrip("/").endswith("/tvshows/7")]
+    assert len(parts) > 1 and max(map(len, parts)) < 40_000
+    assert len({u.split("/", 2)[2] if name == "frontend_episodes" else u for part in parts for u in part}) >= 45_000
