@@ -50,12 +50,12 @@ def trigrams(texts: pa.Array) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a linear support vector machine (squared hinge loss; the last weight is the bias), by
-    coordinate descent on the dual; ``y`` is 1 or -1. Classes weigh alike, whatever their sizes."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights of a linear support vector machine (squared hinge loss), by coordinate descent on the dual; the last column of ``x`` is 1, its
+    weight the bias; ``y`` is 1 or -1. Classes weigh alike, whatever their sizes."""
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     ridge = share / cost  # half the inverse of each row's cost
-    norm, alpha, w = (x * x).sum(axis=1) + ridge, np.zeros(len(x)), np.zeros(x.shape[1])
+    # Row by row: the driver holds no second matrix.
+    norm, alpha, w = np.array([(row * row).sum() for row in x]) + ridge, np.zeros(len(x)), np.zeros(x.shape[1])
     order = np.random.default_rng(0)
     for _ in range(rounds):
         for i in order.permutation(len(x)):
@@ -118,10 +118,13 @@ def fit(documents: DataFrame, known: Column, per_language: int = 500, families:
     langs = np.array(sample.column("lang").to_pylist(), dtype=object)
     if not len(langs):
         return Model()
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for b in sample.column("shares").to_pylist()]).astype(np.float64)
+    x = np.ones((len(langs), BUCKETS + 1))
+    for row, shares in zip(x, sample.column("shares"), strict=True):
+        row[:-1] = np.frombuffer(shares.as_buffer(), dtype=np.float32)
+    del sample
     # Rare trigrams count as much as frequent ones; the factor goes into the weights.
-    factor = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
-    x *= factor
+    factor = 1 / np.sqrt(x[:, :-1].mean(axis=0) + 1e-5)
+    x[:, :-1] *= factor
     languages: dict[str, list[str]] = {}
     for name in sorted(set(langs)):
         languages.setdefault(families.get(name, name), []).append(name)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import sys
 import time
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from playbill.llm import leaks, lines, near_documents, personal, store, token_blocks
+from playbill.llm import languages, leaks, lines, near_documents, personal, store, token_blocks
 from playbill.llm.components import components, link
 from playbill.llm.queries import QUERIES
 
@@ -195,3 +197,31 @@ def test_lines_meet_by_likeness_and_not_by_chance(spark):
     assert pairs <= met and len(met) < 5 * len(pairs)
     marks = spark.createDataFrame([(signed[a].mark, signed[b].mark, signed[a].sign, signed[b].sign) for a, b in pairs], "x long, y long, s array<long>, t array<long>")
     assert marks.where(f"{lines._near('x', 'y', 0.8)} and {lines._alike('s', 't', 0.8)}").count() == len(pairs)
+
+
+def test_lines_are_signed_in_compiled_columns(spark):
+    signed = lines._signed(spark.createDataFrame([("abcdefgh",)], "line string"), lines.SHORT)
+    assert "Generate" not in signed._jdf.queryExecution().toString()
+
+
+def test_members_met_in_full_are_not_looked_at_again(spark, monkeypatch):
+    linking = sys.modules["playbill.llm.components"]
+    kept, scratch = [], linking.scratch
+    monkeypatch.setattr(linking, "scratch", lambda df, name: (kept.extend(df.collect()) if name == "met" else None) or scratch(df, name))
+    buckets = {1: [1], 2: [2, 3], 3: [4, 5, 6], 4: [7, 8, 9, 10, 11], 5: [12, 13, 14]}
+    rows = spark.createDataFrame([(b, i, 100 if i in (12, 13, 14) and i % 2 else 0) for b, ids in buckets.items() for i in ids], "bucket long, id long, mark long")
+    texts = lambda ids: ids.withColumn("text", F.col("id").cast("string"))
+    # 5 is like 6 and not like 4; 9 and 10 are alike, and neither is like an end of their bucket.
+    alike = "(a, b) in ((3, 2), (6, 5), (10, 9), (13, 12), (14, 12))"
+    found = linking.link_marked([rows.where("bucket < 4"), rows.where("bucket >= 4")], texts, lambda p: p.where(alike), lambda x, y: f"{x} = {y}", lambda p: p)
+    assert {(r.id, r.component) for r in found.collect()} == {(2, 2), (3, 2), (5, 5), (6, 5), (9, 9), (10, 9), (12, 12), (14, 12)}
+    assert {r.id for r in kept if r.bucket is not None} == {7, 8, 9, 10, 11}
+    assert {r.id for r in kept if r.bucket is None} == {3, 5, 6, 14}
+
+
+def test_the_sample_of_languages_is_held_once():
+    x = np.hstack([np.random.default_rng(0).random((400, 2000)), np.ones((400, 1))])
+    tracemalloc.start()
+    languages.svm(x, np.where(np.arange(400) % 2, 1.0, -1.0), rounds=1)
+    assert tracemalloc.get_traced_memory()[1] < x.nbytes / 4
+    tracemalloc.stop()
