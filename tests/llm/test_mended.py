@@ -212,8 +212,8 @@ def test_members_met_in_full_are_not_looked_at_again(spark, monkeypatch):
     rows = spark.createDataFrame([(b, i, 100 if i in (12, 13, 14) and i % 2 else 0) for b, ids in buckets.items() for i in ids], "bucket long, id long, mark long")
     texts = lambda ids: ids.withColumn("text", F.col("id").cast("string"))
     # 5 is like 6 and not like 4; 9 and 10 are alike, and neither is like an end of their bucket.
-    alike = "(a, b) in ((3, 2), (6, 5), (10, 9), (13, 12), (14, 12))"
-    found = linking.link_marked([rows.where("bucket < 4"), rows.where("bucket >= 4")], texts, lambda p: p.where(alike), lambda x, y: f"{x} = {y}", lambda p: p)
+    alike = "concat(a, '-', b) in ('3-2', '6-5', '10-9', '13-12', '14-12')"
+    found = linking.link_marked([rows.where("bucket < 4"), rows.where("bucket >= 4")], texts, lambda p: p.where(alike).select("a", "b"), lambda x, y: f"{x} = {y}", lambda p: p)
     assert {(r.id, r.component) for r in found.collect()} == {(2, 2), (3, 2), (5, 5), (6, 5), (9, 9), (10, 9), (12, 12), (14, 12)}
     assert {r.id for r in kept if r.bucket is not None} == {7, 8, 9, 10, 11}
     assert {r.id for r in kept if r.bucket is None} == {3, 5, 6, 14}
