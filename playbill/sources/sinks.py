@@ -24,13 +24,13 @@ def _observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
 
 
 def export_catalogue(
-    movies: DataFrame, shows: DataFrame, episodes: DataFrame, path: str, exported_at: Column, blocks: int = BLOCKS
+    movies: DataFrame, shows: DataFrame, episodes: DataFrame, path: str, exported_at: Column, blocks: int = BLOCKS, most: int | None = None
 ) -> None:
     """The export as packed JSON lines: ``movies``, ``shows`` with nested seasons, ``episodes``, and one
-    ``metadata`` row with the counts, taken while writing."""
+    ``metadata`` row with the counts, taken while writing. Shows come in ``blocks``, or with ``most`` only those with more episodes than that."""
     parts = {
         "movies": (movies, F.count(F.lit(1))),
-        "shows": (nest_seasons(shows, episodes, blocks), F.count_if("lead")),
+        "shows": (nest_seasons(shows, episodes, blocks, most), F.count_if("lead")),
         "episodes": (episodes, F.count(F.lit(1))),
     }
     counts = []

@@ -175,3 +175,15 @@ def test_exports_are_packed_and_episodes_move_once(spark):
         nesting.nest_seasons(shows, eps).explain("formatted")
     moved = re.findall(r"Exchange\nInput \[\d+\]: (.*)", told.getvalue())
     assert moved and not any(re.search("_rows|_seasons|full_episodes", columns) for columns in moved)
+
+
+def test_an_export_divides_only_large_shows(spark, tmp_path):
+    rows_ = [(f"https://x/e/{i}", "https://x/a/", 1, i) for i in range(50)] + [(f"https://x/f/{i}", "https://x/b", 1, i) for i in range(9)]
+    eps = spark.createDataFrame(rows_, "url string, show_url string, season_number int, episode_number int")
+    eps = eps.selectExpr("*", "'t' as title", "'d' as air_date", "'' as thumbnail", "'' as lastmod", "cast(null as string) as video_files")
+    shows_ = spark.createDataFrame([("https://x/a",), ("https://x/b",), ("https://x/c",)], "url string")
+    sinks.export_catalogue(shows_.limit(1), shows_, eps, str(tmp_path / "out"), F.lit("now"), most=20)
+    docs = spark.read.json(str(tmp_path / "out/shows")).select("url", F.size("full_episodes").alias("n")).collect()
+    assert 1 < sum(d.url == "https://x/a" for d in docs) <= 3 and sum(d.n for d in docs if d.url == "https://x/a") == 50
+    assert sorted((d.url, d.n) for d in docs if d.url != "https://x/a") == [("https://x/b", 9), ("https://x/c", 0)]
+    assert spark.read.json(str(tmp_path / "out/metadata")).first().shows_count == 3
